@@ -151,13 +151,20 @@ def ratio(train: Column, val: Column, eps: float = 1e-9) -> Column:
     return clip(val / F.when(F.abs(train) > eps, train).otherwise(eps), 0, 2)
 
 
-def generalisation(train: M, val: M, purpose: str = "selection", cfg: Config = DEFAULT) -> Column:
-    t, v = score(train, purpose=purpose, cfg=cfg), score(val, purpose=purpose, cfg=cfg)
-    rr = clip(ratio(score(train, cfg=cfg), score(val, cfg=cfg)), 0, 1.25)
+def generalise(t: Column, v: Column, cfg: Config = DEFAULT, t_sel: Column | None = None, v_sel: Column | None = None) -> Column:
+    """Validation score less the train gap, times the robustness boost; ``*_sel`` are selection scores if others are given."""
+    rr = clip(ratio(t if t_sel is None else t_sel, v if v_sel is None else v_sel), 0, 1.25)
     b = cfg.robustness_boost
     return (v - cfg.gap_penalty * F.greatest(F.lit(0.0), t - v)) * ((1 - b) + b * rr)
 
 
+def generalisation(train: M, val: M, purpose: str = "selection", cfg: Config = DEFAULT) -> Column:
+    t, v = score(train, purpose=purpose, cfg=cfg), score(val, purpose=purpose, cfg=cfg)
+    if purpose == "selection":
+        return generalise(t, v, cfg)
+    return generalise(t, v, cfg, score(train, cfg=cfg), score(val, cfg=cfg))
+
+
 def sharpe_robustness(train_sharpe: Column, val_sharpe: Column) -> Column:
     return F.when(train_sharpe <= 0, 0.0).otherwise(rnd(F.least(val_sharpe / train_sharpe, F.lit(2.0)), 3))
 
@@ -199,11 +206,10 @@ def stability(train_trades: Column, val_trades: Column, cfg: Config = DEFAULT) -
     return 0.7 + 0.3 * s
 
 
-def regime_score(train: M, val: M, cfg: Config = DEFAULT) -> Column:
-    """Preset-independent quality of a candidate in one regime."""
-    stable = stability(train["total_trades"], val["total_trades"], cfg)
-    enough = val["total_trades"] >= cfg.regime_min_val_trades
-    return F.when(enough, generalisation(train, val, cfg=cfg) * stable).otherwise(selection(train, cfg) * 0.7 * stable)
+def regime_score(t: Column, v: Column, train_trades: Column, val_trades: Column, cfg: Config = DEFAULT) -> Column:
+    """Preset-independent quality of a candidate in one regime, from its selection scores and trade counts."""
+    stable = stability(train_trades, val_trades, cfg)
+    return F.when(val_trades >= cfg.regime_min_val_trades, generalise(t, v, cfg) * stable).otherwise(t * 0.7 * stable)
 
 
 def regime_score_legacy(train: M, val: M, cfg: Config = DEFAULT) -> Column:

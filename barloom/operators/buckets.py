@@ -140,11 +140,11 @@ def candidate_regimes(bucketed: DataFrame, cand: Sequence[str] = CAND, cfg: sc.C
     short = {"trades": "total_trades", "pf": "profit_factor", "return": "total_return_pct", "dd": "max_drawdown_pct",
              "sharpe": "sharpe_approx", "win_rate": "win_rate"}
     flat = [F.coalesce(F.col(f"{s}_{m}"), F.lit(0)).alias(f"{s}_{k}") for s in ("train", "val") for k, m in short.items()]
+    x = x.select(*cand, *carry, "regime", *flat, sc.selection(t, cfg).alias("_t"), sc.selection(v, cfg).alias("_v"))
+    quality = sc.regime_score(F.col("_t"), F.col("_v"), F.col("train_trades"), F.col("val_trades"), cfg)
     return x.select(
-        *cand, *carry, "regime", *flat,
-        sc.finite(sc.selection(t, cfg), 0.0).alias("train_score"), sc.finite(sc.selection(v, cfg), 0.0).alias("val_score"),
-        sc.finite(sc.regime_score(t, v, cfg), -999.0).alias("quality_score"),
-    )
+        *[c for c in x.columns if c not in ("_t", "_v")], sc.finite(F.col("_t"), 0.0).alias("train_score"),
+        sc.finite(F.col("_v"), 0.0).alias("val_score"), sc.finite(quality, -999.0).alias("quality_score"))
 
 
 def to_wide(candidates: DataFrame, cand: Sequence[str] = CAND) -> DataFrame:

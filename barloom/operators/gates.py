@@ -143,21 +143,15 @@ def failed_production(p: Preset, m: Mapping[str, Column]) -> Column:
     ))
 
 
-def gate_reason(p: Preset, m: Mapping[str, Column], profile: str = "historical") -> Column:
-    """Text of every failed gate, or PASS."""
-    th = {g: p.threshold(g, profile) for g in p.gates}
-    text = {
-        "G1": lambda t: F.format_string("G1: val_trades %d < %d", m["val_trades"].cast("long"), F.lit(int(t))),
-        "G2": lambda t: F.format_string("G2: val_dd %.1f%% >= %.1f%%", m["val_dd"], F.lit(t)),
-        "G3": lambda t: F.format_string("G3: train_return %.2f%% < %.1f%%", m["train_return"], F.lit(t)),
-        "G4": lambda t: F.format_string("G4: val_return %.2f%% < %.1f%%", m["val_return"], F.lit(t)),
-        "G5": lambda t: F.format_string("G5: ret/dd %.2f < %.1f", m["return_dd"], F.lit(t)),
-        "G6": lambda t: F.format_string("G6: val_pf %.2f < %.2f", m["val_pf"], F.lit(t)),
-        "G7": lambda t: F.format_string("G7: robustness %.2f < %.2f", m["robustness"], F.lit(t)),
-    }
-    parts = [F.when(fails(g, m, F.lit(t)), text[g](float(t)) if g in text else F.lit(g)) for g, t in th.items()]
-    joined = F.array_join(F.array_compact(F.array(*parts)), "; ") if parts else F.lit("")
-    return F.when(joined == "", "PASS").otherwise(joined)
+_TEXT = {
+    "G1": lambda m, t: F.format_string("G1: val_trades %d < %d", m["val_trades"].cast("long"), F.lit(int(t))),
+    "G2": lambda m, t: F.format_string("G2: val_dd %.1f%% >= %.1f%%", m["val_dd"], F.lit(t)),
+    "G3": lambda m, t: F.format_string("G3: train_return %.2f%% < %.1f%%", m["train_return"], F.lit(t)),
+    "G4": lambda m, t: F.format_string("G4: val_return %.2f%% < %.1f%%", m["val_return"], F.lit(t)),
+    "G5": lambda m, t: F.format_string("G5: ret/dd %.2f < %.1f", m["return_dd"], F.lit(t)),
+    "G6": lambda m, t: F.format_string("G6: val_pf %.2f < %.2f", m["val_pf"], F.lit(t)),
+    "G7": lambda m, t: F.format_string("G7: robustness %.2f < %.2f", m["robustness"], F.lit(t)),
+}
 
 
 def per_preset(df: DataFrame, presets: Sequence[Preset], build: Callable[[Preset], dict[str, Column]]) -> DataFrame:
@@ -166,14 +160,27 @@ def per_preset(df: DataFrame, presets: Sequence[Preset], build: Callable[[Preset
     return df.withColumn("_p", F.explode(F.array(*structs))).select("*", "_p.*").drop("_p")
 
 
-def check_gates(candidates: DataFrame, presets: Sequence[Preset], reason: bool = False) -> DataFrame:
-    m = evidence_columns()
-
-    def build(p: Preset) -> dict[str, Column]:
-        out = {"failed_gates": failed_gates(p, m)}
-        return out | ({"reason": gate_reason(p, m)} if reason else {})
+def check_gates(candidates: DataFrame, presets: Sequence[Preset], reason: bool = False, profile: str = "historical") -> DataFrame:
+    """Failed gates of every candidate under every preset.
 
-    return per_preset(candidates, presets, build).withColumn("passed", F.size("failed_gates") == 0)
+    Each (gate, threshold) is tested once per candidate; a preset then only picks the tests it has switched on.
+    """
+    m = evidence_columns()
+    tests = sorted({(g, float(p.threshold(g, profile))) for p in presets for g in p.gates})
+    slot = {t: i for i, t in enumerate(tests)}
+    note = lambda g, t: (_TEXT[g](m, t) if g in _TEXT else F.lit(g)) if reason else F.lit("")
+    hits = [F.when(fails(g, m, F.lit(t)), F.struct(F.lit(slot[g, t]).alias("k"), F.lit(g).alias("id"), note(g, t).alias("text")))
+            for g, t in tests]
+    x = candidates.withColumn("_hits", F.array_compact(F.array(*hits)) if hits else F.array().cast(
+        "array<struct<k:int,id:string,text:string>>"))
+    x = per_preset(x, presets, lambda p: {"_on": F.array(*[F.lit(slot[g, float(p.threshold(g, profile))]) for g in p.gates])
+                                          .cast("array<int>")})
+    mine = F.filter("_hits", lambda h: F.array_contains("_on", h["k"]))
+    x = x.withColumn("_mine", mine).withColumn("failed_gates", F.transform("_mine", lambda h: h["id"]))
+    if reason:
+        text = F.array_join(F.transform("_mine", lambda h: h["text"]), "; ")
+        x = x.withColumn("reason", F.when(F.size("_mine") == 0, "PASS").otherwise(text))
+    return x.withColumn("passed", F.size("failed_gates") == 0).drop("_hits", "_on", "_mine")
 
 
 def rank_candidates(candidates: DataFrame, top: int = TOP) -> DataFrame:
