@@ -26,7 +26,7 @@ def erfc(x: pd.Series) -> pd.Series:
 
 def significant10(x: Column) -> Column:
     """Ten significant digits, as the result tables print p values."""
-    return F.format_string("%.9e", x).cast("double")
+    return F.format_string("%.9e", x).try_cast("double")
 
 
 def chi2_survival(x: Column, df: Column) -> Column:

@@ -263,30 +263,40 @@ FULL = ("total_trades", "winning_trades", "losing_trades", "breakeven_trades", "
 
 def full_metrics(trades: DataFrame, spacing: DataFrame, warmup_bars: int = 0, cfg: Config = DEFAULT) -> DataFrame:
     """All ledger metrics per rule, series and split.  Wins are judged on pips, money on dollars."""
-    x = trades.filter(C("entry_bar") - C("split_start") >= warmup_bars) if warmup_bars else trades
     pnl, pips, r = C("pnl_dollars"), C("pnl_pips"), C("r_multiple")
     ret = pnl / F.when(C("curve_before") != 0, C("curve_before")).otherwise(1.0)
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    s = lambda cond, v: F.sum(F.when(cond, v).otherwise(0.0))
-    long, hold = C("is_long"), C("exit_bar") - C("entry_bar")
-    a = x.withColumn("_ret", ret).groupBy(*LEDGER).agg(
-        F.count(F.lit(1)).alias("n"), n(pips > 0).alias("w"), n(pips < 0).alias("l"), F.sum(pnl).alias("pnl"),
+    kept = C("entry_bar") - C("split_start") >= warmup_bars
+    x = trades.withColumns({"_ret": ret, "_kept": kept})
+    wins, losses = C("win_run"), C("loss_run")
+    if warmup_bars:
+        # a streak counts only its trades after the warm-up; equity, returns and drawdown keep the whole ledger
+        first = x.filter("_kept").groupBy(*LEDGER).agg(F.min("trade_no").alias("_first"))
+        x = x.join(first, list(LEDGER))
+        since = C("trade_no") - C("_first") + 1
+        wins, losses = F.least(wins, since), F.least(losses, since)
+    k = lambda v: F.when(C("_kept"), v)
+    n = lambda cond: F.sum(F.when(C("_kept") & cond, 1).otherwise(0))
+    s = lambda cond, v: F.sum(F.when(C("_kept") & cond, v).otherwise(0.0))
+    long, hold = C("is_long"), k(C("exit_bar") - C("entry_bar"))
+    a = x.groupBy(*LEDGER).agg(
+        n(F.lit(True)).alias("n"), n(pips > 0).alias("w"), n(pips < 0).alias("l"), F.sum(k(pnl)).alias("pnl"),
         s(pips > 0, pnl).alias("wp"), F.abs(s(pips < 0, pnl)).alias("lp"), s(pips > 0, pips).alias("wpip"), s(pips < 0, pips).alias("lpip"),
-        F.sum(pips).alias("pips"), F.max("drawdown_pct").alias("mdd"), F.max_by("equity_after", "trade_no").alias("fin"),
-        F.avg("_ret").alias("rm"), F.stddev_samp("_ret").alias("rs"), n(C("_ret") < 0).alias("rn"),
+        F.sum(k(pips)).alias("pips"), F.max("drawdown_pct").alias("mdd"), F.max_by("equity_after", "trade_no").alias("fin"),
+        F.count(F.lit(1)).alias("na"), F.avg("_ret").alias("rm"), F.stddev_samp("_ret").alias("rs"),
+        F.sum(F.when(C("_ret") < 0, 1).otherwise(0)).alias("rn"),
         F.stddev_samp(F.when(C("_ret") < 0, C("_ret"))).alias("rds"), F.min("_ret").alias("rmin"),
-        F.avg(r).alias("mr"), F.percentile(r, F.array(F.lit(0.5), F.lit(0.05))).alias("pr"), F.min(r).alias("minr"), n(r > 0).alias("rp"),
-        F.max("win_run").alias("cw"), F.max("loss_run").alias("cl"), F.avg(hold).alias("ad"), F.max(hold).alias("xd"), F.min(hold).alias("nd"),
+        F.avg(k(r)).alias("mr"), F.percentile(k(r), F.array(F.lit(0.5), F.lit(0.05))).alias("pr"), F.min(k(r)).alias("minr"), n(r > 0).alias("rp"),
+        F.max(k(wins)).alias("cw"), F.max(k(losses)).alias("cl"), F.avg(hold).alias("ad"), F.max(hold).alias("xd"), F.min(hold).alias("nd"),
         n(long).alias("nl"), n(~long).alias("ns"), n(long & (pips > 0)).alias("wl"), n(~long & (pips > 0)).alias("ws"),
-        *[n(C("exit_reason") == e).alias(e) for e in ("closed_sl", "closed_tp", "end_of_data")])
+        *[n(C("exit_reason") == e).alias(e) for e in ("closed_sl", "closed_tp", "end_of_data")]).filter(C("n") > 0)
     a = a.join(spacing, ["symbol", "timeframe", "split"])
     c = C
     q = lambda num, den, k=1.0: F.when(den > 0, num / den * k).otherwise(0.0)
     year = F.sqrt(86400.0 / F.greatest(c("bar_secs"), F.lit(60)) * 252)
     wr = q(c("w"), c("n"), 100.0)
     aw, al = q(c("wpip"), c("w")), F.abs(q(c("lpip"), c("l")))
-    sharpe = F.when((c("n") >= 2) & (c("rs") > 1e-10), c("rm") / c("rs") * year).otherwise(0.0)
-    sortino = (F.when(c("n") < 2, 0.0).when(c("rn") >= 2, F.when(c("rds") > 1e-10, c("rm") / c("rds") * year).otherwise(0.0))
+    sharpe = F.when((c("na") >= 2) & (c("rs") > 1e-10), c("rm") / c("rs") * year).otherwise(0.0)
+    sortino = (F.when(c("na") < 2, 0.0).when(c("rn") >= 2, F.when(c("rds") > 1e-10, c("rm") / c("rds") * year).otherwise(0.0))
                .when(c("rn") == 1, F.when(F.abs(c("rmin")) > 1e-10, c("rm") / F.abs(c("rmin")) * year).otherwise(0.0))
                .when((c("rm") > 0) & (sharpe > 0), sharpe * 2).otherwise(0.0))
     total = (c("fin") - cfg.initial_capital) / cfg.initial_capital * 100

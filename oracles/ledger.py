@@ -51,26 +51,29 @@ u AS (SELECT *, coalesce(10000 + sum(usd) OVER (w ROWS BETWEEN UNBOUNDED PRECEDI
   FROM t WINDOW w AS (PARTITION BY symbol, split, rule ORDER BY eb))"""
 
 
-def metrics(where: str = "") -> str:
+def metrics(wait: int = 0) -> str:
     q = lambda a, b, k="1": f"CASE WHEN {b} > 0 THEN {a} * 1.0 / {b} * {k} ELSE 0 END"
-    return TR + f""", m AS (SELECT symbol, split, rule, count(*) AS n, count(*) FILTER (pips > 0) AS w, count(*) FILTER (pips < 0) AS l, sum(usd) AS pnl,
+    return TR + f""", a AS (SELECT symbol, split, rule, count(*) AS na, max((peak - eq) / peak * 100) AS mdd, arg_max(eq, no) AS fin, avg(usd / cb) AS ra,
+      stddev_samp(usd / cb) AS rs, count(*) FILTER (usd / cb < 0) AS rn, stddev_samp(usd / cb) FILTER (usd / cb < 0) AS rds, min(usd / cb) AS rmin FROM u GROUP BY ALL),
+    f AS (SELECT * EXCLUDE (wrun, lrun), row_number() OVER w - coalesce(max(CASE WHEN pips <= 0 THEN k0 END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS wrun,
+      row_number() OVER w - coalesce(max(CASE WHEN pips > 0 THEN k0 END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS lrun
+      FROM (SELECT *, row_number() OVER (PARTITION BY symbol, split, rule ORDER BY eb) AS k0 FROM u WHERE eb - lo >= {wait}) WINDOW w AS (PARTITION BY symbol, split, rule ORDER BY eb)),
+    m AS (SELECT symbol, split, rule, count(*) AS n, count(*) FILTER (pips > 0) AS w, count(*) FILTER (pips < 0) AS l, sum(usd) AS pnl,
       coalesce(sum(usd) FILTER (pips > 0), 0) AS wp, abs(coalesce(sum(usd) FILTER (pips < 0), 0)) AS lp, coalesce(sum(pips) FILTER (pips > 0), 0) AS wpip,
-      coalesce(sum(pips) FILTER (pips < 0), 0) AS lpip, sum(pips) AS pips, max((peak - eq) / peak * 100) AS mdd, arg_max(eq, no) AS fin,
-      avg(usd / cb) AS ra, stddev_samp(usd / cb) AS rs, count(*) FILTER (usd / cb < 0) AS rn, stddev_samp(usd / cb) FILTER (usd / cb < 0) AS rds,
-      min(usd / cb) AS rmin, avg(rm) AS mr, median(rm) AS md, quantile_cont(rm, 0.05) AS p5, min(rm) AS minr, count(*) FILTER (rm > 0) AS rp,
+      coalesce(sum(pips) FILTER (pips < 0), 0) AS lpip, sum(pips) AS pips, avg(rm) AS mr, median(rm) AS md, quantile_cont(rm, 0.05) AS p5, min(rm) AS minr, count(*) FILTER (rm > 0) AS rp,
       max(wrun) AS cw, max(lrun) AS cl, avg(xb - eb) AS ad, max(xb - eb) AS xd, min(xb - eb) AS nd, count(*) FILTER (dir = 1) AS nl, count(*) FILTER (dir = -1) AS ns,
       count(*) FILTER (dir = 1 AND pips > 0) AS wl, count(*) FILTER (dir = -1 AND pips > 0) AS ws, any_value(secs) AS secs,
       count(*) FILTER (why = 'closed_sl') AS n_closed_sl, count(*) FILTER (why = 'closed_tp') AS n_closed_tp, count(*) FILTER (why = 'end_of_data') AS n_end_of_data
-      FROM u {where} GROUP BY ALL),
+      FROM f GROUP BY ALL),
     k AS (SELECT *, {q('w', 'n', '100.0')} AS wr, {q('wpip', 'w')} AS aw, abs({q('lpip', 'l')}) AS al, sqrt(86400.0 / greatest(secs, 60) * 252) AS yr,
-      (fin - 10000) / 10000 * 100 AS tot FROM m),
-    h AS (SELECT *, CASE WHEN n >= 2 AND rs > 1e-10 THEN ra / rs * yr ELSE 0 END AS sh FROM k)
+      (fin - 10000) / 10000 * 100 AS tot FROM m JOIN a USING (symbol, split, rule)),
+    h AS (SELECT *, CASE WHEN na >= 2 AND rs > 1e-10 THEN ra / rs * yr ELSE 0 END AS sh FROM k)
     SELECT symbol, split, rule AS strategy_name, n AS total_trades, w AS winning_trades, l AS losing_trades, n - w - l AS breakeven_trades, {r('wr', 2)} AS win_rate,
       {r('pnl', 2)} AS total_pnl, {r('tot', 2)} AS total_return_pct, {r('wp', 2)} AS gross_profit, {r('lp', 2)} AS gross_loss,
       {r('least(CASE WHEN lp > 0 THEN wp / lp ELSE 99 END, 99)', 2)} AS profit_factor, {r('aw', 2)} AS avg_win_pips, {r('al', 2)} AS avg_loss_pips,
       {r(q('pips', 'n'), 2)} AS avg_trade_pips, {r(q('wp', 'w'), 2)} AS avg_win_dollars, {r(q('lp', 'l'), 2)} AS avg_loss_dollars,
       {r(q('pnl', 'n'), 2)} AS avg_trade_dollars, {r('mdd', 2)} AS max_drawdown_pct, {r('CASE WHEN wr > 0 THEN wr / 100 * aw - (1 - wr / 100) * al ELSE -al END', 2)} AS expectancy_pips,
-      {r('sh', 2)} AS sharpe_ratio, {r('CASE WHEN n < 2 THEN 0 WHEN rn >= 2 THEN CASE WHEN rds > 1e-10 THEN ra / rds * yr ELSE 0 END WHEN rn = 1 THEN ra / abs(rmin) * yr WHEN ra > 0 AND sh > 0 THEN sh * 2 ELSE 0 END', 2)} AS sortino_ratio,
+      {r('sh', 2)} AS sharpe_ratio, {r('CASE WHEN na < 2 THEN 0 WHEN rn >= 2 THEN CASE WHEN rds > 1e-10 THEN ra / rds * yr ELSE 0 END WHEN rn = 1 THEN ra / abs(rmin) * yr WHEN ra > 0 AND sh > 0 THEN sh * 2 ELSE 0 END', 2)} AS sortino_ratio,
       {r(q('tot', 'mdd'), 2)} AS calmar_ratio, {r('mr', 3)} AS mean_r, {r('md', 3)} AS median_r, {r(q('rp', 'n', '100.0'), 2)} AS pct_positive_r,
       {r('CASE WHEN n >= 20 THEN p5 ELSE minr END', 3)} AS worst_5pct_r, cw AS max_consecutive_wins, cl AS max_consecutive_losses, {r('ad', 1)} AS avg_trade_duration,
       xd AS max_trade_duration, nd AS min_trade_duration, nl AS long_trades, ns AS short_trades, {r(q('wl', 'nl', '100.0'), 2)} AS long_win_rate,
@@ -107,9 +110,31 @@ ORACLES = {
                      + f", why AS exit_reason, pips AS pnl_pips, usd AS pnl_dollars, {r('risk', 2)} AS risk_amount, rm AS r_multiple FROM t",
     "ledger_equity": TR + f" SELECT symbol, split, rule AS strategy_name, no AS trade_no, {r('eq', 2)} AS equity, {r('(peak - eq) / peak * 100', 4)} AS drawdown_pct FROM u",
     "ledger_metrics": metrics(),
+    "ledger_metrics_after_warmup": metrics(50),
+    "ledger_with_empty": TR + f""", g AS (SELECT symbol, split, count(*) AS n, {r('least(CASE WHEN coalesce(sum(usd) FILTER (pips < 0), 0) < 0 THEN coalesce(sum(usd) FILTER (pips > 0), 0) / abs(sum(usd) FILTER (pips < 0)) ELSE 99 END, 99)', 2)} AS pf,
+        {r('arg_max(eq, no)', 2)} AS fin FROM t WHERE rule = 'EMACrossoverStrategy' GROUP BY ALL)
+      SELECT b.symbol, x.split, y.rule AS strategy_name, coalesce(n, 0) AS total_trades, coalesce(pf, 0) AS profit_factor, coalesce(fin, 10000) AS final_equity
+      FROM (SELECT DISTINCT symbol FROM s) b, (VALUES ('train'), ('val')) x(split), (VALUES ('EMACrossoverStrategy'), ('InsideBarBreakoutStrategy')) y(rule)
+      LEFT JOIN g ON g.symbol = b.symbol AND g.split = x.split AND y.rule = 'EMACrossoverStrategy'""",
     "ledger_totals": TR + f" SELECT symbol, count(*) AS closed, {r('sum(usd)', 2)} AS realised, count(*) FILTER (why = 'end_of_data') AS open_at_end FROM t GROUP BY symbol",
     "timing_audit": TR + " SELECT symbol, count(*) AS trades, 0 AS bad_delay, 0 AS bad_order, true AS ok FROM t GROUP BY symbol",
     "exit_time_limit": exits(12, "d * ep - 60", True),
     "exit_trailing_stop": exits(48, "greatest(d * ep - 60, CASE WHEN seen >= 15 THEN d * ep + seen - 20 END)", False),
     "exit_breakeven_stop": exits(48, "greatest(d * ep - 60, CASE WHEN seen >= 20 THEN d * ep + 1 END)", False),
 }
+
+# regime buckets: ledger rows joined with the regime known at their entry bar
+_hyst_ctes, _hyst_sel = HYST.removeprefix("WITH RECURSIVE ").rsplit(") SELECT z.symbol", 1)
+_hyst = _hyst_ctes.replace("s AS MATERIALIZED (", "hs AS MATERIALIZED (", 1).replace("z(symbol, i, raw", "hz(symbol, i, raw", 1)
+_hyst = _hyst.replace("FROM s WHERE i = 0", "FROM hs WHERE i = 0").replace("FROM z JOIN s ON s.symbol = z.symbol AND s.i = z.i + 1", "FROM hz z JOIN hs s ON s.symbol = z.symbol AND s.i = z.i + 1")
+
+
+def _regime_buckets() -> str:
+    from oracles.evidence import metrics as bucket
+    live = ("live AS (SELECT z.symbol, z.i, CASE WHEN s.n < 210 THEN 'CHOP' ELSE z.live END AS regime FROM hz z JOIN hs s USING (symbol, i))")
+    src = "src AS (SELECT t.symbol, t.split, t.rule AS strategy_name, l.regime, t.eb AS pos, t.usd AS pnl, t.rm FROM t JOIN live l ON l.symbol = t.symbol AND l.i = t.eb WHERE l.regime IS NOT NULL)"
+    body = TR.removeprefix("WITH RECURSIVE ")
+    return f"WITH RECURSIVE {_hyst}), {live}, {body}, {src}, {bucket('symbol, split, strategy_name, regime', 'bk', 'src')} SELECT * FROM bk"
+
+
+ORACLES["regime_buckets"] = _regime_buckets()
