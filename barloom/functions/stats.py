@@ -71,14 +71,14 @@ def cohens_d(ledger: DataFrame, baseline: str, others: Sequence[str], keys: Sequ
 
 def _ranked(diffs: DataFrame, group: Sequence[str], eps: float) -> DataFrame:
     """Signed rank sums of non-zero differences with average ranks."""
-    x = diffs.filter(F.abs("d") > eps).withColumn("ad", F.round(F.abs("d"), 12))
-    w = Window.partitionBy(*group).orderBy("ad")
-    ties = Window.partitionBy(*group, "ad")
-    x = x.withColumn("t", F.count(F.lit(1)).over(ties)).withColumn("r", F.rank().over(w) + (C("t") - 1) / 2)
+    x = diffs.filter(F.abs("d") > eps).withColumn("_ad", F.round(F.abs("d"), 12))
+    w = Window.partitionBy(*group).orderBy("_ad")
+    ties = Window.partitionBy(*group, "_ad")
+    x = x.withColumn("_t", F.count(F.lit(1)).over(ties)).withColumn("_r", F.rank().over(w) + (C("_t") - 1) / 2)
     return x.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(C("d") > 0, C("r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(C("d") < 0, C("r")).otherwise(0.0)).alias("w_minus"),
-        F.sum((C("t") * C("t") - 1).cast("double")).alias("tie_term"))
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(C("d") > 0, C("_r")).otherwise(0.0)).alias("w_plus"),
+        F.sum(F.when(C("d") < 0, C("_r")).otherwise(0.0)).alias("w_minus"),
+        F.sum((C("_t") * C("_t") - 1).cast("double")).alias("tie_term"))
 
 
 def wilcoxon(diffs: DataFrame, group: Sequence[str], form: str = "simulation", p_values: bool = True) -> DataFrame:
@@ -125,16 +125,16 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str, group: Seque
     x = df.withColumn("_v", F.round(C(value), 12))
     w = Window.partitionBy(*g, block)
     ties = Window.partitionBy(*g, block, "_v")
-    x = (x.withColumn("t", F.count(F.lit(1)).over(ties)).withColumn("r", F.rank().over(w.orderBy("_v")) + (C("t") - 1) / 2))
-    sums = x.groupBy(*g, treatment).agg(F.sum("r").alias("rs"), F.count(F.lit(1)).alias("nb"),
-                                        F.sum((C("t") * C("t") - 1).cast("double")).alias("tie"))
-    t = sums.groupBy(*g).agg(F.max("nb").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("tie").alias("tie"),
-                             F.sum(C("rs") * C("rs")).alias("ss"), F.sum("rs").alias("s"))
+    x = (x.withColumn("_t", F.count(F.lit(1)).over(ties)).withColumn("_r", F.rank().over(w.orderBy("_v")) + (C("_t") - 1) / 2))
+    sums = x.groupBy(*g, treatment).agg(F.sum("_r").alias("_rs"), F.count(F.lit(1)).alias("_nb"),
+                                        F.sum((C("_t") * C("_t") - 1).cast("double")).alias("_tie"))
+    t = sums.groupBy(*g).agg(F.max("_nb").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("_tie").alias("_tie"),
+                             F.sum(C("_rs") * C("_rs")).alias("ss"), F.sum("_rs").alias("s"))
     n, k = C("n").cast("double"), C("k").cast("double")
     spread = C("ss") - C("s") * C("s") / k
     chi = 12.0 * spread / (n * k * (k + 1))
     if tie_corrected:
-        chi = chi / (1 - C("tie") / (n * k * (k * k - 1)))
+        chi = chi / (1 - C("_tie") / (n * k * (k * k - 1)))
         ok = C("k") >= 3
     else:
         ok = (C("k") >= 3) & (C("n") >= 10)

@@ -43,7 +43,8 @@ def resample_all(bars: DataFrame, timeframes: list[str]) -> DataFrame:
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
     ] + ([F.avg("spread").alias("spread")] if spread else [])
-    out = x.groupBy("symbol", F.col("b.timeframe").alias("timeframe"), F.col("b.bin").alias("ts")).agg(*aggs)
+    kind = bars.schema["ts"].dataType
+    out = x.groupBy("symbol", F.col("b.timeframe").alias("timeframe"), F.col("b.bin").cast(kind).alias("ts")).agg(*aggs)
     return out.dropna(subset=["open", "high", "low", "close"])
 
 

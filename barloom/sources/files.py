@@ -31,12 +31,12 @@ def standardise(raw: DataFrame) -> DataFrame:
 
 
 def parse_time(df: DataFrame) -> DataFrame:
-    """``ts`` from the first time column present."""
+    """``ts`` (without time zone) from the first time column present."""
     low = {c.lower(): c for c in df.columns}
     name = next((low[n] for n in TIME_NAMES if n in low), None)
     if name is None:
         raise ValueError("no time column found")
-    return df.withColumn("ts", F.try_to_timestamp(C(f"`{name}`").cast("string"))).drop(name)
+    return df.withColumn("ts", F.try_to_timestamp(C(f"`{name}`").cast("string")).cast("timestamp_ntz")).drop(name)
 
 
 def clean_bars(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ _SPEC = [
     ("ABCXYZ", "generic", 4, 10.0, 2.0, 0.01, 100, 6.5, 0, 0, 1e-5, 1.0, 100000, 0.01, 0, 1e-5, 5),
     ("US100", "built_in", 0, 1.0, 2.0, 0.01, 100, 6.5, 0, 0, 1e-5, 1e-5, 100000, 0.01, 0, 1e-5, 5),
     ("NEWFX", "config", 2, 2.5, 1.7, 0.01, 100, 6.5, 0, 0, 1e-3, 0.25, 100000, 0.01, 0, 1e-3, 3),
-    ("BTCUSD", "broker", 2, 10.0, 0.2, 0.01, 5, 7.0, 0, 0, 1e-3, 0, 1, 0.01, 0, 1e-3, 3)]
+    ("BTCUSD", "broker", 2, 10.0, 0.2, 0.01, 5, 7.0, 0, 0, 1e-3, 1.0, 1, 0.01, 0, 1e-3, 3)]
 SPECS = "sp(symbol, spec_source, pip_position, pip_value, spread_avg, min_lot, max_lot, commission_per_lot, swap_long, swap_short, tick_size, tick_value, contract_size, " \
         "volume_step, stops_level, point, digits) AS (VALUES " + ", ".join(
             f"('{x[0]}', '{x[1]}', {x[2]}, " + ", ".join(f"{v!r}::DOUBLE" for v in x[3:14]) + f", {x[14]}, {x[15]!r}::DOUBLE, {x[16]})" for x in _SPEC) + ")"
@@ -108,7 +108,8 @@ ORACLES: dict[str, str] = {
     "rejection_json": L + """, x AS (SELECT preset, symbol, timeframe, regime, string_agg(strategy_name, ',' ORDER BY rk) AS rejected FROM rej GROUP BY ALL)
         SELECT led.preset, led.symbol, led.timeframe, led.regime, outcome, coalesce(rejected, '') AS rejected, len(binding) AS binding FROM led LEFT JOIN x USING (preset, symbol, timeframe, regime)""",
     "preset_catalogue": f"WITH {ledger(True)}, n(preset, gate_count, active_gates, gate_names) AS (VALUES {_slots}), k AS (SELECT preset, count(*) AS total_slots FROM led GROUP BY 1) SELECT n.*, total_slots FROM n JOIN k USING (preset)",
-    "rule_catalogue": f"SELECT symbol, category, rules, count(*) * rules AS most_signals FROM ({H1}), (VALUES ('trend_following', 19), ('mean_reversion', 17), ('breakout_momentum', 14)) v(category, rules) GROUP BY ALL",
+    "rule_catalogue": f"""WITH b AS (SELECT symbol, count(*) AS k FROM ({H1}) GROUP BY 1) SELECT symbol, category, rules, k * rules AS most_signals
+        FROM b, (VALUES ('trend_following', 18), ('mean_reversion', 18), ('breakout_momentum', 14)) v(category, rules)""",
     "user_extensions": L + f""", b AS ({chain(BASE, START, '*')}), s AS (SELECT symbol, count(*) FILTER (dc > 5) AS ups, count(*) FILTER (dc < -5) AS downs FROM b GROUP BY 1),
         g AS (SELECT count(*) FILTER (val_win_rate < 50) AS x1_failed, count(*) FILTER (NOT (val_win_rate < 50) AND val_trades >= 5) AS passed FROM ranked) SELECT * FROM s, g""",
 }
