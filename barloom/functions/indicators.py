@@ -188,7 +188,17 @@ def _atr(f: Frame, n: int) -> None:
 
 
 def _sma(f: Frame, n: int) -> None:
-    f.put(**{f"SMA_{n}": f.full(F.avg, C("close"), n)})
+    """Short frames are summed afresh; long ones are a difference of running sums, one step per row for any n.
+
+    The running sum restarts with every chunk, which bounds its rounding.
+    """
+    if n < 30:
+        f.put(**{f"SMA_{n}": f.full(F.avg, C("close"), n)})
+        return
+    run = f.part.rowsBetween(Window.unboundedPreceding, 0)
+    f.put(_RSUM=F.sum("close").over(run), _RCNT=F.count("close").over(run))
+    was = lambda c: F.coalesce(f.lag(c, n), F.lit(0))
+    f.put(**{f"SMA_{n}": F.when(C("_RCNT") - was("_RCNT") == n, (C("_RSUM") - was("_RSUM")) / n)})
 
 
 def _std(f: Frame, n: int) -> None:

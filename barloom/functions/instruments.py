@@ -30,21 +30,78 @@ USDCHF 4 11 1.5 7 5 -10
 AUDNZD 4 6 2.5 8 -2 -1.5
 EURGBP 4 12.5 1.5 7 -4 0.5
 EURJPY 2 9 1.5 7 3 -10
-GBPJPY 2 9 2.0 7 5 -12
+GBPJPY 2 9 2 7 5 -12
+USDBRL 4 2 50 15 15 -40
 USDMXN 4 0.55 30 12 20 -45
+USDPLN 4 2.5 25 10 3 -12
+USDNOK 4 0.95 30 10 2 -10
+USDSEK 4 0.95 30 10 2 -10
+USDSGD 4 7.5 2 8 1.5 -6
 USDTRY 4 0.035 100 20 50 -150
 USDZAR 4 0.55 50 15 12 -35
-XAUUSD 2 1 3.0 5 -8 -5
-XAGUSD 3 5 2.0 5 -3 -2
-XTIUSD 2 1 3.0 5 0 0
-XNGUSD 3 1 4.0 5 0 0
+EURZAR 4 0.55 70 15 10 -30
+GBPZAR 4 0.55 80 15 12 -35
+USDCNH 4 1.4 20 10 2 -10
+EURCNH 4 1.4 10 10 2 -10
+EURPLN 4 2.5 25 10 3 -12
+EURNOK 4 0.95 30 10 2 -10
+EURSEK 4 0.95 30 10 2 -10
+GBPNOK 4 0.95 35 10 2 -12
+GBPSEK 4 0.95 35 10 2 -12
+EURTRY 4 0.035 120 20 45 -130
+PLATINUM 2 1 8 5 -5 -3
+PALLADIUM 2 1 8 5 -6 -4
+EURMXN 4 0.55 140 12 20 -45
+NOKJPY 2 9 2 8 -1 -2
+XAUUSD 2 1 3 5 -8 -5
+XAGUSD 3 5 2 5 -3 -2
+XAUEUR 2 1 3 5 -8 -5
+XAUGBP 2 1 3 5 -8 -5
+XAUAUD 2 1 3 5 -8 -5
+XAGEUR 3 5 2 5 -3 -2
+XRX 3 1 5 5 0 0
+XTIUSD 2 1 3 5 0 0
+XBRUSD 2 1 3 5 0 0
+XNGUSD 3 1 4 5 0 0
+AUDJPY 2 9 2 7 -4 1
+EURAUD 4 7 2 7 -4 0.5
+EURCHF 4 11 2 7 -3 0.5
+EURCAD 4 7.5 2 7 -4 0.5
+EURNZD 4 6 3 7 -4 0.5
+GBPAUD 4 7 2.5 7 -5 0.8
+GBPCAD 4 7.5 2.5 7 -5 0.8
+GBPCHF 4 11 2.5 7 -5 0.8
+CADJPY 2 9 2 7 -2 0.5
+NZDJPY 2 9 2 7 -2 0.5
+AUDCAD 4 7.5 1.5 7 2.5 -8
+AUDCHF 4 11 2 7 -3 0.5
+CADCHF 4 11 2 7 -3 0.5
+CHFJPY 2 9 1 7 8.5 -15
+NZDCAD 4 7.5 1.5 7 2.5 -8
+NZDCHF 4 11 2 7 -3 0.5
+GBPNZD 4 6 3 7 -4 0.5
 BTCUSD 2 1 20 0 0 0
 ETHUSD 2 1 8 0 0 0
+LTCUSD 2 1 15 0 0 0
+SOLUSD 2 1 15 0 0 0
+BCHUSD 2 1 20 0 0 0
+DOGUSD 4 1 20 0 0 0
+TRXUSD 4 1 15 0 0 0
 XRPUSD 4 1 12 0 0 0
+TONUSD 3 1 12 0 0 0
+BTCETH 2 1 8 0 0 0
+BTCXAU 2 1 10 0 0 0
 US100 0 1 2 0 0 0
 US30 0 1 3 0 0 0
 DE30 0 1 2 0 0 0
+EU50 0 1 2 0 0 0
+UK100 0 1 2 0 0 0
 JP225 0 1 8 0 0 0
+US500 0 1 2 0 0 0
+FR40 0 1 2 0 0 0
+ES35 0 1 2 0 0 0
+HK50 0 1 8 0 0 0
+AU200 0 1 2 0 0 0
 """.strip()
 
 

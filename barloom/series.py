@@ -25,7 +25,7 @@ TF_SECONDS = {
 
 
 # Rows one task may sort and window over without splitting the series.
-ONE_TASK_ROWS = 1_000_000
+ONE_TASK_ROWS = 4_000_000
 
 
 def mark(df: DataFrame, rows: int | None) -> DataFrame:

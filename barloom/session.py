@@ -17,6 +17,9 @@ def local_session(app: str = "barloom", cores: str = "*", shuffle_partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # test tables are single small files: let several cores read one
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,6 +31,8 @@ def local_session(app: str = "barloom", cores: str = "*", shuffle_partitions: in
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the plans rely on; all are runtime settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", "8")  # a cluster keeps its own setting
     return spark
 
 

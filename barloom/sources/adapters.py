@@ -63,7 +63,8 @@ def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.substring(F.sha2(F.col("p_brand"), 256), 1, 16).alias("param_hash"))
     rows = (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
         .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
@@ -74,7 +75,7 @@ def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_tax") >= 0.07, "CHOP").when(F.col("l_returnflag") == "A", "TREND")
             .when(F.col("l_returnflag") == "N", "RANGE").otherwise("BREAKOUT").alias("regime"),
             F.col("p_brand").alias("strategy_name"),
-            F.substring(F.sha2(F.col("p_brand"), 256), 1, 16).alias("param_hash"),
+            "param_hash",
             F.col("l_shipdate").alias("ts"),
             "l_orderkey", "l_linenumber", "l_suppkey",
             rnd(F.col("l_extendedprice") * (F.col("l_discount") - 0.05) / 10, 2).alias("pnl_dollars"),
