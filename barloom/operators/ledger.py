@@ -22,7 +22,7 @@ from barloom.functions import instruments as ins
 from barloom.functions.rounding import rnd
 from barloom.functions.scoring import DEFAULT, Config
 from barloom.operators.resample import split_bounds
-from barloom.series import CHUNK_ROWS
+from barloom.series import CHUNK_ROWS, fits
 from barloom.session import cut_lineage
 from barloom.strategies.base import get, param_hash
 from barloom.strategies.signals import signal_columns
@@ -70,6 +70,8 @@ def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config =
         C("_s.hi").alias("split_end"), *SPEC)
 
 
+# Rules that share one copy of the bars of a chunk.
+BATCH_RULES = 16
 _POSITION = ("split", "strategy_name", "param_hash", "signal_bar", "entry_bar", "signal_time", "entry_time", "is_long", "entry_price",
              "stop_loss", "take_profit", "half_spread", "slippage", "split_start", "split_end")
 
@@ -127,13 +129,19 @@ def _walk(bars: pd.DataFrame, cand: pd.DataFrame, one_position: bool = True) ->
 
 
 def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROWS, one_position: bool = True,
-                   max_chunk: int | None = None) -> DataFrame:
-    """Entries actually taken with their exits."""
-    on = ["symbol", "timeframe", "_chunk"]
+                   max_chunk: int | None = None, batches: int = 1) -> DataFrame:
+    """Entries actually taken with their exits.
+
+    One group holds the bars of a chunk and the candidates of one batch of rules; ``batches`` splits the rules of a
+    large sweep, each batch with its own copy of the bars, so a group stays small however many rules there are.
+    """
+    on = ["symbol", "timeframe", "_chunk", "_batch"]
     bon = [f"b_{k}" for k in on]
     b = bars.select(C("symbol").alias("b_symbol"), C("timeframe").alias("b_timeframe"), "ts", "bar_no", "high", "low", "close",
-                    F.expr(f"bar_no div {chunk_rows}").alias("b__chunk"))
-    c = cand.select("symbol", "timeframe", *_POSITION, F.expr(f"entry_bar div {chunk_rows}").alias("_chunk"))
+                    F.expr(f"bar_no div {chunk_rows}").alias("b__chunk"),
+                    F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("b__batch"))
+    c = cand.select("symbol", "timeframe", *_POSITION, F.expr(f"entry_bar div {chunk_rows}").alias("_chunk"),
+                    F.pmod(F.hash("strategy_name", "param_hash"), F.lit(batches)).alias("_batch"))
     if max_chunk is None:
         max_chunk = b.agg(F.max("b__chunk")).first()[0] or 0
     if max_chunk:
@@ -153,7 +161,7 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROW
 
     go = lambda x: b.groupBy(*bon).cogroup(x.groupBy(*on)).applyInPandas(run, schema)
     if max_chunk == 0:
-        return go(c).drop("kind", "_chunk")
+        return go(c).drop("kind", "_chunk", "_batch")
 
     lk = ["symbol", "timeframe", "split", "strategy_name", "param_hash"]
     result, used = cut_lineage(go(c)), None
@@ -172,18 +180,18 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROW
         used = cut_lineage(carry)
         again = c.join(changed, [*lk, "_chunk"], "left_semi").unionByName(used.join(changed, [*lk, "_chunk"], "left_semi"))
         result = cut_lineage(result.join(changed, [*lk, "_chunk"], "left_anti").unionByName(go(again)))
-    return result.filter(C("kind") == "trade").drop("kind", "_chunk")
+    return result.filter(C("kind") == "trade").drop("kind", "_chunk", "_batch")
 
 
 def ledger(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Complete trade ledger of the rule variants on every series and split."""
     plain, cand = entries(bars, variants, specs, cfg, chunk_rows)
-    taken = take_positions(plain, cand, chunk_rows, max_chunk=_known_single(bars, chunk_rows))
+    taken = take_positions(plain, cand, chunk_rows, max_chunk=_known_single(bars, chunk_rows),
+                           batches=math.ceil(len(variants) / BATCH_RULES))
     return money(taken.join(specs.select("symbol", *SPEC), "symbol"), cfg)
 
 
 def _known_single(bars: DataFrame, chunk_rows: int) -> int | None:
-    from barloom.series import fits
     return 0 if fits(bars) and chunk_rows >= CHUNK_ROWS else None
 
 

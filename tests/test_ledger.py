@@ -61,6 +61,9 @@ def test_ledger_does_not_depend_on_chunk_size(spark, bars):
     key = ["symbol", "split", "strategy_name", "entry_bar"]
     a, b = (lg.ledger(bars, v, specs, chunk_rows=c).select(*key, "exit_bar", "pnl_dollars", "equity_after").toPandas().sort_values(key, ignore_index=True) for c in (65536, 50))
     assert len(a) > 30 and a.equals(b)
+    plain, cand = lg.entries(bars, v, specs)
+    one, many = (lg.take_positions(plain, cand, batches=k).select(*key, "exit_bar").toPandas().sort_values(key, ignore_index=True) for k in (1, 3))
+    assert len(one) == len(a) and one.equals(many)
     t = lg.ledger(bars, v, specs)
     m = lg.full_metrics(t, lg.bar_seconds(number_bars(bars)))
     got = m.agg(F.sum("total_trades")).first()[0]
