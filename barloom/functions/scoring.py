@@ -140,8 +140,8 @@ def optimisation(m: M, cfg: Config = DEFAULT) -> Column:
     return base * F.when(dd < 15, 1.0).when(dd < 25, 0.8).otherwise(0.5)
 
 
-def score(m: M, mode: str = "fx_backtester", purpose: str = "selection", cfg: Config = DEFAULT) -> Column:
-    if mode != "fx_backtester":
+def score(m: M, mode: str = "calibrated", purpose: str = "selection", cfg: Config = DEFAULT) -> Column:
+    if mode != "calibrated":
         return composite(m, cfg)
     return optimisation(m, cfg) if purpose == "opt" else selection(m, cfg)
 

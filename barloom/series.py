@@ -45,7 +45,7 @@ def fits(df: DataFrame) -> bool:
 
 
 def tf_seconds(timeframe: Column) -> Column:
-    expr = F.lit(60)
+    expr = F.lit(60).cast("long")
     for name, secs in TF_SECONDS.items():
         expr = F.when(timeframe == name, F.lit(secs)).otherwise(expr)
     return expr

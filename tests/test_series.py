@@ -119,3 +119,9 @@ def test_equity_path_in_blocks_equals_one_window(spark):
             best = max(best, run)
         assert abs(m.loc[k, "max_drawdown_pct"] - dd) < 0.01 and m.loc[k, "max_consecutive_losses"] == best
         assert m.loc[k, "total_trades"] == len(g) and abs(m.loc[k, "worst_5pct_r"] - np.percentile(g.r_multiple, 5)) < 1e-3
+
+
+def test_daily_bars_do_not_overflow_the_bucket(spark, bars_pdf):
+    daily = bars_pdf.assign(timeframe="D1", ts=pd.date_range("1990-01-01", periods=len(bars_pdf), freq="D"))
+    out = number_bars(spark.createDataFrame(daily)).toPandas()
+    assert out.groupby("symbol").bar_no.max().tolist() == [319, 319]
