@@ -13,6 +13,7 @@ from barloom.functions.rounding import rnd
 from barloom.functions import scoring as sc
 from barloom.operators.resample import split_bounds
 from barloom.series import CHUNK_ROWS, bound, fits, mark
+from barloom.session import cut_lineage
 
 REGIMES = ("TREND", "RANGE", "BREAKOUT", "CHOP")
 CAND = ("symbol", "timeframe", "strategy_name", "param_hash")
@@ -58,7 +59,8 @@ def equity_path(trades: DataFrame, keys: Sequence[str], capital: float = 10000.0
         return x.withColumn("losing_streak", F.when(pnl < 0, c("_pos") - c("_held")).otherwise(0)).drop("_pos", "_held")
     wb = Window.partitionBy(*keys, "_blk").orderBy(*order)
     run = wb.rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.withColumn("_blk", F.expr(f"{order[0]} div {block_rows}"))
+    # both the rows and the block summaries read the ledger: write it once instead of building it twice
+    x = cut_lineage(trades).withColumn("_blk", F.expr(f"{order[0]} div {block_rows}"))
     x = x.withColumns({"_cum": F.sum(pnl).over(run), "_pos": F.row_number().over(wb)})
     held = F.when(pnl >= 0, c("_pos"))
     blocks = x.groupBy(*keys, "_blk").agg(F.sum(pnl).alias("s"), F.max("_cum").alias("m"), F.max("_pos").alias("n"),

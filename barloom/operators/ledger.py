@@ -22,7 +22,7 @@ from barloom.functions import instruments as ins
 from barloom.functions.rounding import rnd
 from barloom.functions.scoring import DEFAULT, Config
 from barloom.operators.resample import split_bounds
-from barloom.series import CHUNK_ROWS, fits
+from barloom.series import CHUNK_ROWS, fits, number_bars
 from barloom.session import cut_lineage
 from barloom.strategies.base import get, param_hash
 from barloom.strategies.signals import signal_columns
@@ -35,7 +35,8 @@ SPEC = ("pip_position", "pip_value", "spread_avg", "min_lot", "max_lot", "commis
 def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS,
             ) -> tuple[DataFrame, DataFrame]:
     """(numbered bars, entry candidates per split).  A signal enters at the open of the next bar."""
-    wide, meta = signal_columns(bars, variants, extra=["ATR_14"], chunk_rows=chunk_rows)
+    numbered = bars if "bar_no" in bars.columns else number_bars(bars, chunk_rows=chunk_rows)
+    wide, meta = signal_columns(numbered, variants, extra=["ATR_14"], chunk_rows=chunk_rows)
     mult = {}
     for v in variants:
         name, over = (v, {}) if isinstance(v, str) else v
@@ -47,7 +48,8 @@ def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config =
                         F.explode(F.filter(rows, lambda r: r["signal"] != 0)).alias("_r"))
     fired = fired.select("symbol", "timeframe", "signal_time", "signal_bar", "series_rows", "ATR_14", "_r.*",
                          (C("signal_bar") + 1).alias("entry_bar"))
-    plain = wide.select("symbol", "timeframe", "ts", "bar_no", "series_rows", "open", "high", "low", "close")
+    # prices come from the numbered bars, so the indicator passes run once, for the signals only
+    plain = numbered.select("symbol", "timeframe", "ts", "bar_no", "series_rows", "open", "high", "low", "close")
     nxt = plain.select("symbol", "timeframe", C("bar_no").alias("entry_bar"), C("open").alias("_open"), C("ts").alias("entry_time"))
     x = fired.join(nxt, ["symbol", "timeframe", "entry_bar"]).join(specs.select("symbol", *SPEC), "symbol")
     is_long = C("signal") == 1

@@ -9,6 +9,7 @@ from barloom.functions import scoring as sc
 from barloom.operators import buckets as bk
 from barloom.operators import gates as gt
 from barloom.series import bound, mark
+from barloom.session import cut_lineage
 from barloom.sources.adapters import sales_ledger
 
 
@@ -32,6 +33,8 @@ def sales_slot_index(candidates: DataFrame) -> DataFrame:
 
 def sales_rejections(spark: SparkSession, sf_dir: str, single: bool = False, with_index: bool = False) -> DataFrame:
     cand = sales_candidates(spark, sf_dir)
+    if with_index:
+        cand = cut_lineage(cand)  # evidence is a stage table: the index and the selection both read it
     slots = gt.slot_spine(sales_slot_index(cand)) if with_index else None
     return gt.materialise(cand, gt.all_presets(single), slots)
 

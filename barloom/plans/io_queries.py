@@ -13,6 +13,7 @@ from barloom.operators import gates as gt
 from barloom.operators import resample as rs
 from barloom.plans import evidence as ev
 from barloom.series import number_bars
+from barloom.session import cut_lineage
 from barloom.sources import files as fl
 from barloom.sources.adapters import event_bars, order_bars, table
 from barloom.strategies.base import clean_signal
@@ -215,7 +216,7 @@ def _seeds(s, d):
 
 
 def _slot_index(s, d):
-    return ev.sales_slot_index(ev.sales_candidates(s, d))
+    return ev.sales_slot_index(cut_lineage(ev.sales_candidates(s, d)))
 
 
 def _no_trade(s, d):

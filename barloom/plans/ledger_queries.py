@@ -10,7 +10,7 @@ from barloom.operators import buckets as bk
 from barloom.operators import ledger as lg
 from barloom.operators import regime as rg
 from barloom.operators.resample import timing_audit
-from barloom.series import mark, number_bars
+from barloom.series import bound, mark, number_bars
 from barloom.sources.adapters import event_bars
 
 C = F.col
@@ -107,7 +107,9 @@ def _by_regime(s, d):
     bars = event_bars(s, d)
     t = trades(s, d)
     b = bk.bucket_by_regime(t, rg.regimes(bars))
-    m = bk.bucket_metrics(mark(b, None), [*lg.LEDGER, "regime"])
+    # a rule takes at most one trade per bar and split
+    rows = bound(bars) * 2 * len(VARIANTS)
+    m = bk.bucket_metrics(mark(b, rows), [*lg.LEDGER, "regime"])
     return m.drop("timeframe", "param_hash")
 
 

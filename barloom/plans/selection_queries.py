@@ -14,7 +14,7 @@ from barloom.operators import regime as rg
 from barloom.operators import selection as sel
 from barloom.plans import evidence as ev
 from barloom.plans.ledger_queries import TIGHT, event_specs
-from barloom.series import mark, number_bars
+from barloom.series import bound, mark, number_bars
 from barloom.sources.adapters import event_bars, sales_ledger
 
 C = F.col
@@ -126,7 +126,7 @@ def sweep(s, d, strategy="DonchianBreakoutStrategy", limit=6):
     bars = event_bars(s, d)
     t = lg.ledger(bars, variants, event_specs(s))
     b = bk.bucket_by_regime(t, rg.regimes(bars))
-    m = bk.bucket_metrics(mark(b, None), [*RULE, "regime", "split"])
+    m = bk.bucket_metrics(mark(b, bound(bars) * 2 * len(variants)), [*RULE, "regime", "split"])
     pairs = sel.pair_scores(sel.sides(m, [*RULE, "regime"]).filter(C("train_total_trades") > 0), SMALL)
     return sel.best_per_regime(pairs, cfg=SMALL, min_trades=3)
 
