@@ -31,7 +31,7 @@ def local_session(app: str = "barloom", cores: str = "*", shuffle_partitions: in
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the plans rely on; all are runtime settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] == "local":
         spark.conf.set("spark.sql.shuffle.partitions", "8")  # a cluster keeps its own setting
     return spark
 
@@ -47,7 +47,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return known.get()
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(folder)
