@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import naming, packing, simhash
-from barloom.llm.common import table
+from barloom.llm import maintext, naming, packing, simhash, warc
+from barloom.llm.common import scratch, table
 
 
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(sf_dir, "documents", spark)))
 
 
+def op2_warc_chunks(spark, sf_dir):
+    at = scratch(spark, "warc")
+    warc.write_archive(table(sf_dir, "pages", spark), at)
+    return warc.read_records(spark, at)
+
+
+def op3_main_text(spark, sf_dir):
+    return maintext.main_texts(table(sf_dir, "pages", spark))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return naming.exact_groups(table(sf_dir, "documents", spark)).drop("_h")
 
@@ -21,11 +31,17 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op6_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_chunks, op3_main_text, op6_exact_dedup, op10_simhash_near_dedup)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {
+    "op2_warc_chunks": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+             r AS (SELECT *, max(page_id) OVER (PARTITION BY p) AS top, strlen(p) AS n FROM t)
+        SELECT page_id, n AS payload_bytes, sha1(p) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM r""",
     "op6_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
              r AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
