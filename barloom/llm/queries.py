@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import maintext, naming, packing, simhash, warc
+from barloom.llm import cascade, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, warc
 from barloom.llm.common import scratch, table
 
 
@@ -22,18 +22,44 @@ def op3_main_text(spark, sf_dir):
     return maintext.main_texts(table(sf_dir, "pages", spark))
 
 
+def op4_minhash_fingerprints(spark, sf_dir):
+    return sketch.fingerprints(table(sf_dir, "documents", spark))
+
+
+def op5_lm_scoring(spark, sf_dir):
+    good = table(sf_dir, "labels", spark).filter("quality = 1")
+    return lm.cross_entropy_difference(table(sf_dir, "documents", spark), good)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return naming.exact_groups(table(sf_dir, "documents", spark)).drop("_h")
 
 
+def op7_quality_ranking(spark, sf_dir):
+    docs = table(sf_dir, "documents", spark)
+    rated = ranking.scored(docs, ranking.learn(docs, table(sf_dir, "labels", spark)))
+    return rated.select("doc_id", F.coalesce(ranking.fold() == 0, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= ranking.CUT).cast("int").alias("predicted"))
+
+
+def op8_url_cascade(spark, sf_dir):
+    return cascade.judge(table(sf_dir, "pages", spark)).drop("listed")
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.plan(table(sf_dir, "documents", spark)).taken()
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_groups(table(sf_dir, "documents", spark), simhash.STRICT)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_chunks, op3_main_text, op6_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_warc_chunks, op3_main_text, op4_minhash_fingerprints, op5_lm_scoring, op6_exact_dedup, op7_quality_ranking, op8_url_cascade,
+    op9_source_mixing, op10_simhash_near_dedup)}
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER = cascade.UPPER, cascade.LOWER
 
 ORACLES = {
     "op2_warc_chunks": """
@@ -46,4 +72,15 @@ ORACLES = {
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
              r AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op8_url_cascade": f"""
+        WITH t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+             p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+             r AS (SELECT *, CASE
+                     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+               WHEN regexp_matches(host, '{"|".join(cascade.LISTED_PARTS)}') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
 }
