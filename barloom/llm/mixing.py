@@ -152,7 +152,7 @@ def _slices(batches: Batches) -> Batches:
     """Text and list of (epoch, first word, last word + 1) in; the texts of these runs out, white space inside kept."""
     for b in batches:
         at, out = [], []
-        for i, (t, runs) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        for i, (t, runs) in enumerate(zip(b.column("_text").to_pylist(), b.column("_runs").to_pylist(), strict=True)):
             t = t or ""
             bounds = [m.span() for m in WORD.finditer(t)]
             for r in runs:

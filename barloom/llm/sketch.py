@@ -70,7 +70,11 @@ def densify(least: np.ndarray) -> np.ndarray:
 def low_bits(text: bytes, shingle: int = SHINGLE) -> np.ndarray | None:
     """Low-order bits of each bin; None for a text without words."""
     hashes = shingle_hashes(text, shingle)
-    return (densify(minima(mix(hashes, 5))) & np.uint64(2**BITS - 1)).astype(np.uint8) if len(hashes) else None
+    if not len(hashes):
+        return None
+    # hashed with the bin's number, so that a value lent to many bins does not meet another value by one chance in all of them
+    values = mix(densify(minima(mix(hashes, 5))) + np.arange(BINS, dtype=np.uint64), 9)
+    return (values & np.uint64(2**BITS - 1)).astype(np.uint8)
 
 
 def packed(bits: np.ndarray | None) -> str:
