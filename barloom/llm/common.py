@@ -47,15 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """``_id`` and ``_h``: document number (null as ``NO_ID``) and hash of the raw text, by which rows are found again."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(F.col("text"))})
+    """``_rk_id`` and ``_rk_h``: document number (null as ``NO_ID``) and hash of the raw text, by which rows are found again."""
+    return docs.withColumns({"_rk_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_rk_h": F.xxhash64(F.col("text"))})
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (_id, _h) is in ``kept``; of rows that agree in both, one.  All columns stay."""
-    w = Window.partitionBy("_id", "_h").orderBy("_h")
-    once = row_keys(docs).withColumn("_rep", F.row_number().over(w)).filter("_rep = 1")
-    return once.join(kept.select("_id", "_h"), ["_id", "_h"], "left_semi").drop("_id", "_h", "_rep")
+    """Rows of ``docs`` whose (_rk_id, _h) is in ``kept``; of rows that agree in both, one.  All columns stay."""
+    w = Window.partitionBy("_rk_id", "_rk_h").orderBy("_rk_h")
+    once = row_keys(docs).withColumn("_rk_rep", F.row_number().over(w)).filter("_rk_rep = 1")
+    return once.join(kept.select("_rk_id", "_rk_h"), ["_rk_id", "_rk_h"], "left_semi").drop("_rk_id", "_rk_h", "_rk_rep")
 
 
 def to_batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:

@@ -70,7 +70,7 @@ def permute(j: np.ndarray, n: int, key: int) -> np.ndarray:
 def _sizes(batches: Batches) -> Batches:
     for b in batches:
         n = [len(t.split()) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["doc_id", "_h", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], ["doc_id", "_rk_h", "source", "size"])
 
 
 def _slots(block_seed: int):
@@ -88,7 +88,7 @@ def _slots(block_seed: int):
 
 
 class Mix:
-    """``docs``: rid, doc_id, _h, source_no, size, start; ``sources``: source_no, source, source_size, target, blocks, slots; ``slots``."""
+    """``docs``: rid, doc_id, _rk_h, source_no, size, start; ``sources``: source_no, source, source_size, target, blocks, slots; ``slots``."""
 
     def __init__(self, docs: DataFrame, sources: DataFrame, slots: DataFrame, block: int):
         self.docs, self.sources, self.slots, self.block = docs, sources, slots, block
@@ -112,8 +112,8 @@ class Mix:
 def plan(docs: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS,
          seed: int = SEED) -> Mix:
     spark = docs.sparkSession
-    raw = row_keys(docs.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "_h", F.col("source").cast("string"), text_bytes().alias("t"))
-    sized = raw.mapInArrow(_sizes, "doc_id long, _h long, source string, size long")
+    raw = row_keys(docs.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "_rk_h", F.col("source").cast("string"), text_bytes().alias("t"))
+    sized = raw.mapInArrow(_sizes, "doc_id long, _rk_h long, source string, size long")
     sized = checkpointed(sized.withColumns({"rid": F.monotonically_increasing_id()}))
     found = [(r.source, r.size or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()]
     if len(found) > MAX_SOURCES:
@@ -139,12 +139,12 @@ def plan(docs: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS,
     buckets = 4 * tasks
     known = F.broadcast(sources.select("source_no", F.col("source").alias("_s")))
     placed = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
-    placed = placed.withColumn("_b", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(buckets)).cast("int"))
+    placed = placed.withColumn("_b", F.pmod(F.xxhash64("doc_id", "_rk_h"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("source_no").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("source_no", "_b").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy("source_no", "_b").orderBy("doc_id", "_h", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_no", "_b").orderBy("doc_id", "_rk_h", "rid").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals.drop("_n"), ["source_no", "_b"])
-    placed = placed.select("rid", "doc_id", "_h", "source_no", "size", (F.col("_in") + F.col("_before")).alias("start"))
+    placed = placed.select("rid", "doc_id", "_rk_h", "source_no", "size", (F.col("_in") + F.col("_before")).alias("start"))
     return Mix(placed, sources, drawn, block)
 
 
@@ -152,14 +152,14 @@ def _slices(batches: Batches) -> Batches:
     """Text and list of (epoch, first word, last word + 1) in; the texts of these runs out, white space inside kept."""
     for b in batches:
         at, out = [], []
-        for i, (t, runs) in enumerate(zip(b.column("_text").to_pylist(), b.column("_runs").to_pylist(), strict=True)):
+        for i, (t, runs) in enumerate(zip(b.column("_rk_text").to_pylist(), b.column("_rk_runs").to_pylist(), strict=True)):
             t = t or ""
             bounds = [m.span() for m in WORD.finditer(t)]
             for r in runs:
                 at.append(i)
                 out.append(t[bounds[r["a"]][0]:bounds[r["b"] - 1][1]])
-        rest = pa.Table.from_batches([b]).drop_columns(["_text", "_runs"]).take(pa.array(at, pa.int64())).combine_chunks()
-        made = rest.append_column("_text", pa.array(out, pa.string()))
+        rest = pa.Table.from_batches([b]).drop_columns(["_rk_text", "_rk_runs"]).take(pa.array(at, pa.int64())).combine_chunks()
+        made = rest.append_column("_rk_text", pa.array(out, pa.string()))
         yield from made.to_batches() or [pa.RecordBatch.from_pylist([], schema=made.schema)]
 
 
@@ -182,15 +182,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     b = m.block
     got = m.spans().filter("epoch is not null")
     a = F.greatest(F.col("start"), F.col("block") * b) - F.col("start")
-    got = got.groupBy("rid", "doc_id", "_h").agg(F.sort_array(F.collect_list(F.struct("epoch", a.alias("a"), (a + F.col("words")).alias("b")))).alias("_p"))
-    got = got.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "_h", "rid", runs_of(F.col("_p")).alias("_runs"))
+    got = got.groupBy("rid", "doc_id", "_rk_h").agg(F.sort_array(F.collect_list(F.struct("epoch", a.alias("a"), (a + F.col("words")).alias("b")))).alias("_p"))
+    got = got.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_rk_id"), "_rk_h", "rid", runs_of(F.col("_p")).alias("_rk_runs"))
     # repeated rows are told apart by their number among rows of the same key
-    got = got.withColumn("_rep", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("rid"))).drop("rid")
-    rows = row_keys(docs).withColumn("_rep", F.row_number().over(Window.partitionBy("_id", "_h").orderBy("_h")))
-    met = rows.join(got, ["_id", "_h", "_rep"]).withColumn("_text", F.col("text")).drop("_id", "_h", "_rep", "text")
-    rest = [f for f in met.schema.fields if f.name not in ("_text", "_runs")]
-    out = met.mapInArrow(_slices, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", _text string")
-    out = out.withColumnRenamed("_text", "text")
+    got = got.withColumn("_rk_rep", F.row_number().over(Window.partitionBy("_rk_id", "_rk_h").orderBy("rid"))).drop("rid")
+    rows = row_keys(docs).withColumn("_rk_rep", F.row_number().over(Window.partitionBy("_rk_id", "_rk_h").orderBy("_rk_h")))
+    met = rows.join(got, ["_rk_id", "_rk_h", "_rk_rep"]).withColumn("_rk_text", F.col("text")).drop("_rk_id", "_rk_h", "_rk_rep", "text")
+    rest = [f for f in met.schema.fields if f.name not in ("_rk_text", "_rk_runs")]
+    out = met.mapInArrow(_slices, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", _rk_text string")
+    out = out.withColumnRenamed("_rk_text", "text")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(out.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -56,7 +56,7 @@ def _occurrences(block: int, hasher: Callable[[bytes], int], shared: frozenset[i
                                 b if h in shared else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            names = ("rid", "doc_id", "_h", "text_sha256", "blocks", "pos", "h", "block")
+            names = ("rid", "doc_id", "_rk_h", "text_sha256", "blocks", "pos", "h", "block")
             yield to_batch({n: (list(c), k) for n, c, k in zip(names, cols, kinds, strict=True)})
     return run
 
@@ -74,13 +74,13 @@ def _name_blocks(docs: DataFrame, block: int, hasher) -> tuple[DataFrame, DataFr
 
 
 def identities(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], int] = hash64) -> DataFrame:
-    """rid, doc_id, _h (hash of the raw text), text_sha256, level, name: rows with equal (level, name) have equal texts."""
+    """rid, doc_id, _rk_h (hash of the raw text), text_sha256, level, name: rows with equal (level, name) have equal texts."""
     by_hash, by_block, shared = _name_blocks(docs, block, hasher)
     raw = row_keys(docs.select("doc_id", "text")).select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "_h", text_bytes().alias("t"))
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "_rk_h", text_bytes().alias("t"))
     seen = checkpointed(raw.mapInArrow(
         _occurrences(block, hasher, shared),
-        "rid long, doc_id long, _h long, text_sha256 string, blocks int, pos int, h long, block binary"))
+        "rid long, doc_id long, _rk_h long, text_sha256 string, blocks int, pos int, h long, block binary"))
     cur = salted_join(seen.filter("block is null").select("rid", "blocks", "pos", "h"), by_hash, ["h"], F.col("rid"), "inner")
     cur = cur.select("rid", "blocks", "pos", "name")
     if by_block is not None:
@@ -100,13 +100,13 @@ def identities(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], in
         left = F.expr(f"ceil(blocks / pow(2, {level}))")
         done = done.unionByName(named.filter(left == 1).select("rid", F.lit(level).alias("level"), "name"))
         cur = named.filter(left > 1)
-    return seen.filter("pos = 0").select("rid", "doc_id", "_h", "text_sha256").join(done, "rid")
+    return seen.filter("pos = 0").select("rid", "doc_id", "_rk_h", "text_sha256").join(done, "rid")
 
 
 def exact_groups(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], int] = hash64) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and ``_h`` for finding the row again; the largest doc_id stays."""
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and ``_rk_h`` for finding the row again; the largest doc_id stays."""
     found = checkpointed(identities(docs, block, hasher))
     groups = found.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("_top"), F.count(F.lit(1)).alias("group_size"))
     out = salted_join(found, groups, ["level", "name"], F.col("rid"), "inner")
     return out.select("doc_id", F.col("_top.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
-                      (F.col("rid") == F.col("_top.rid")).alias("kept"), "text_sha256", "_h")
+                      (F.col("rid") == F.col("_top.rid")).alias("kept"), "text_sha256", "_rk_h")

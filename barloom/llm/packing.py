@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import re
+import sys
 import zlib
 from bisect import insort
 
@@ -25,7 +26,7 @@ from barloom.llm.common import Batches, checkpointed, text_bytes, to_batch
 
 CAPACITY = 1024
 END_ID = 2
-#: Each length opens at most one new range and splits at most one, so steps <= lengths * ranges; in practice under 10 per length.
+#: Each length opens at most two new ranges and splits at most one, so steps <= lengths * ranges; in practice about 10 per length.
 MAX_STEPS = 2_000_000
 #: Strings kept by each Python worker; the store is emptied when full.
 CACHE = 600_000
@@ -74,13 +75,13 @@ class Ids(dict):
 
 
 SPACES = re.compile(r"\s \s|  | $")
-_stores: dict[str, Ids] = {}
 
 
 def token_ids(text: str, vocabulary: str) -> bytes:
-    if vocabulary not in _stores:
-        _stores[vocabulary] = Ids(vocabulary)
-    return _stores[vocabulary].of_text(text)
+    stores = sys.__dict__.setdefault("_barloom_ids", {})  # kept by the process: what a task's function refers to is sent anew with every task
+    if vocabulary not in stores:
+        stores[vocabulary] = Ids(vocabulary)
+    return stores[vocabulary].of_text(text)
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -164,11 +165,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         rank, n = 0, counts[length]
         while rank < n:
             left = bins.tightest(length)
-            if left is None:
-                fit = capacity // length  # one new bin per ``fit`` pieces; filled up by best fit below
-                first, k, left = fresh, -(-(n - rank) // fit), capacity
-                fresh += k
-                bins.add(capacity, first, k)
+            if left is None:  # new bins take as many of this length as fit; the last one takes the rest
+                fit = capacity // length
+                for k, each in (((n - rank) // fit, fit), (1, (n - rank) % fit)):
+                    if not k or not each:
+                        continue
+                    for i in range(each):
+                        out.append((length, rank, rank + k - 1, fresh, i * length))
+                        rank += k
+                    if capacity > each * length:
+                        bins.add(capacity - each * length, fresh, k)
+                    fresh += k
+                break
             first, k = bins.take(left, n - rank)
             out.append((length, rank, rank + k - 1, first, capacity - left))
             if left > length:

@@ -32,7 +32,7 @@ def op5_lm_scoring(spark, sf_dir):
 
 
 def op6_exact_dedup(spark, sf_dir):
-    return naming.exact_groups(table(sf_dir, "documents", spark)).drop("_h")
+    return naming.exact_groups(table(sf_dir, "documents", spark)).drop("_rk_h")
 
 
 def op7_quality_ranking(spark, sf_dir):

@@ -114,14 +114,14 @@ def _prints(index: Index):
     def run(batches: Batches) -> Batches:
         for b in batches:
             prints = [fingerprint(shingle_hashes(t, index.shingle), index.n_bytes) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.binary())], ["doc_id", "_h", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.binary())], ["doc_id", "_rk_h", "fp"])
     return run
 
 
 def fingerprints(docs: DataFrame, index: Index = STRICT) -> DataFrame:
-    """doc_id, _h (hash of the raw text), fp binary."""
-    raw = row_keys(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "_h", text_bytes().alias("t"))
-    return raw.mapInArrow(_prints(index), "doc_id long, _h long, fp binary")
+    """doc_id, _rk_h (hash of the raw text), fp binary."""
+    raw = row_keys(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "_rk_h", text_bytes().alias("t"))
+    return raw.mapInArrow(_prints(index), "doc_id long, _rk_h long, fp binary")
 
 
 def _links(rows: np.ndarray, index: Index, rest: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -189,17 +189,17 @@ def near_links(prints: DataFrame, index: Index = STRICT) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, index: Index = STRICT) -> DataFrame:
-    """Per row: doc_id, _h, fp, component_id (smallest doc_id that the row reaches, itself included) and ``kept``.
+    """Per row: doc_id, _rk_h, fp, component_id (smallest doc_id that the row reaches, itself included) and ``kept``.
 
-    Of a group the row with the smallest doc_id (then the smallest _h) is marked kept; rows equal in both are all marked.
+    Of a group the row with the smallest doc_id (then the smallest _rk_h) is marked kept; rows equal in both are all marked.
     """
     prints = checkpointed(fingerprints(docs, index))
     roots = components(near_links(prints, index))
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")).alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h")).alias("least"))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = checkpointed(nodes)
     least = nodes.groupBy("root").agg(F.min("least").alias("top"))
     tops = salted_join(nodes.select("fp", "root"), least, ["root"], F.col("fp"), "inner").select("fp", "top")
-    out = salted_join(prints, tops, ["fp"], F.struct("doc_id", "_h"), "inner")
-    same = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & F.col("_h").eqNullSafe(F.col("top._h"))
-    return out.select("doc_id", "_h", "fp", F.col("top.doc_id").alias("component_id"), same.alias("kept"))
+    out = salted_join(prints, tops, ["fp"], F.struct("doc_id", "_rk_h"), "inner")
+    same = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & F.col("_rk_h").eqNullSafe(F.col("top._rk_h"))
+    return out.select("doc_id", "_rk_h", "fp", F.col("top.doc_id").alias("component_id"), same.alias("kept"))
