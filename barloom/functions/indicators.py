@@ -106,6 +106,10 @@ class Frame:
                 self._known.add(n)
         return self
 
+    def own_name(self, name: str) -> str:
+        """Name of a helper column of one rule; a frame scoped to a rule variant adds the variant."""
+        return f"_{name}"
+
     def name(self, name: str, expr: Callable[[], Column] | Column) -> Column:
         if not self.has(name):
             self.put(**{name: expr() if callable(expr) else expr})

@@ -13,6 +13,8 @@ from barloom.strategies.base import (
 C = F.col
 
 
+# Names, defaults and grids of all rules below are part of the interface.
+
 def _add(name, category, defaults, grid, rule, recursive=lambda p: (), warmup=lambda p: 0, sl=2.0, tp=3.0):
     register(Strategy(name, category, {**defaults, "sl_atr_mult": sl, "tp_atr_mult": tp}, grid, rule=rule,
                       recursive=recursive, warmup=warmup))
@@ -142,8 +144,9 @@ def ema_ribbon(f, p):
     long, short = (a > b) & (b > c) & strong, (a < b) & (b < c) & strong
     if p["use_di_confirmation"]:
         long, short = long & (f.need(up) > f.need(dn)), short & (f.need(dn) > f.need(up))
-    f.put(_RIBL=yes(long), _RIBS=yes(short))
-    return C("_RIBL") & ~yes(f.lag("_RIBL")), C("_RIBS") & ~yes(f.lag("_RIBS"))
+    on_l, on_s = f.own_name("RIBL"), f.own_name("RIBS")
+    f.put(**{on_l: yes(long), on_s: yes(short)})
+    return C(on_l) & ~yes(f.lag(on_l)), C(on_s) & ~yes(f.lag(on_s))
 
 
 _add("EMARibbonADXStrategy", TREND,
@@ -421,9 +424,10 @@ def pin_bar(f, p):
     o, c, k = C("open"), C("close"), p["wick_ratio"]
     body = F.greatest(F.abs(c - o), F.lit(1e-10))
     reach = p["proximity_atr"] * f.need("ATR_14")
-    f.put(_PINL=yes(((F.least(o, c) - C("low")) / body > k) & (C("low") <= f.need("BBL_20_2.0") + reach)),
-          _PINS=yes(((C("high") - F.greatest(o, c)) / body > k) & (C("high") >= f.need("BBU_20_2.0") - reach)))
-    return f.lag("_PINL"), f.lag("_PINS")
+    pin_l, pin_s = f.own_name("PINL"), f.own_name("PINS")
+    f.put(**{pin_l: yes(((F.least(o, c) - C("low")) / body > k) & (C("low") <= f.need("BBL_20_2.0") + reach)),
+             pin_s: yes(((C("high") - F.greatest(o, c)) / body > k) & (C("high") >= f.need("BBU_20_2.0") - reach))})
+    return f.lag(pin_l), f.lag(pin_s)
 
 
 _add("PinBarReversalStrategy", REVERSION, {"wick_ratio": 2.5, "proximity_atr": 1.0},
@@ -528,7 +532,7 @@ def pending_hit(f, tag: str, event: Column, level: Column, window: int, good) ->
     The newest event holds the level for ``window`` bars; ``good(level)`` is the retest condition; the first bar
     that meets it after the event is the hit and uses the event up.
     """
-    at, lvl, ok = f"_{tag}_AT", f"_{tag}_LVL", f"_{tag}_OK"
+    at, lvl, ok = (f.own_name(f"{tag}_{part}") for part in ("AT", "LVL", "OK"))
     past = f.rows(window, -1)
     last = lambda c: F.last(F.when(event, c), ignorenulls=True).over(past)
     f.put(**{at: F.when(~event, last(C("bar_no"))), lvl: F.when(~event, last(level))})
@@ -542,10 +546,11 @@ def pivot_breakout(f, p):
     top, bottom = f.lag(f"HH_{n}"), f.lag(f"LL_{n}")
     atr = F.coalesce(f.need("ATR_14"), F.lit(0.0))
     ready = C("bar_no") >= n + 1
-    f.put(_PVL=yes(ready & (C("close") > top)), _PVS=yes(ready & (C("close") < bottom)))
-    long = pending_hit(f, f"PVL{n}_{win}", C("_PVL"), top, win,
+    up, down = f.own_name("PVL"), f.own_name("PVS")
+    f.put(**{up: yes(ready & (C("close") > top)), down: yes(ready & (C("close") < bottom))})
+    long = pending_hit(f, "PVLH", C(up), top, win,
                        lambda lv: (C("low") <= lv + tol * atr) & (C("close") > lv))
-    short = pending_hit(f, f"PVS{n}_{win}", C("_PVS"), bottom, win,
+    short = pending_hit(f, "PVSH", C(down), bottom, win,
                         lambda lv: (C("high") >= lv - tol * atr) & (C("close") < lv))
     return long, short
 
@@ -671,7 +676,7 @@ def liquidity_sweep(f, p):
     sides = []
     for side, sign in (("L", 1), ("H", -1)):
         pivot = f.need(f"PIVOT{side}_{order}") * sign
-        pool, lvl = f"_POOL{side}_{order}_{lb}_{pts}", f"_PLVL{side}_{order}_{lb}_{pts}_{buf}"
+        pool, lvl = f.own_name(f"POOL{side}"), f.own_name(f"PLVL{side}")
         f.put(**{pool: F.sort_array(F.collect_list(F.when(ready, pivot)).over(f.rows(lb + 1)))})
         # runs of `pts` neighbours in price order; the first tight enough gives the level
         runs = F.when(F.size(C(pool)) >= pts,
@@ -684,9 +689,9 @@ def liquidity_sweep(f, p):
         close = C("close") * sign
         swept = yes(edge < C(f"`{lvl}`") - buf * atr)
         same = swept & yes((close > C(f"`{lvl}`")) & body_ok)
-        event = f"_SWEEP{side}_{order}_{lb}"
+        event = f.own_name(f"SWEEP{side}")
         f.put(**{event: swept & ~same})
-        later = pending_hit(f, f"SW{side}{order}_{lb}", C(event), C(f"`{lvl}`"), p["reclaim_window"],
+        later = pending_hit(f, f"SW{side}", C(event), C(f"`{lvl}`"), p["reclaim_window"],
                             lambda lv, close=close: ready & (close > lv) & body_ok)
         sides.append(same | later)
     return sides[0], sides[1]
@@ -709,23 +714,24 @@ def structure_break(f, p):
     start = order * 4 + win + 10
     atr = F.coalesce(f.need("ATR_14"), F.lit(0.0))
     ready = C("bar_no") >= start
+    own = {n: f.own_name(n) for n in ("BPH", "BPL", "BLASTH", "BLASTL", "BDIR", "BLVL", "BPD")}
     for side in "HL":
-        f.put(**{f"_BP{side}": F.when(ready, f.need(f"PIVOT{side}_{order}"))})
-    top, bottom = f.ffill("_BLASTH", "_BPH"), f.ffill("_BLASTL", "_BPL")
+        f.put(**{own[f"BP{side}"]: F.when(ready, f.need(f"PIVOT{side}_{order}"))})
+    top, bottom = f.ffill(own["BLASTH"], own["BPH"]), f.ffill(own["BLASTL"], own["BPL"])
     push = C("close") - C("open")
     up = ready & (C("close") > top + p["bos_buffer_atr"] * atr)
     down = ready & (C("close") < bottom - p["bos_buffer_atr"] * atr)
     if p["require_displacement"]:
         up, down = up & (push > p["displacement_atr"] * atr), down & (-push > p["displacement_atr"] * atr)
-    f.put(_BDIR=F.when(yes(down), -1).when(yes(up), 1))
-    f.put(_BLVL=F.when(C("_BDIR") == -1, bottom).when(C("_BDIR") == 1, top))
+    f.put(**{own["BDIR"]: F.when(yes(down), -1).when(yes(up), 1)})
+    f.put(**{own["BLVL"]: F.when(C(own["BDIR"]) == -1, bottom).when(C(own["BDIR"]) == 1, top)})
     past = f.rows(win, -1)
-    f.put(_BPD=F.last(F.when(C("_BDIR").isNotNull(), C("_BDIR")), ignorenulls=True).over(past))
+    f.put(**{own["BPD"]: F.last(F.when(C(own["BDIR"]).isNotNull(), C(own["BDIR"])), ignorenulls=True).over(past)})
     tol = p["pullback_tolerance_atr"] * atr
-    good = lambda lv: F.when(C("_BPD") == 1, (C("low") <= lv + tol) & (C("close") > lv)).otherwise(
+    good = lambda lv: F.when(C(own["BPD"]) == 1, (C("low") <= lv + tol) & (C("close") > lv)).otherwise(
         (C("high") >= lv - tol) & (C("close") < lv))
-    hit = pending_hit(f, f"BOS{order}_{win}", C("_BDIR").isNotNull(), C("_BLVL"), win, good)
-    return hit & (C("_BPD") == 1), hit & (C("_BPD") == -1)
+    hit = pending_hit(f, "BOS", C(own["BDIR"]).isNotNull(), C(own["BLVL"]), win, good)
+    return hit & (C(own["BPD"]) == 1), hit & (C(own["BPD"]) == -1)
 
 
 _add("MarketStructureBOSPullbackStrategy", TREND,

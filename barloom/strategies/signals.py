@@ -85,6 +85,9 @@ class _Scoped:
     def __init__(self, frame: Frame, i: int):
         self._f, self._i = frame, i
 
+    def own_name(self, name: str) -> str:
+        return f"_{name}_v{self._i}"
+
     def __getattr__(self, name):
         return getattr(self._f, name)
 

@@ -50,6 +50,17 @@ def test_variants_keep_apart(bars):
         assert _set(signals(bars, [v])) == {x for x in both if x[3] == sb.param_hash(sb.get(v[0]).params(**v[1]))}
 
 
+def test_every_rule_beside_a_second_variant_of_itself(spark):
+    """Two far sets of each grid: together they give what each gives without the other."""
+    pdf = make_bars(700, ("AAA",), seed=9)
+    first = [(n, {k: v[0] for k, v in sb.get(n).grid.items()}) for n in sb.names()]
+    last = [(n, {k: v[-1] for k, v in sb.get(n).grid.items()}) for n in sb.names()]
+    df = spark.createDataFrame(pdf)
+    a, b, both = (_set(signals(df, v)) for v in (first, last, first + last))
+    assert both == a | b
+    assert len({x[2] for x in both}) > 40
+
+
 def test_repair_rounds_give_the_sequential_answer(spark):
     """A machine with a long memory and no useful halo: every guess is wrong at first."""
     n = 200
