@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import recursive as rec
-from barloom.series import CHUNK_ROWS, KEYS, number_bars, own_rows, with_halo
+from barloom.series import KEYS, chunk_length, number_bars, own_rows, with_halo
 
 BASE = ["symbol", "timeframe", "ts", "bar_no", "series_rows", "open", "high", "low", "close", "volume"]
 WINDOW_SLACK = 700
@@ -75,7 +75,7 @@ class Frame:
 
     @classmethod
     def of(cls, bars: DataFrame, recursive: Sequence[str] = (), lookback: int = WINDOW_SLACK,
-           keys: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> Frame:
+           keys: Sequence[str] = KEYS, chunk_rows: int | None = None) -> Frame:
         """Number, chunk and halo the bars; run the recursive pass when recursive columns are asked for."""
         numbered = bars if "bar_no" in bars.columns else number_bars(bars, keys, chunk_rows)
         recursive = [resolve(n) for n in dict.fromkeys(recursive)]
@@ -84,7 +84,7 @@ class Frame:
         if recursive:
             df = _recursive_pass(df, recursive, keys)
         f = cls(df, keys)
-        f.halo, f.chunk_rows = halo, chunk_rows
+        f.halo, f.chunk_rows = halo, chunk_length(bars, chunk_rows)
         return f
 
     @property
@@ -416,7 +416,7 @@ _WINDOW_FEATURES = [(re.compile(p), fn) for p, fn in [
 ]]
 
 
-def features(bars: DataFrame, names: Sequence[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def features(bars: DataFrame, names: Sequence[str] | None = None, chunk_rows: int | None = None) -> DataFrame:
     """Bars plus the named feature columns (all default ones when not given)."""
     names = list(ALL_FEATURES if names is None else names)
     f = Frame.of(bars, recursive_needs(names), lookback=lookback(names), chunk_rows=chunk_rows)

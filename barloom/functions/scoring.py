@@ -171,11 +171,11 @@ def sharpe_robustness(train_sharpe: Column, val_sharpe: Column) -> Column:
 
 def minimum_criteria(m: M, cfg: Config = DEFAULT) -> Column:
     """First criterion that fails, or OK."""
-    return (F.when(m["total_trades"] < cfg.min_trades, "Insufficient trades")
+    return (F.when(m["total_trades"] < cfg.min_trades, "few_trades")
             .when(m["win_rate"] < cfg.min_win_rate, "Low win rate")
             .when(m["profit_factor"] < cfg.min_profit_factor, "Low profit factor")
             .when(m["sharpe_ratio"] < cfg.min_sharpe, "Low Sharpe ratio")
-            .when(m["max_drawdown_pct"] > cfg.max_drawdown, "High drawdown").otherwise("OK"))
+            .when(m["max_drawdown_pct"] > cfg.max_drawdown, "deep_drawdown").otherwise("OK"))
 
 
 def training_eligibility(m: M, cfg: Config = DEFAULT) -> Column:

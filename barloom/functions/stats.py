@@ -97,8 +97,8 @@ def wilcoxon(diffs: DataFrame, group: Sequence[str], form: str = "simulation", p
     z = F.when(var < 1e-24, 0.0).otherwise((stat - n * (n + 1) / 4.0) / F.sqrt(var))
     if form == "simulation":
         ok = (C("pairs") >= 10) & (C("n") >= 10)
-        note = (F.when(C("pairs") < 10, "Insufficient paired replication samples")
-                .when(C("n") < 10, "Too few non-zero paired differences"))
+        note = (F.when(C("pairs") < 10, "fewer than ten pairs")
+                .when(C("n") < 10, "fewer than ten differences"))
     else:
         ok = C("n") > 0
         note = F.when(C("n") == 0, "no non-zero difference").when(C("n") <= 50, "normal approximation")
@@ -138,7 +138,7 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str, group: Seque
         ok = C("k") >= 3
     else:
         ok = (C("k") >= 3) & (C("n") >= 10)
-    note = F.when(C("k") < 3, "Need at least 3 groups").when(~ok, "Insufficient paired replications")
+    note = F.when(C("k") < 3, "fewer than three treatments").when(~ok, "fewer than ten blocks")
     out = t.select(*g, F.when(ok, chi).alias("_chi"), F.when(ok, (C("k") - 1).cast("int")).alias("df"), "n", "k",
                    note.alias("note"))
     if p_values:

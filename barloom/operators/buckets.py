@@ -12,7 +12,7 @@ from barloom.functions.rounding import rnd
 
 from barloom.functions import scoring as sc
 from barloom.operators.resample import split_bounds
-from barloom.series import CHUNK_ROWS, bound, fits, mark
+from barloom.series import chunk_length
 from barloom.session import cut_lineage
 
 REGIMES = ("TREND", "RANGE", "BREAKOUT", "CHOP")
@@ -33,8 +33,7 @@ def split_trades(trades: DataFrame) -> DataFrame:
     end, start = split_bounds(F.col("slot_trades"))
     tags = F.array_compact(F.array(F.when(F.col("entry_bar") < end, F.lit("train")),
                                    F.when(F.col("entry_bar") >= start, F.lit("val"))))
-    out = trades.withColumn("split", F.explode(tags))
-    return mark(out, 2 * bound(trades)) if bound(trades) is not None else out
+    return trades.withColumn("split", F.explode(tags))
 
 
 def ratio0(a: Column, b: Column) -> Column:
@@ -42,7 +41,7 @@ def ratio0(a: Column, b: Column) -> Column:
 
 
 def equity_path(trades: DataFrame, keys: Sequence[str], capital: float = 10000.0, order: Sequence[str] = ("entry_bar",),
-                block_rows: int = CHUNK_ROWS) -> DataFrame:
+                block_rows: int | None = None) -> DataFrame:
     """Running equity, its peak and the current losing streak of each key, in ``order``.
 
     Built in blocks of positions so that a key of any size spreads over many tasks: windows inside a block, and one
@@ -50,13 +49,7 @@ def equity_path(trades: DataFrame, keys: Sequence[str], capital: float = 10000.0
     """
     keys = list(keys)
     pnl, c = F.col("pnl_dollars"), F.col
-    if fits(trades) and block_rows >= CHUNK_ROWS:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        x = trades.withColumns({"equity": capital + F.sum(pnl).over(run), "_pos": F.row_number().over(w)})
-        x = x.withColumns({"peak": F.greatest(F.lit(capital), F.max("equity").over(run)),
-                           "_held": F.coalesce(F.max(F.when(pnl >= 0, c("_pos"))).over(run), F.lit(0))})
-        return x.withColumn("losing_streak", F.when(pnl < 0, c("_pos") - c("_held")).otherwise(0)).drop("_pos", "_held")
+    block_rows = chunk_length(trades, block_rows)
     wb = Window.partitionBy(*keys, "_blk").orderBy(*order)
     run = wb.rowsBetween(Window.unboundedPreceding, 0)
     # both the rows and the block summaries read the ledger: write it once instead of building it twice
@@ -80,7 +73,7 @@ def equity_path(trades: DataFrame, keys: Sequence[str], capital: float = 10000.0
 
 
 def bucket_metrics(trades: DataFrame, keys: Sequence[str], capital: float = 10000.0,
-                   order: Sequence[str] = ("entry_bar",), block_rows: int = CHUNK_ROWS) -> DataFrame:
+                   order: Sequence[str] = ("entry_bar",), block_rows: int | None = None) -> DataFrame:
     """Metrics of each trade bucket."""
     keys = list(keys)
     pnl = F.col("pnl_dollars")

@@ -3,7 +3,7 @@
 Each chunk first guesses its entry state by running the machine over its halo.  The exit state of a chunk is then
 compared with the guess of the next; only chunks whose guess was wrong run again, until all agree.  The machines
 here forget quickly, so one or two rounds settle; in the worst case it degrades to a sequential pass, never to a
-wrong answer.  A series of one chunk needs no round at all.
+wrong answer. 
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ def _bounds(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int]:
 
 def chunk_scan(
     df: DataFrame, step: Step, out_fields: Sequence[T.StructField], keep: Sequence[str], keys: Sequence[str],
-    max_chunk: int | None = None,
 ) -> DataFrame:
     """Run ``step`` over every series; returns ``keep`` columns plus the outputs, own rows only."""
     keep = list(keep)
@@ -42,11 +41,6 @@ def chunk_scan(
         out, _ = step(pdf, first, len(pdf), state)
         return pd.concat([pdf.loc[first:, keep].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
 
-    if max_chunk is None:
-        max_chunk = df.agg(F.max("_chunk")).first()[0] or 0
-    if max_chunk == 0:
-        return df.groupBy(*keys, "_chunk").applyInPandas(emit, schema)
-
     df = cut_lineage(df)
     state_schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("_chunk", T.LongType()), T.StructField("st_in", T.StringType()), T.StructField("st_out", T.StringType())])

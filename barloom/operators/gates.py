@@ -26,13 +26,13 @@ PRESETS = {
     "minimal": ("G1", "G2"), "quality_focused": ("G2", "G5", "G6"), "robustness_focused": ("G1", "G5", "G7"),
 }
 DESCRIPTIONS = {
-    "all_gates": "Full seven-gate validation pipeline (baseline configuration)",
-    "no_gates": "All gates disabled (negative baseline for ablation comparison)",
-    "drawdown_only": "Only the maximum drawdown gate is active",
-    "profitability_only": "Only profitability gates active (G3 train + G6 profit factor)",
-    "minimal": "Minimal gate set: trade count + drawdown only",
-    "quality_focused": "Quality-focused gates: drawdown, return/DD ratio, profit factor",
-    "robustness_focused": "Robustness-focused gates: trade count, return/DD ratio, robustness gap",
+    "all_gates": "every gate on, the yardstick of all comparisons",
+    "no_gates": "every gate off, the lower end of all comparisons",
+    "drawdown_only": "depth of loss alone",
+    "profitability_only": "profit alone, in training and in validation",
+    "minimal": "enough trades and a bounded loss",
+    "quality_focused": "bounded loss, return earned per loss, profit factor",
+    "robustness_focused": "enough trades, return earned per loss, score kept out of sample",
 }
 SINGLE = {f"single_{g.lower()}": (g,) for g in GATES}
 TOP = 20
@@ -183,33 +183,34 @@ def check_gates(candidates: DataFrame, presets: Sequence[Preset], reason: bool =
     return x.withColumn("passed", F.size("failed_gates") == 0).drop("_hits", "_on", "_mine")
 
 
-def rank_candidates(candidates: DataFrame, top: int = TOP) -> DataFrame:
-    """Candidates with training trades in the total order of the slot, the first ``top`` of each."""
-    return _ranked(candidates, top).filter("_usable").drop("_usable", "candidate_count", "usable")
+def rank_candidates(candidates: DataFrame, top: int | None = TOP) -> DataFrame:
+    """Candidates with training trades in the total order of the slot; the first ``top`` of each, or all (None).
+
+    With a limit, each task passes on at most ``top`` rows of a slot (the planner's window group limit).
+    """
+    order = Window.partitionBy(*SLOT).orderBy(F.col("quality_score").desc(), "strategy_name", "param_hash")
+    x = candidates.filter(F.col("train_trades") > 0).withColumn("rank", F.row_number().over(order))
+    return x if top is None else x.filter(F.col("rank") <= top)
 
 
 def _ranked(candidates: DataFrame, top: int) -> DataFrame:
-    """Top candidates plus slot counts; a slot without usable candidates keeps one row to carry its counts."""
-    slot = Window.partitionBy(*SLOT)
-    order = slot.orderBy(F.col("_usable").desc(), F.col("quality_score").desc(), "strategy_name", "param_hash")
-    x = candidates.withColumn("_usable", F.coalesce(F.col("train_trades") > 0, F.lit(False)))
-    x = x.withColumns({"rank": F.row_number().over(order), "candidate_count": F.count(F.lit(1)).over(slot),
-                       "usable": F.sum(F.col("_usable").cast("long")).over(slot)})
-    return x.filter((F.col("rank") <= top) & (F.col("_usable") | (F.col("rank") == 1)))
+    """Top candidates beside slot counts, which are summed before the shuffle; a slot without usable candidates keeps one row."""
+    counts = candidates.groupBy(*SLOT).agg(F.count(F.lit(1)).alias("candidate_count"), F.count(F.when(F.col("train_trades") > 0, 1)).alias("usable"))
+    return counts.join(rank_candidates(candidates, top), [*SLOT], "left").withColumn("_usable", F.col("rank").isNotNull())
 
 
 WINNER_FIELDS = ("strategy_name", "param_hash", "quality_score", "rank", "val_trades", "val_pf", "val_return", "val_dd",
                  "val_sharpe", "val_win_rate", "train_trades", "train_pf", "train_return")
 
 
-def materialise(candidates: DataFrame, presets: Sequence[Preset], slots: DataFrame | None = None) -> DataFrame:
+def materialise(candidates: DataFrame, presets: Sequence[Preset], slots: DataFrame | None = None, top: int = TOP) -> DataFrame:
     """Rejection ledger of every preset: one row per preset and slot with the winner or none.
 
     One pass: candidates are ranked once per slot, only the top ones meet the presets, and the regrouping keeps the
     slot partitioning.  ``slots`` may add slots with a ``slot_reason`` that have no usable evidence.
     """
     extra = [c for c in ("is_tuned", "params_json") if c in candidates.columns]
-    tested = check_gates(_ranked(candidates, TOP), presets, reason=True)
+    tested = check_gates(_ranked(candidates, top), presets, reason=True)
     passed = F.col("passed") & F.col("_usable")
     entry = F.struct("rank", "strategy_name", "param_hash", "quality_score", "reason", "failed_gates")
     x = tested.groupBy(*SLOT, "preset").agg(
@@ -228,11 +229,11 @@ def materialise(candidates: DataFrame, presets: Sequence[Preset], slots: DataFra
                      F.array().cast(REJECTIONS))
     usable = F.coalesce(F.col("usable"), F.lit(0))
     given = F.col("slot_reason") if slots is not None else F.lit(None).cast("string")
-    reason = (F.when(given.isNotNull(), given).when(won, "").when(usable == 0, "no candidates with training trades for regime")
-              .otherwise("all considered candidates failed active gates"))
+    reason = (F.when(given.isNotNull(), given).when(won, "").when(usable == 0, "nobody traded in training")
+              .otherwise("every ranked candidate failed"))
     return x.withColumn("rejections", rej).select(
         "preset", *SLOT, F.coalesce(F.col("candidate_count"), F.lit(0)).alias("candidate_count"),
-        F.when(won, F.col("winner_rank")).otherwise(F.least(usable, F.lit(TOP))).cast("int").alias("candidates_considered"),
+        F.when(won, F.col("winner_rank")).otherwise(F.least(usable, F.lit(top))).cast("int").alias("candidates_considered"),
         F.when(won, F.col("winner")).alias("winner"), "rejections", active.alias("gates_applied"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("rejections", lambda r: r["failed_gates"])))).alias("binding_gates"),
         F.when(won, "FILLED").otherwise("NO_TRADE").alias("outcome"), reason.alias("reason"),
@@ -256,8 +257,8 @@ def fill_totals(ledger: DataFrame) -> DataFrame:
 def slot_spine(index: DataFrame) -> DataFrame:
     """Four regime slots per indexed (symbol, timeframe), with the reason when its evidence is unusable."""
     status, n = F.col("status"), F.col("candidate_count")
-    reason = (F.when(status != "complete", F.concat(F.lit("evidence slot "), status))
-              .when(F.coalesce(n, F.lit(0)) == 0, "zero candidates in evidence"))
+    reason = (F.when(status != "complete", F.concat(F.lit("slot is "), status))
+              .when(F.coalesce(n, F.lit(0)) == 0, "slot is empty"))
     return index.select("symbol", "timeframe", reason.alias("slot_reason"),
                         F.explode(F.array(*[F.lit(r) for r in REGIMES])).alias("regime"))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from barloom.functions import instruments as ins
 from barloom.functions.rounding import rnd
 from barloom.functions.scoring import DEFAULT, Config
 from barloom.operators.resample import split_bounds
-from barloom.series import CHUNK_ROWS, fits, number_bars
+from barloom.series import chunk_length, number_bars
 from barloom.session import cut_lineage
 from barloom.strategies.base import get, param_hash
 from barloom.strategies.signals import signal_columns
@@ -32,22 +34,28 @@ LEDGER = ("symbol", "timeframe", "split", "strategy_name", "param_hash")
 SPEC = ("pip_position", "pip_value", "spread_avg", "min_lot", "max_lot", "commission_per_lot", "tick_size", "tick_value", "volume_step")
 
 
-def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS,
+def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int | None = None,
             ) -> tuple[DataFrame, DataFrame]:
     """(numbered bars, entry candidates per split).  A signal enters at the open of the next bar."""
     numbered = bars if "bar_no" in bars.columns else number_bars(bars, chunk_rows=chunk_rows)
-    wide, meta = signal_columns(numbered, variants, extra=["ATR_14"], chunk_rows=chunk_rows)
-    mult = {}
+    # sets that differ in stop and target only share a signal column
+    sets: dict[tuple[str, str], list[tuple[str, float, float]]] = {}
+    plain_variants = {}
     for v in variants:
         name, over = (v, {}) if isinstance(v, str) else v
         p = get(name).params(**over)
-        mult[(get(name).name, param_hash(p))] = (float(p["sl_atr_mult"]), float(p["tp_atr_mult"]))
-    rows = F.array(*[F.struct(F.lit(n).alias("strategy_name"), F.lit(h).alias("param_hash"), F.lit(mult[n, h][0]).alias("sl_mult"),
-                              F.lit(mult[n, h][1]).alias("tp_mult"), C(c).alias("signal")) for c, n, h in meta])
+        base = {k: x for k, x in p.items() if k not in ("sl_atr_mult", "tp_atr_mult")}
+        key = param_hash(get(name).params(**base))
+        plain_variants[get(name).name, key] = (name, base)
+        sets.setdefault((get(name).name, key), []).append((param_hash(p), float(p["sl_atr_mult"]), float(p["tp_atr_mult"])))
+    wide, meta = signal_columns(numbered, list(plain_variants.values()), extra=["ATR_14"], chunk_rows=chunk_rows)
+    rows = F.array(*[F.struct(F.lit(n).alias("strategy_name"), F.array(*[
+        F.struct(F.lit(h).alias("param_hash"), F.lit(sl).alias("sl_mult"), F.lit(tp).alias("tp_mult")) for h, sl, tp in sets[n, key]]).alias("sets"),
+        C(c).alias("signal")) for c, n, key in meta])
     fired = wide.select("symbol", "timeframe", C("ts").alias("signal_time"), C("bar_no").alias("signal_bar"), "series_rows", "ATR_14",
                         F.explode(F.filter(rows, lambda r: r["signal"] != 0)).alias("_r"))
-    fired = fired.select("symbol", "timeframe", "signal_time", "signal_bar", "series_rows", "ATR_14", "_r.*",
-                         (C("signal_bar") + 1).alias("entry_bar"))
+    fired = fired.select("symbol", "timeframe", "signal_time", "signal_bar", "series_rows", "ATR_14", "_r.strategy_name", "_r.signal",
+                         F.explode("_r.sets").alias("_v"), (C("signal_bar") + 1).alias("entry_bar")).select("*", "_v.*").drop("_v")
     # prices come from the numbered bars, so the indicator passes run once, for the signals only
     plain = numbered.select("symbol", "timeframe", "ts", "bar_no", "series_rows", "open", "high", "low", "close")
     nxt = plain.select("symbol", "timeframe", C("bar_no").alias("entry_bar"), C("open").alias("_open"), C("ts").alias("entry_time"))
@@ -130,13 +138,14 @@ def _walk(bars: pd.DataFrame, cand: pd.DataFrame, one_position: bool = True) ->
     return pd.DataFrame(out)
 
 
-def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROWS, one_position: bool = True,
-                   max_chunk: int | None = None, batches: int = 1) -> DataFrame:
+def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int | None = None, one_position: bool = True,
+                   batches: int = 1) -> DataFrame:
     """Entries actually taken with their exits.
 
     One group holds the bars of a chunk and the candidates of one batch of rules; ``batches`` splits the rules of a
     large sweep, each batch with its own copy of the bars, so a group stays small however many rules there are.
     """
+    chunk_rows = chunk_length(bars, chunk_rows)
     on = ["symbol", "timeframe", "_chunk", "_batch"]
     bon = [f"b_{k}" for k in on]
     b = bars.select(C("symbol").alias("b_symbol"), C("timeframe").alias("b_timeframe"), "ts", "bar_no", "high", "low", "close",
@@ -144,10 +153,7 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROW
                     F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("b__batch"))
     c = cand.select("symbol", "timeframe", *_POSITION, F.expr(f"entry_bar div {chunk_rows}").alias("_chunk"),
                     F.pmod(F.hash("strategy_name", "param_hash"), F.lit(batches)).alias("_batch"))
-    if max_chunk is None:
-        max_chunk = b.agg(F.max("b__chunk")).first()[0] or 0
-    if max_chunk:
-        b, c = cut_lineage(b), cut_lineage(c)
+    b, c = cut_lineage(b), cut_lineage(c)
     schema = T.StructType([c.schema[k] for k in on] + [c.schema[k] for k in _POSITION] + [
         T.StructField("kind", T.StringType()), T.StructField("exit_bar", T.LongType()), T.StructField("exit_time", T.TimestampType()),
         T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType())])
@@ -162,9 +168,6 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROW
         return out.reindex(columns=names)
 
     go = lambda x: b.groupBy(*bon).cogroup(x.groupBy(*on)).applyInPandas(run, schema)
-    if max_chunk == 0:
-        return go(c).drop("kind", "_chunk", "_batch")
-
     lk = ["symbol", "timeframe", "split", "strategy_name", "param_hash"]
     result, used = cut_lineage(go(c)), None
     while True:
@@ -185,23 +188,113 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROW
     return result.filter(C("kind") == "trade").drop("kind", "_chunk", "_batch")
 
 
-def ledger(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def ledger(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int | None = None) -> DataFrame:
     """Complete trade ledger of the rule variants on every series and split."""
     plain, cand = entries(bars, variants, specs, cfg, chunk_rows)
-    taken = take_positions(plain, cand, chunk_rows, max_chunk=_known_single(bars, chunk_rows),
-                           batches=math.ceil(len(variants) / BATCH_RULES))
+    taken = take_positions(plain, cand, chunk_rows, batches=math.ceil(len(variants) / BATCH_RULES))
     return money(taken.join(specs.select("symbol", *SPEC), "symbol"), cfg)
 
 
-def _known_single(bars: DataFrame, chunk_rows: int) -> int | None:
-    return 0 if fits(bars) and chunk_rows >= CHUNK_ROWS else None
+_PATH = ("entry_bar", "end_bar", "is_long", "entry_price", "stop_loss", "take_profit", "half_spread", "slippage", "pip")
+
+
+@dataclass(frozen=True)
+class ExitRule:
+    """What moves the stop or ends a position besides its barriers; zero switches a part off."""
+
+    max_bars: int = 0
+    trailing_pips: float = 0.0
+    trail_after: float = 0.0
+    breakeven_after: float = 0.0
+    breakeven_offset: float = 0.0
+
+    def stops(self, stop: float, entry: float, pip: float, seen: np.ndarray) -> np.ndarray:
+        """Stop on each bar in long terms, from the best gain seen before it."""
+        out = np.full(len(seen), stop)
+        if self.trailing_pips > 0:
+            out = np.where(seen >= self.trail_after, np.maximum(out, entry + (seen - self.trailing_pips) * pip), out)
+        if self.breakeven_after > 0:
+            out = np.where(seen >= self.breakeven_after, np.maximum(out, entry + self.breakeven_offset * pip), out)
+        return out
+
+
+def _leave(high, low, close, base: int, count: int, e, rule: ExitRule):
+    """(exit bar, reason, price, best gain) of one position within a chunk; the bar is None while it stays open."""
+    side = 1.0 if e.is_long else -1.0
+    # a short is a long in mirrored prices
+    near, far = (low, high) if e.is_long else (-high, -low)
+    stop, target, entry = e.stop_loss * side, e.take_profit * side, e.entry_price * side
+    at, last, step, seen = max(e.entry_bar + 1 - base, 0), min(e.end_bar - base, count), 64, e.seen
+    while at < last:
+        to = min(at + step, last)
+        gains = (close[at:to] * side - entry) / e.pip
+        best = np.maximum.accumulate(np.concatenate(([seen], gains)))
+        stops = rule.stops(stop, entry, e.pip, best[:-1])
+        hit_sl, hit_tp = near[at:to] - e.half_spread <= stops, far[at:to] - e.half_spread >= target
+        late = np.arange(at, to) + base - e.entry_bar >= rule.max_bars if rule.max_bars else np.zeros(to - at, bool)
+        hits = np.flatnonzero(hit_sl | hit_tp | late)
+        if len(hits):
+            k = hits[0]
+            if hit_sl[k]:
+                return base + at + k, "closed_sl", (stops[k] - e.slippage) * side, best[k]
+            if hit_tp[k]:
+                return base + at + k, "closed_tp", e.take_profit, best[k]
+            return base + at + k, "closed_time", (high[at + k] + low[at + k]) / 2, best[k]
+        seen, at, step = best[-1], to, step * 2
+    if e.end_bar <= base + count:
+        k = max(last - 1, 0)
+        return base + k, "end_of_data", close[k] - e.half_spread * side, seen
+    return None, None, None, seen
+
+
+def follow(bars: DataFrame, pos: DataFrame, ids: Sequence[str], rule: ExitRule = ExitRule(), chunk_rows: int | None = None) -> DataFrame:
+    """Exit of every position on its own: ``ids``, exit_bar, bars_held, exit_reason, exit_price.
+
+    ``pos`` holds the series keys, ``ids`` and the columns of ``_PATH``; ``end_bar`` is the bar after the last one that counts.  A chunk follows
+    the positions that are open in it; those still open go on to the next chunk, until all have left or their data ends.
+    """
+    n = chunk_length(bars, chunk_rows)
+    on = ["symbol", "timeframe", "_chunk"]
+    extra = [c for c in ids if c not in (*on, *_PATH)]
+    b = cut_lineage(bars.select("symbol", "timeframe", "bar_no", "high", "low", "close", F.expr(f"bar_no div {n}").alias("_chunk")))
+    live = pos.select("symbol", "timeframe", *extra, *_PATH, F.lit(float("-inf")).alias("seen"), F.expr(f"entry_bar div {n}").alias("_chunk"))
+    schema = T.StructType([*live.schema.fields, T.StructField("exit_bar", T.LongType()), T.StructField("exit_reason", T.StringType()),
+                           T.StructField("exit_price", T.DoubleType())])
+    names = schema.fieldNames()
+
+    def run(bars_pdf: pd.DataFrame, pos_pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pos_pdf) or not len(bars_pdf):
+            return pd.DataFrame(columns=names)
+        bars_pdf = bars_pdf.sort_values("bar_no")
+        high, low, close = (bars_pdf[c].to_numpy(float) for c in ("high", "low", "close"))
+        base, count = int(bars_pdf["bar_no"].iloc[0]), len(bars_pdf)
+        left = [_leave(high, low, close, base, count, e, rule) for e in pos_pdf.itertuples()]
+        bar, why, price, seen = zip(*left, strict=True)
+        out = pos_pdf.assign(seen=seen, exit_reason=list(why), exit_price=pd.array(price, dtype="Float64"), exit_bar=pd.array(bar, dtype="Int64"))
+        return out[names]
+
+    left = []
+    while True:
+        here = b.join(live.select(*on).distinct(), on, "left_semi")
+        out = cut_lineage(here.groupBy(*on).cogroup(live.groupBy(*on)).applyInPandas(run, schema))
+        left.append(out.filter("exit_bar IS NOT NULL"))
+        live = out.filter("exit_bar IS NULL").drop("exit_bar", "exit_reason", "exit_price").withColumn("_chunk", C("_chunk") + 1)
+        if live.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, left).select(
+        "symbol", "timeframe", *extra, "entry_bar", "exit_bar", (C("exit_bar") - C("entry_bar")).alias("bars_held"), "exit_reason", "exit_price")
 
 
-def barrier_labels(bars: DataFrame, cand: DataFrame, chunk_rows: int = CHUNK_ROWS, max_chunk: int | None = None) -> DataFrame:
+def barrier_labels(bars: DataFrame, cand: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """First barrier touched by every entry on its own, without the one-position rule."""
-    each = cand.withColumn("param_hash", F.concat_ws("#", "param_hash", C("entry_bar").cast("string")))
-    out = take_positions(bars, each, chunk_rows, True, max_chunk)
-    return out.withColumn("param_hash", F.substring_index("param_hash", "#", 1))
+    pos = cand.withColumns({"end_bar": C("split_end"), "pip": F.lit(1.0)})
+    return follow(bars, pos, (*LEDGER[2:], "is_long"), chunk_rows=chunk_rows)
+
+
+def marks(bars: DataFrame, exits: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """A row for each position and bar from its entry to its exit, with that bar's close."""
+    bar = F.explode(F.sequence("entry_bar", "exit_bar")).alias("bar_no")
+    return exits.select("symbol", "timeframe", *ids, bar).join(bars.select("symbol", "timeframe", "bar_no", "close"), ["symbol", "timeframe", "bar_no"])
 
 
 _MONEY = ("position_size double, risk_amount double, pnl_pips double, pnl_dollars double, equity_after double, curve_before double, "
@@ -339,41 +432,3 @@ def totals(trades: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     if marks is None:
         return real
     return real.join(marks.groupBy("symbol").agg(rnd(F.sum("unrealised_dollars"), 2).alias("unrealised")), "symbol", "left")
-
-
-def exit_variants(bars: DataFrame, pos: DataFrame, max_bars: int = 0, trailing_pips: float = 0.0, trail_after: float = 0.0,
-                  breakeven_after: float = 0.0, breakeven_offset: float = 0.0, span: int = 500) -> DataFrame:
-    """Exit of each position under a time limit, a trailing stop or a breakeven stop, as a windowed range join.
-
-    A stop that has moved follows the best price so far, so it is a running maximum and needs no loop.  A position is
-    followed for ``span`` bars, or its time limit; the caller sets the span to the longest holding it allows.
-    """
-    limit = max_bars if max_bars > 0 else span
-    steps = F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("held")
-    p = pos.select("*", steps).withColumn("bar_no", C("entry_bar") + C("held"))
-    b = bars.select("symbol", "timeframe", "bar_no", C("high").alias("_h"), C("low").alias("_l"), C("close").alias("_c"))
-    x = p.join(b, ["symbol", "timeframe", "bar_no"])
-    size = ins.pip_size(C("pip_position"))
-    key = ["symbol", "timeframe", "trade_id"]
-    w = Window.partitionBy(*key).orderBy("held")
-    gain = F.when(C("is_long"), C("_c") - C("entry_price")).otherwise(C("entry_price") - C("_c")) / size
-    x = x.withColumn("_gain", gain)
-    seen = F.max("_gain").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    moved = [F.when(C("is_long"), C("stop_loss")).otherwise(-C("stop_loss"))]
-    level = lambda pips_: F.when(C("is_long"), C("entry_price")).otherwise(-C("entry_price")) + pips_ * size
-    if trailing_pips > 0:
-        moved.append(F.when(seen >= trail_after, level(seen - trailing_pips)))
-    if breakeven_after > 0:
-        moved.append(F.when(seen >= breakeven_after, level(F.lit(breakeven_offset))))
-    stop = F.greatest(*moved) if len(moved) > 1 else moved[0]
-    x = x.withColumn("_stop", F.when(C("is_long"), stop).otherwise(-stop))
-    half = C("half_spread")
-    sl = F.when(C("is_long"), C("_l") - half <= C("_stop")).otherwise(C("_h") + half >= C("_stop"))
-    tp = F.when(C("is_long"), C("_h") - half >= C("take_profit")).otherwise(C("_l") + half <= C("take_profit"))
-    why = F.when(sl, "closed_sl").when(tp, "closed_tp")
-    if max_bars > 0:
-        why = F.coalesce(why, F.when(C("held") >= max_bars, "closed_time"))
-    price = F.when(why == "closed_sl", C("_stop")).when(why == "closed_tp", C("take_profit")).otherwise((C("_h") + C("_l")) / 2)
-    x = x.withColumns({"_why": why, "_price": price}).filter(C("_why").isNotNull())
-    return x.groupBy(*key).agg(F.min("held").alias("bars_held"), F.min_by("_why", "held").alias("exit_reason"),
-                               F.min_by("_price", "held").alias("exit_price"))

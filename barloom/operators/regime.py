@@ -14,7 +14,7 @@ from barloom.functions.indicators import BASE, Frame
 from barloom.functions.rounding import rnd  # noqa: F401
 from barloom.operators.buckets import REGIMES
 from barloom.operators.chunk_scan import chunk_scan
-from barloom.series import CHUNK_ROWS, KEYS, last_chunk, number_bars
+from barloom.series import KEYS, number_bars
 
 C = F.col
 
@@ -206,13 +206,13 @@ REGIME_COLS = (*SCORES, "regime_raw", "regime_strength", "regime_gap", "regime_w
 
 
 def regimes(bars: DataFrame, p: RegimeParams = RegimeParams(), overrides: DataFrame | None = None,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int | None = None) -> DataFrame:
     """Bars with all regime columns; ``regime_live`` is the label known when a bar opens."""
     numbered = bars if "bar_no" in bars.columns else number_bars(bars, KEYS, chunk_rows)
     f = scores(Frame.of(numbered, lookback=700 + p.bb_squeeze_lookback, chunk_rows=chunk_rows), p)
     keep = [c for c in BASE if f.has(c)] + [c for c in REGIME_COLS if c not in ("regime", "regime_live")]
     x = resolve_params(f.df.select(*keep, "_chunk", "_own"), overrides, p)
     out = chunk_scan(x, _switch, [T.StructField("regime", T.StringType()), T.StructField("regime_live", T.StringType())],
-                     keep, KEYS, max_chunk=last_chunk(numbered, chunk_rows))
+                     keep, KEYS)
     short = C("series_rows") < p.warmup + 10
     return out.withColumn("regime_live", F.when(short, "CHOP").otherwise(C("regime_live")))

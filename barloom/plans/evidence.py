@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from barloom.functions import scoring as sc
 from barloom.operators import buckets as bk
 from barloom.operators import gates as gt
-from barloom.series import bound, mark
 from barloom.session import cut_lineage
 from barloom.sources.adapters import sales_ledger
 
@@ -42,8 +41,7 @@ def sales_rejections(spark: SparkSession, sf_dir: str, single: bool = False, wit
 def sales_pool(spark: SparkSession, sf_dir: str, replications: int = 20) -> DataFrame:
     """Replicated candidate pool: the ledger cut into replications by supplier, one candidate per slot and strategy."""
     trades = bk.split_trades(sales_ledger(spark, sf_dir))
-    trades = mark(trades.withColumn("replication_id", F.pmod(F.col("l_suppkey"), F.lit(replications)).cast("int")),
-                  bound(trades))
+    trades = trades.withColumn("replication_id", F.pmod(F.col("l_suppkey"), F.lit(replications)).cast("int"))
     keys = ["replication_id", "symbol", "timeframe", "regime", "strategy_name"]
     b = bk.bucket_metrics(trades, [*keys, "split"])
     pick = lambda half, name: F.max(F.when(F.col("split") == half, F.col(name)))

@@ -25,7 +25,7 @@ def _led(s, d):
 
 
 def _gate_check(s, d):
-    x = gt.check_gates(gt.rank_candidates(ev.sales_candidates(s, d)), gt.all_presets(True))
+    x = gt.check_gates(gt.rank_candidates(ev.sales_candidates(s, d), None), gt.all_presets(True))
     return x.select("preset", *gt.SLOT, "strategy_name", "rank", F.array_join("failed_gates", ",").alias("failed"), "passed")
 
 

@@ -10,6 +10,7 @@ from barloom.functions import tags
 from barloom.functions.rounding import rnd
 from barloom.operators import buckets as bk
 from barloom.operators import gates as gt
+from barloom.operators import ledger as lg
 from barloom.operators import resample as rs
 from barloom.plans import evidence as ev
 from barloom.series import number_bars
@@ -161,12 +162,11 @@ def _stops(s, d):
 
 
 def _marks(s, d):
-    """Unrealised profit and best profit so far of positions opened every tenth bar, for twelve bars each."""
-    b = number_bars(event_bars(s, d))
-    p = b.filter(C("bar_no") % 10 == 0).select(
-        "symbol", C("bar_no").alias("trade_id"), (C("bar_no") % 20 == 0).alias("is_long"), C("open").alias("entry"), F.lit(1).alias("pip_position"),
-        F.lit(2.0).alias("pip_value"), F.explode(F.sequence(C("bar_no"), C("bar_no") + 11)).alias("bar_no"))
-    x = p.join(b.select("symbol", "bar_no", "close"), ["symbol", "bar_no"])
+    """Unrealised profit and best profit so far of a position from every bar, on each bar until it leaves."""
+    from barloom.plans.ledger_queries import _positions
+    b, p = _positions(s, d)
+    out = lg.follow(b, p, ("trade_id",)).join(p.select("symbol", "timeframe", "trade_id", "is_long", C("entry_price").alias("entry")), ["symbol", "timeframe", "trade_id"])
+    x = lg.marks(b, out, ("trade_id", "is_long", "entry")).withColumns({"pip_position": F.lit(1), "pip_value": F.lit(2.0)})
     pips, usd = ins.close_pnl(C("entry"), C("close"), F.lit(0.5), C("is_long"))
     w = Window.partitionBy("symbol", "trade_id").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({"pips": pips, "usd": usd})
@@ -263,7 +263,7 @@ def _plugins(s, d):
     try:
         sig = signals(event_bars(s, d), ["UpBarStrategy"]).groupBy("symbol").agg(
             F.sum(F.when(C("signal") == 1, 1).otherwise(0)).alias("ups"), F.sum(F.when(C("signal") == -1, 1).otherwise(0)).alias("downs"))
-        gates = gt.check_gates(gt.rank_candidates(ev.sales_candidates(s, d)), [gt.Preset("mine", ("G1", "X1"), {"X1": 50.0})])
+        gates = gt.check_gates(gt.rank_candidates(ev.sales_candidates(s, d), None), [gt.Preset("mine", ("G1", "X1"), {"X1": 50.0})])
         hits = gates.agg(F.sum(F.array_contains("failed_gates", "X1").cast("int")).alias("x1_failed"), F.sum(C("passed").cast("int")).alias("passed"))
         return sig.join(F.broadcast(hits))  # one row
     finally:

@@ -10,7 +10,8 @@ from barloom.operators import buckets as bk
 from barloom.operators import ledger as lg
 from barloom.operators import regime as rg
 from barloom.operators.resample import timing_audit
-from barloom.series import bound, mark, number_bars
+from barloom.series import number_bars
+from barloom.session import cut_lineage
 from barloom.sources.adapters import event_bars
 
 C = F.col
@@ -19,17 +20,16 @@ TIGHT = {"sl_atr_mult": 0.5, "tp_atr_mult": 0.75}
 VARIANTS = [("EMACrossoverStrategy", TIGHT), ("DonchianBreakoutStrategy", TIGHT), ("VolatilityBreakoutStrategy", TIGHT)]
 
 
-def event_specs(s):
-    """Specification of the event symbols: one-unit pips, two digits."""
+def event_specs(bars):
+    """Specification of every symbol of the bars: one-unit pips, two digits."""
     fields = {"pip_position": 0, "pip_value": 1.0, "spread_avg": 0.2, "min_lot": 0.01, "max_lot": 100.0, "commission_per_lot": 0.1,
               "tick_size": 0.01, "tick_value": 0.01, "volume_step": 0.01}
-    rows = [(n, *fields.values()) for n in ("click", "error", "purchase", "signup", "view")]
-    types = {"pip_position": "int"}
-    return s.createDataFrame(rows, "symbol string, " + ", ".join(f"{f} {types.get(f, 'double')}" for f in fields))
+    return bars.select("symbol").distinct().select("symbol", *[F.lit(v).alias(f) for f, v in fields.items()])
 
 
 def trades(s, d, variants=None):
-    return lg.ledger(event_bars(s, d), variants or VARIANTS, event_specs(s))
+    bars = event_bars(s, d)
+    return lg.ledger(bars, variants or VARIANTS, event_specs(bars))
 
 
 def _trades(s, d):
@@ -41,14 +41,16 @@ def _trades(s, d):
 
 
 def _entries(s, d):
-    _, c = lg.entries(event_bars(s, d), VARIANTS, event_specs(s))
+    bars = event_bars(s, d)
+    _, c = lg.entries(bars, VARIANTS, event_specs(bars))
     return c.select("symbol", "split", "strategy_name", "signal_bar", "entry_bar", "is_long",
                     *[rnd(x, 4).alias(x) for x in ("entry_price", "stop_loss", "take_profit")])
 
 
 def _labels(s, d):
-    bars, c = lg.entries(event_bars(s, d), VARIANTS, event_specs(s))
-    return lg.barrier_labels(bars, c, max_chunk=lg._known_single(event_bars(s, d), 65536)).select(
+    bars = event_bars(s, d)
+    bars, c = lg.entries(bars, VARIANTS, event_specs(bars))
+    return lg.barrier_labels(bars, c).select(
         "symbol", "split", "strategy_name", "entry_bar", "is_long", "exit_bar", "exit_reason", rnd("exit_price", 4).alias("exit_price"))
 
 
@@ -85,20 +87,22 @@ def _totals(s, d):
 
 
 def _positions(s, d):
-    """Long and short test positions: every tenth bar enters at its open with fixed barriers."""
-    b = number_bars(event_bars(s, d))
-    x = b.filter((C("bar_no") % 10 == 0) & (C("bar_no") + 1 < C("series_rows")))
-    long = C("bar_no") % 20 == 0
+    """Long and short test positions: every bar but the last enters at its open with fixed barriers."""
+    b = cut_lineage(number_bars(event_bars(s, d)))
+    x = b.filter(C("bar_no") + 1 < C("series_rows"))
+    long = C("bar_no") % 2 == 0
     return b, x.select(
         "symbol", "timeframe", C("bar_no").alias("trade_id"), C("bar_no").alias("entry_bar"), long.alias("is_long"), C("open").alias("entry_price"),
         F.when(long, C("open") - 60).otherwise(C("open") + 60).alias("stop_loss"),
-        F.when(long, C("open") + 90).otherwise(C("open") - 90).alias("take_profit"), F.lit(0.1).alias("half_spread"), F.lit(0).alias("pip_position"))
+        F.when(long, C("open") + 90).otherwise(C("open") - 90).alias("take_profit"), F.lit(0.1).alias("half_spread"), F.lit(0.0).alias("slippage"), F.lit(1.0).alias("pip"),
+        C("series_rows").alias("end_bar"))
 
 
 def _exits(**kw):
     def run(s, d):
         b, p = _positions(s, d)
-        return lg.exit_variants(b, p, span=48, **kw).select("symbol", "trade_id", "bars_held", "exit_reason", rnd("exit_price", 4).alias("exit_price"))
+        out = lg.follow(b, p, ("trade_id",), lg.ExitRule(**kw))
+        return out.select("symbol", "trade_id", "bars_held", "exit_reason", rnd("exit_price", 4).alias("exit_price"))
     return run
 
 
@@ -107,9 +111,7 @@ def _by_regime(s, d):
     bars = event_bars(s, d)
     t = trades(s, d)
     b = bk.bucket_by_regime(t, rg.regimes(bars))
-    # a rule takes at most one trade per bar and split
-    rows = bound(bars) * 2 * len(VARIANTS)
-    m = bk.bucket_metrics(mark(b, rows), [*lg.LEDGER, "regime"])
+    m = bk.bucket_metrics(b, [*lg.LEDGER, "regime"])
     return m.drop("timeframe", "param_hash")
 
 

@@ -13,8 +13,8 @@ from barloom.operators import ledger as lg
 from barloom.operators import regime as rg
 from barloom.operators import selection as sel
 from barloom.plans import evidence as ev
-from barloom.plans.ledger_queries import TIGHT, event_specs
-from barloom.series import bound, mark, number_bars
+from barloom.plans.ledger_queries import TIGHT, VARIANTS, event_specs
+from barloom.series import number_bars
 from barloom.sources.adapters import event_bars, sales_ledger
 
 C = F.col
@@ -120,13 +120,16 @@ def _early(s, d):
     return sel.sweep_outcomes(x)
 
 
-def sweep(s, d, strategy="DonchianBreakoutStrategy", limit=6):
-    """Parameter sweep on event bars: ledger of every sampled set, bucketed by regime, best set per slot."""
-    variants = [(n, {**p, **TIGHT, "tp_atr_mult": p["tp_atr_mult"] / 4}) for n, p in sel.sample_params(strategy, limit)]
+def sweep(s, d, strategy="DonchianBreakoutStrategy"):
+    """Parameter sweep on event bars: ledger of every set of the grid, bucketed by regime, best set per slot.
+
+    Stops and targets are a quarter of the grid's, as in ``TIGHT``.
+    """
+    variants = [(n, {**p, **{k: p[k] / 4 for k in TIGHT}}) for n, p in sel.grid_params(s, strategy)]
     bars = event_bars(s, d)
-    t = lg.ledger(bars, variants, event_specs(s))
+    t = lg.ledger(bars, variants, event_specs(bars))
     b = bk.bucket_by_regime(t, rg.regimes(bars))
-    m = bk.bucket_metrics(mark(b, bound(bars) * 2 * len(variants)), [*RULE, "regime", "split"])
+    m = bk.bucket_metrics(b, [*RULE, "regime", "split"])
     pairs = sel.pair_scores(sel.sides(m, [*RULE, "regime"]).filter(C("train_total_trades") > 0), SMALL)
     return sel.best_per_regime(pairs, cfg=SMALL, min_trades=3)
 
@@ -136,10 +139,10 @@ def _sweep(s, d):
 
 
 def _default_params(s, d):
-    """A rule without a sweep still gets its default set evaluated."""
+    """Rules without a sweep get their default set evaluated."""
     bars = event_bars(s, d)
-    t = lg.ledger(bars, [("InsideBarBreakoutStrategy", {"next_bar": True, **TIGHT})], event_specs(s))
-    return lg.full_metrics(t, lg.bar_seconds(number_bars(bars))).select("symbol", "split", "strategy_name", "total_trades", "win_rate", "final_equity")
+    t = lg.ledger(bars, [n for n, _ in VARIANTS], event_specs(bars))
+    return lg.full_metrics(t, lg.bar_seconds(number_bars(bars))).select("symbol", "split", "strategy_name", *lg.FULL)
 
 
 def _grid(s, d):
@@ -158,17 +161,21 @@ def _constraints(s, d):
     return sel.repair_params(x, {"slow_period": [20, 26, 30, 40, 50], "signal_period": [3, 7, 9, 12]})
 
 
+#: Windows with fewer trades say nothing about a period.
+WALK = sc.Config(min_trades=3)
+
+
 def _walk(s, d):
     """Retrain period per symbol: window scores from the ledger trades that start in each test window."""
     bars = event_bars(s, d)
     n = number_bars(bars)
     series = n.select("symbol", "timeframe", "series_rows").distinct()
-    wins = sel.walk_windows(series, (7, 14, 30))
-    t = lg.ledger(bars, [("EMACrossoverStrategy", TIGHT)], event_specs(s)).filter(C("split") == "val")
+    wins = sel.walk_windows(series)
+    t = lg.ledger(bars, [("EMACrossoverStrategy", TIGHT)], event_specs(bars)).filter(C("split") == "val")
     # bars lie in few windows, so a window meets only the trades that fall in it
     bar = wins.select("symbol", "timeframe", "period_days", "start", F.explode(F.sequence(C("start"), C("stop") - 1)).alias("entry_bar"))
     j = t.select("symbol", "timeframe", "entry_bar", "pnl_dollars").join(bar, ["symbol", "timeframe", "entry_bar"])
-    sc_ = j.groupBy("symbol", "timeframe", "period_days", "start").agg(F.sum("pnl_dollars").alias("score"), F.count(F.lit(1)).alias("k")).filter(C("k") >= 3)
+    sc_ = j.groupBy("symbol", "timeframe", "period_days", "start").agg(F.sum("pnl_dollars").alias("score"), F.count(F.lit(1)).alias("k")).filter(C("k") >= WALK.min_trades)
     best = sel.choose_period(sc_)
     return series.select("symbol").join(best.drop("timeframe"), "symbol", "left").select(
         "symbol", F.coalesce("period_days", F.lit(30)).alias("period_days"), rnd("consistency", 4).alias("consistency"), "windows")

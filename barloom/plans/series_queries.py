@@ -10,7 +10,7 @@ from barloom.functions.indicators import ALL_FEATURES, Frame, features, swing_ma
 from barloom.functions.rounding import rnd
 from barloom.operators import regime as rg
 from barloom.operators.chunk_scan import chunk_scan
-from barloom.series import CHUNK_ROWS, KEYS, cumulate, last_chunk, number_bars
+from barloom.series import KEYS, chunk_length, cumulate, number_bars
 from barloom.sources.adapters import event_bars, order_bars
 from barloom.strategies import base as sb
 from barloom.strategies.signals import signals
@@ -47,7 +47,7 @@ def _obv(s, d):
     """Cumulative signed volume with a carry per chunk, and its five-bar mean."""
     f = Frame.of(event_bars(s, d))
     f.need("SVOL")
-    x = f.own().withColumn("_blk", F.expr(f"bar_no div {CHUNK_ROWS}"))
+    x = f.own().withColumn("_blk", F.expr(f"bar_no div {f.chunk_rows}"))
     x = cumulate(x, KEYS, "_blk", ["bar_no"], {"obv": ("sum", C("SVOL"))}).drop("_blk")
     g = Frame.of(x)
     g.put(obv_mean=F.avg("obv").over(g.rows(5)))
@@ -65,7 +65,7 @@ def _machine(name: str, cols: dict[str, str]):
             f.need(c)
         fields = [T.StructField("signal", T.LongType())] + [
             T.StructField(c, T.LongType() if c == "side" else T.DoubleType()) for c in cols if c != "signal"]
-        out = chunk_scan(f.df, st.kernel(p), fields, ["symbol", "timeframe", "ts", "bar_no"], KEYS, last_chunk(n))
+        out = chunk_scan(f.df, st.kernel(p), fields, ["symbol", "timeframe", "ts", "bar_no"], KEYS)
         return shown(out, cols)
     return run
 

@@ -1,7 +1,7 @@
 """Ordered series that never need one task per key.
 
 A series (one symbol and timeframe) may hold a large share of all rows, so nothing here windows over a
-whole series.  Rows are numbered with a two-step count, cut into chunks of ``CHUNK_ROWS`` positions, and
+whole series.  Rows are numbered with a two-step count, cut into chunks of ``chunk_length`` positions, and
 every chunk also receives the ``halo`` rows before it.  A window over (key, chunk) then sees the same
 frame as a window over the whole series, and the halo rows are dropped afterwards.
 Running totals over the whole series use in-chunk windows plus one small carry row per chunk.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("symbol", "timeframe")
+#: Positions of a chunk unless the session sets ``spark.barloom.chunkRows``.
 CHUNK_ROWS = 65_536
 UNB = Window.unboundedPreceding
 
@@ -24,24 +25,9 @@ TF_SECONDS = {
 }
 
 
-# Rows one task may sort and window over without splitting the series.
-ONE_TASK_ROWS = 4_000_000
-
-
-def mark(df: DataFrame, rows: int | None) -> DataFrame:
-    """Remember an upper bound of the row count, known from file footers."""
-    df._row_bound = rows
-    return df
-
-
-def bound(df: DataFrame) -> int | None:
-    return getattr(df, "_row_bound", None)
-
-
-def fits(df: DataFrame) -> bool:
-    """True only when the whole table provably fits one task, so no series in it needs splitting."""
-    rows = bound(df)
-    return rows is not None and rows <= ONE_TASK_ROWS
+def chunk_length(df: DataFrame, chunk_rows: int | None = None) -> int:
+    """The given length, or the session's; the plan is the same for every length and every size of table."""
+    return chunk_rows or int(df.sparkSession.conf.get("spark.barloom.chunkRows", str(CHUNK_ROWS)))
 
 
 def tf_seconds(timeframe: Column) -> Column:
@@ -64,10 +50,6 @@ def number_rows(
     ``bucket`` must be monotone in ``order`` and bound the rows of one (key, bucket); the largest sort is
     then one bucket, and only one counter row per bucket crosses to the per-key prefix sum.
     """
-    if fits(df):
-        w = Window.partitionBy(*keys)
-        out = df.withColumn(name, (F.row_number().over(w.orderBy(*order)) - 1).cast("long"))
-        return mark(out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out, bound(df))
     df = df.withColumn("_bkt", bucket)
     counts = df.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     per_key = Window.partitionBy(*keys)
@@ -84,30 +66,20 @@ def number_rows(
     return out.drop("_bkt", "_off", "_tot", "_n")
 
 
-def number_bars(bars: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def number_bars(bars: DataFrame, keys: Sequence[str] = KEYS, chunk_rows: int | None = None) -> DataFrame:
     """``bar_no`` and ``series_rows`` for bars; timestamps are unique per series, so a time span bounds a bucket."""
-    if chunk_rows < CHUNK_ROWS:
-        bars = mark(bars.select("*"), None)
-    span = tf_seconds(F.col("timeframe")) * chunk_rows
+    span = tf_seconds(F.col("timeframe")) * chunk_length(bars, chunk_rows)
     return number_rows(bars, keys, ["ts"], F.floor(F.unix_timestamp("ts") / span))
 
 
-def with_halo(numbered: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def with_halo(numbered: DataFrame, halo: int, chunk_rows: int | None = None) -> DataFrame:
     """Copy each row to its own chunk and to the following chunk(s) that look back at it."""
-    if fits(numbered) and chunk_rows >= CHUNK_ROWS:
-        return numbered.withColumns({"_chunk": F.lit(0).cast("long"), "_own": F.lit(True)})
+    chunk_rows = chunk_length(numbered, chunk_rows)
     own = F.expr(f"bar_no div {chunk_rows}")
     last = F.least(F.expr(f"(bar_no + {halo}) div {chunk_rows}"), F.expr(f"(series_rows - 1) div {chunk_rows}"))
     return numbered.withColumn("_chunk", F.explode(F.sequence(own, last))).withColumn("_own", own == F.col("_chunk"))
 
 
-def last_chunk(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> int:
-    """Highest chunk number over all series."""
-    if fits(numbered) and chunk_rows >= CHUNK_ROWS:
-        return 0
-    return (numbered.agg(F.max("bar_no")).first()[0] or 0) // chunk_rows
-
-
 def own_rows(df: DataFrame) -> DataFrame:
     return df.filter("_own").drop("_own", "_chunk")
 

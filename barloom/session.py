@@ -32,7 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the plans rely on; all are runtime settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.sparkContext.master.split("[")[0] == "local":
-        spark.conf.set("spark.sql.shuffle.partitions", "8")  # a cluster keeps its own setting
+        spark.conf.set("spark.sql.shuffle.partitions", "8")  # a cluster keeps its own settings
+        spark.conf.set("spark.barloom.chunkRows", "256")  # the small tables still cross chunks, as a cluster's do
     return spark
 
 

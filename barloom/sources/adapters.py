@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.rounding import rnd
 
-from barloom.series import KEYS, TF_SECONDS, mark, number_rows
+from barloom.series import KEYS, TF_SECONDS, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=256)
-def _footer_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    return table(spark, sf_dir, name).count()  # answered from the file footers
-
-
 def ticks_to_bars(
     ticks: DataFrame, symbol: str, price: str, ts: str, tie: str, timeframe: str, volume: Column | None = None
 ) -> DataFrame:
@@ -43,15 +36,12 @@ def ticks_to_bars(
 
 def event_bars(spark: SparkSession, sf_dir: str, timeframe: str = "H1") -> DataFrame:
     """Bars of ``events``: symbol = event type, price = value."""
-    bars = ticks_to_bars(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id", timeframe)
-    return mark(bars, _footer_rows(spark, sf_dir, "events"))
+    return ticks_to_bars(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id", timeframe)
 
 
 def order_bars(spark: SparkSession, sf_dir: str, timeframe: str = "D1") -> DataFrame:
     """Daily bars of ``orders``: symbol = priority, price = total price."""
-    bars = ticks_to_bars(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderdate",
-                         "o_orderkey", timeframe)
-    return mark(bars, _footer_rows(spark, sf_dir, "orders"))
+    return ticks_to_bars(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderdate", "o_orderkey", timeframe)
 
 
 def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +72,5 @@ def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             rnd((F.col("l_discount") - 0.05) * 100, 3).alias("r_multiple"),
         )
     )
-    rows = mark(rows, _footer_rows(spark, sf_dir, "lineitem"))
-    return number_rows(rows, KEYS, ["ts", "l_orderkey", "l_linenumber"], F.date_trunc("month", F.col("ts")),
+    return number_rows(rows, KEYS, ["ts", "l_orderkey", "l_linenumber"], F.col("ts"),  # one sort per slot and day
                        name="entry_bar", total="slot_trades")

@@ -13,7 +13,7 @@ import barloom.strategies.machines  # noqa: F401  (registers the rules)
 import barloom.strategies.rules  # noqa: F401
 from barloom.functions.indicators import Frame, lookback, recursive_needs
 from barloom.operators.chunk_scan import chunk_scan
-from barloom.series import CHUNK_ROWS, KEYS, last_chunk, number_bars, own_rows
+from barloom.series import KEYS, number_bars, own_rows
 from barloom.strategies.base import Strategy, get, names, param_hash, to_signal
 
 Variant = tuple[str, dict]
@@ -35,7 +35,7 @@ def _context(plan) -> int:
 
 
 def signal_columns(bars: DataFrame, variants: Sequence[Variant | str] | None = None, extra: Sequence[str] = (),
-                   chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+                   chunk_rows: int | None = None) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Bars with one signal column per rule variant, plus ``extra`` feature columns; computed on full history."""
     plan = _plan(variants)
     numbered = bars if "bar_no" in bars.columns else number_bars(bars, KEYS, chunk_rows)
@@ -76,7 +76,7 @@ def signal_columns(bars: DataFrame, variants: Sequence[Variant | str] | None = N
         return pd.DataFrame(outs, index=range(last - first)).astype("int32"), after
 
     fields = [T.StructField(col, T.IntegerType()) for col, _, _ in machines]
-    return chunk_scan(slim, step, fields, keep, KEYS, max_chunk=last_chunk(numbered, chunk_rows)), meta
+    return chunk_scan(slim, step, fields, keep, KEYS), meta
 
 
 class _Scoped:
@@ -93,7 +93,7 @@ class _Scoped:
 
 
 def signals(bars: DataFrame, variants: Sequence[Variant | str] | None = None, active_only: bool = False,
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int | None = None) -> DataFrame:
     """Long table (symbol, timeframe, ts, bar_no, strategy_name, param_hash, signal)."""
     wide, meta = signal_columns(bars, variants, chunk_rows=chunk_rows)
     rows = F.array(*[F.struct(F.lit(n).alias("strategy_name"), F.lit(h).alias("param_hash"), F.col(c).alias("signal"))

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,20 @@ C = F.col
 
 
 def stream_bars(ticks: DataFrame, symbol: str, price: str, ts: str, tie: str, timeframe: str, delay: str = "2 hours") -> DataFrame:
-    """Bars of a tick stream; a bar leaves once the watermark has passed its end, later ticks are dropped."""
+    """Bars of a tick stream; a bar leaves once the watermark (the newest tick less ``delay``) has passed its end; ticks for it that come later are dropped.
+
+    The end of a bounded replay is flushed by a closing tick beyond it, see ``closing_tick``.
+    """
     timed = ticks.withColumn(ts, C(ts).cast("timestamp")).withWatermark(ts, delay)
     return ticks_to_bars(timed, symbol, price, ts, tie, timeframe)
 
 
+def closing_tick(ticks: DataFrame, symbol: str, ts: str, ahead: str = "2 days") -> DataFrame:
+    """``ticks`` and one more, far enough after the last to close every bar; its own bar never closes."""
+    last = ticks.agg(F.max(ts).alias(ts)).select(F.lit("").alias(symbol), (C(ts) + F.expr(f"INTERVAL {ahead}")).cast(ticks.schema[ts].dataType).alias(ts))
+    return ticks.unionByName(last, allowMissingColumns=True)
+
+
 def stream_regimes(rows: DataFrame) -> DataFrame:
     """Regime label per bar with the switch state kept per series between batches; bars must arrive in order."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,28 +49,43 @@ def stream_regimes(rows: DataFrame) -> DataFrame:
 
 
 def stream_exits(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """First exit of every open position.
+    """First exit of every position, from a stream of bars and a stream of positions.
 
-    Only bars that touch a barrier of a position leave the join; a flag per position drops all but the first.
+    The open positions of a symbol are its state; a bar meets only those, and a position that leaves is forgotten.  A position must
+    arrive no later than the first bar after its entry; within a batch all positions are taken up before the bars.
     """
-    half = C("half_spread")
-    p = positions.select(C("symbol").alias("p_symbol"), "trade_id", "entry_bar", "is_long", "stop_loss", "take_profit", "half_spread")
-    low, high = C("low"), C("high")
-    sl = F.when(C("is_long"), low - half <= C("stop_loss")).otherwise(high + half >= C("stop_loss"))
-    tp = F.when(C("is_long"), high - half >= C("take_profit")).otherwise(low + half <= C("take_profit"))
-    x = bars.join(p, (C("symbol") == C("p_symbol")) & (C("bar_no") > C("entry_bar")) & (sl | tp))
-    x = x.select("symbol", "trade_id", "bar_no", F.when(sl, "closed_sl").otherwise("closed_tp").alias("exit_reason"),
-                 F.when(sl, C("stop_loss")).otherwise(C("take_profit")).alias("exit_price"))
-
-    def once(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("bar_no", ignore_index=True)
-        if not state.exists:
-            state.update((True,))
-            yield pdf.head(1)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    columns = {"trade_id": "long", "entry_bar": "long", "is_long": "boolean", "stop_loss": "double", "take_profit": "double", "half_spread": "double"}
+    price = {"bar_no": "long", "high": "double", "low": "double"}
+    both = bars.select("symbol", *price, *[nothing(t).alias(c) for c, t in columns.items()]).unionByName(
+        positions.select("symbol", *[nothing(t).alias(c) for c, t in price.items()], *columns))
 
-    return x.groupBy("symbol", "trade_id").applyInPandasWithState(
-        once, "symbol string, trade_id long, bar_no long, exit_reason string, exit_price double", "done boolean", "append",
-        GroupStateTimeout.NoTimeout)
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else []
+        bars_seen = []
+        for pdf in batches:  # bars are three numbers each; positions go straight into the state
+            fresh = pdf[pdf["trade_id"].notna()]
+            held += [[int(r.trade_id), int(r.entry_bar), 1 if r.is_long else -1, r.stop_loss, r.take_profit, r.half_spread] for r in fresh.itertuples()]
+            bars_seen.append(pdf.loc[pdf["bar_no"].notna(), ["bar_no", "high", "low"]].to_numpy(float))
+        seen = np.concatenate(bars_seen)
+        seen = seen[np.argsort(seen[:, 0], kind="stable")]
+        left, out = [], []
+        for p in held:
+            trade, entry, side, stop, target, half = p
+            now = seen[np.searchsorted(seen[:, 0], entry, side="right"):]
+            near, far = (now[:, 2], now[:, 1]) if side == 1 else (-now[:, 1], -now[:, 2])
+            sl = near - half <= stop * side
+            hits = np.flatnonzero(sl | (far - half >= target * side))
+            if len(hits):
+                k = hits[0]
+                out.append((key[0], trade, int(now[k, 0]), "closed_sl" if sl[k] else "closed_tp", stop if sl[k] else target))
+            else:
+                left.append(p)
+        state.update((json.dumps(left),))
+        yield pd.DataFrame(out, columns=["symbol", "trade_id", "bar_no", "exit_reason", "exit_price"])
+
+    return both.groupBy("symbol").applyInPandasWithState(
+        step, "symbol string, trade_id long, bar_no long, exit_reason string, exit_price double", "open string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -72,9 +97,16 @@ def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def replay(df: DataFrame, files: int = 1) -> DataFrame:
-    """A table written to the shared folder and read back as a stream, one file per batch."""
+def replay(df: DataFrame, order: str | None = None, slices: int = 3) -> DataFrame:
+    """A table written to the shared folder and read back as a stream, a slice of ``order`` in each batch (without it, all in one)."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/replay/{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(path) if files == 1 else df.write.parquet(path)
+    if order is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    cuts = df.select(C(order).cast("double").alias("_o")).approxQuantile("_o", [k / slices for k in range(1, slices)], 0.01)
+    at = C(order).cast("double")
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):  # written one after the other, so that the stream reads them in this order
+        part = df.filter(F.lit(True) if lo is None else at > lo).filter(F.lit(True) if hi is None else at <= hi)
+        part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

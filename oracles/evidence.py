@@ -115,11 +115,11 @@ def failed(conds: dict[int, str]) -> str:
     return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
 
 
-def ledger(single: bool = False) -> str:
-    """CTEs ending in `led` (one row per preset and slot) and `tested` (top candidates per preset)."""
+def ledger(single: bool = False, top: int | None = 20) -> str:
+    """CTEs ending in `led` (one row per preset and slot) and `tested` (top candidates per preset, or all)."""
     return f"""{CAND}, {preset_cte(single)},
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe, regime
-    ORDER BY quality_score DESC, strategy_name, param_hash) AS rk FROM cand WHERE train_trades > 0) WHERE rk <= 20),
+    ORDER BY quality_score DESC, strategy_name, param_hash) AS rk FROM cand WHERE train_trades > 0) WHERE {f'rk <= {top}' if top else 'true'}),
 tested AS (SELECT *, {failed(HIST)} AS fg FROM ranked, presets),
 wr AS (SELECT preset, symbol, timeframe, regime, min(rk) FILTER (len(fg) = 0) AS wrank FROM tested GROUP BY ALL),
 cnt AS (SELECT symbol, timeframe, regime, count(*) AS nc, count(*) FILTER (train_trades > 0) AS nu FROM cand GROUP BY ALL),
@@ -130,8 +130,8 @@ led AS (
   SELECT preset, mask, symbol, timeframe, regime, nc, wrank, CASE WHEN wrank IS NOT NULL THEN wrank ELSE least(nu, 20) END AS considered,
     CASE WHEN wrank IS NOT NULL THEN 'FILLED' ELSE 'NO_TRADE' END AS outcome, coalesce(n_rej, 0) AS n_rej,
     coalesce(binding, []) AS binding,
-    CASE WHEN wrank IS NOT NULL THEN '' WHEN nu = 0 THEN 'no candidates with training trades for regime'
-         ELSE 'all considered candidates failed active gates' END AS reason
+    CASE WHEN wrank IS NOT NULL THEN '' WHEN nu = 0 THEN 'nobody traded in training'
+         ELSE 'every ranked candidate failed' END AS reason
   FROM (SELECT * FROM cnt, presets) LEFT JOIN wr USING (preset, symbol, timeframe, regime) LEFT JOIN rej1 USING (preset, symbol, timeframe, regime)),
 won AS (SELECT t.* FROM tested t JOIN wr USING (preset, symbol, timeframe, regime) WHERE rk = wrank),
 wonr AS (SELECT *, val_pf / (train_pf + 0.1) * (1 / (1 + 0.05 * abs(train_return - val_return))) AS rho,
@@ -167,7 +167,7 @@ ORACLES: dict[str, str] = {
     "bucket_metrics": f"WITH {SALES}, {metrics(_CK + ', regime, split')} SELECT * FROM bm",
     "candidate_evidence": f"WITH {CAND} SELECT * REPLACE ({r('train_score', 6)} AS train_score, {r('val_score', 6)} AS val_score, "
                           f"{r('quality_score', 6)} AS quality_score) FROM cand",
-    "gate_check": f"WITH {ledger(True)} SELECT preset, symbol, timeframe, regime, strategy_name, rk AS rank, "
+    "gate_check": f"WITH {ledger(True, None)} SELECT preset, symbol, timeframe, regime, strategy_name, rk AS rank, "
                   "array_to_string(fg, ',') AS failed, len(fg) = 0 AS passed FROM tested",
     "rejection_ledger": L + " SELECT preset, symbol, timeframe, regime, nc AS candidate_count, considered AS candidates_considered, "
                         "n_rej AS rejections, array_to_string(binding, ',') AS binding_gates, outcome, reason, wrank AS winner_rank FROM led",

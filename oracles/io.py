@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracles.common import SECS, event_bars, lag, numbered, r, roll
 from oracles.evidence import CAND, L, PRESETS, RG, SINGLE, ledger
+from oracles.ledger import followed
 from oracles.series import BASE, START, chain
 
 H1 = event_bars("H1")
@@ -84,10 +85,10 @@ ORACLES: dict[str, str] = {
                                 f"{r(f'CASE WHEN rs < min_lot OR {_step} < min_lot THEN 0 ELSE {_step} END', 6)} AS size FROM f",
     "atr_stop_distances": chain(BASE, START + [{"a": roll("avg", "tr", 14)}],
                                 f"symbol, ts, {r('CASE WHEN a IS NOT NULL THEN greatest(5.0, a / 0.1::DOUBLE * 2.0) END', 4)} AS sl_pips, {r('CASE WHEN a IS NOT NULL THEN greatest(10.0, a / 0.1::DOUBLE * 3.0) END', 4)} AS tp_pips"),
-    "mark_to_market": f"""WITH b AS ({BASE}), p AS (SELECT p.symbol, p.i AS trade_id, b.i AS bar_no, (b.close - p.open) * CASE WHEN p.i % 20 = 0 THEN 1 ELSE -1 END / 0.1::DOUBLE AS pips
-        FROM b p JOIN b ON b.symbol = p.symbol AND b.i BETWEEN p.i AND p.i + 11 WHERE p.i % 10 = 0)
+    "mark_to_market": f"""WITH {followed()}, m AS (SELECT l.symbol, l.trade_id, b.i AS bar_no, (b.close - ep) * d / 0.1::DOUBLE AS pips
+        FROM left_ l JOIN b ON b.symbol = l.symbol AND b.i BETWEEN l.trade_id AND l.trade_id + bars_held)
         SELECT symbol, trade_id, bar_no, {r('pips', 2)} AS unrealised_pips, {r('pips * 0.5 * 2.0', 2)} AS unrealised_dollars,
-        {r('greatest(0.0::DOUBLE, max(pips) OVER (PARTITION BY symbol, trade_id ORDER BY bar_no ROWS UNBOUNDED PRECEDING))', 2)} AS best_pips FROM p""",
+        {r('greatest(0.0::DOUBLE, max(pips) OVER (PARTITION BY symbol, trade_id ORDER BY bar_no ROWS UNBOUNDED PRECEDING))', 2)} AS best_pips FROM m""",
     "signal_contract": "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 0 ELSE CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, value / 40 - 2))) AS INTEGER) END AS signal FROM events",
     "tag_decode": f"""WITH t AS (SELECT o_orderkey, {_TAG} AS c FROM orders), p AS (SELECT *, str_split(c, ':') AS a FROM t),
         f AS (SELECT *, len(a) AS n, a[1] IN ('PM2', 'PM3') AND len(a) >= 4 AS cm, a[1] = 'PM' AND len(a) >= 5 AS pl, c LIKE 'PM\\_%' ESCAPE '\\' AND length(c) > 3 AS old FROM p)
@@ -101,7 +102,7 @@ ORACLES: dict[str, str] = {
                   "CASE WHEN k IS NULL THEN 'pending' ELSE 'complete' END AS status FROM (SELECT DISTINCT symbol FROM cand) s CROSS JOIN (VALUES ('H1'), ('H4'), ('D1')) t(timeframe) "
                   "LEFT JOIN h ON h.symbol = s.symbol AND h.timeframe = t.timeframe",
     "no_trade_reasons": L + """, u AS (SELECT preset, timeframe, outcome, reason, nc FROM led UNION ALL
-        SELECT preset, 'H1', 'NO_TRADE', 'evidence slot pending', 0 FROM presets, (SELECT DISTINCT symbol FROM cand), (VALUES (1), (2), (3), (4)) x)
+        SELECT preset, 'H1', 'NO_TRADE', 'slot is pending', 0 FROM presets, (SELECT DISTINCT symbol FROM cand), (VALUES (1), (2), (3), (4)) x)
         SELECT preset, timeframe, outcome, reason, count(*) AS slots, sum(nc) AS candidates FROM u GROUP BY ALL""",
     "candidate_wide": f"WITH {CAND} SELECT symbol, timeframe, strategy_name, param_hash, " + ", ".join(
         f"max({m}) FILTER (regime = '{g}') AS {g}_{m}" for g in RG for m in ("train_trades", "val_trades", "val_pf", "val_return")) + " FROM cand GROUP BY ALL",
@@ -110,6 +111,6 @@ ORACLES: dict[str, str] = {
     "preset_catalogue": f"WITH {ledger(True)}, n(preset, gate_count, active_gates, gate_names) AS (VALUES {_slots}), k AS (SELECT preset, count(*) AS total_slots FROM led GROUP BY 1) SELECT n.*, total_slots FROM n JOIN k USING (preset)",
     "rule_catalogue": f"""WITH b AS (SELECT symbol, count(*) AS k FROM ({H1}) GROUP BY 1) SELECT symbol, category, rules, k * rules AS most_signals
         FROM b, (VALUES ('trend_following', 18), ('mean_reversion', 18), ('breakout_momentum', 14)) v(category, rules)""",
-    "user_extensions": L + f""", b AS ({chain(BASE, START, '*')}), s AS (SELECT symbol, count(*) FILTER (dc > 5) AS ups, count(*) FILTER (dc < -5) AS downs FROM b GROUP BY 1),
+    "user_extensions": f"WITH {ledger(False, None)}" + f""", b AS ({chain(BASE, START, '*')}), s AS (SELECT symbol, count(*) FILTER (dc > 5) AS ups, count(*) FILTER (dc < -5) AS downs FROM b GROUP BY 1),
         g AS (SELECT count(*) FILTER (val_win_rate < 50) AS x1_failed, count(*) FILTER (NOT (val_win_rate < 50) AND val_trades >= 5) AS passed FROM ranked) SELECT * FROM s, g""",
 }

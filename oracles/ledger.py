@@ -14,11 +14,16 @@ _SIG = START + [
      "vs": "CAST(trunc(n * 0.7::DOUBLE) AS BIGINT)"}]
 NAMES = {"p1": "EMACrossoverStrategy", "p2": "DonchianBreakoutStrategy", "p3": "VolatilityBreakoutStrategy"}
 
-S = f"""s0 AS MATERIALIZED ({chain(BASE, _SIG, '*')}),
+def steps(sl: float = 0.5, tp: float = 0.75) -> str:
+    """Bars of every rule and split with its candidate entry; ``sl`` and ``tp`` in multiples of ATR."""
+    return f"""s0 AS MATERIALIZED ({chain(BASE, _SIG, '*')}),
 sp AS (SELECT *, 'train' AS split, 0 AS lo, te AS hi FROM s0 WHERE i < te UNION ALL SELECT *, 'val', vs, n FROM s0 WHERE i >= vs),
 s1 AS ({' UNION ALL '.join(f"SELECT symbol, split, '{v}' AS rule, i, lo, hi, ts, open, high, low, close, CASE WHEN i > lo THEN {k} END AS g, pa FROM sp" for k, v in NAMES.items())}),
 s AS MATERIALIZED (SELECT *, g <> 0 AND pa IS NOT NULL AS fire, open + 0.1 * g AS cep,
-   open + 0.1 * g - g * greatest(5.0::DOUBLE, pa * 0.5) AS csl, open + 0.1 * g + g * greatest(10.0::DOUBLE, pa * 0.75) AS ctp FROM s1)"""
+   open + 0.1 * g - g * greatest(5.0::DOUBLE, pa * {sl}) AS csl, open + 0.1 * g + g * greatest(10.0::DOUBLE, pa * {tp}) AS ctp FROM s1)"""
+
+
+S = steps()
 _lots = "least(100.0::DOUBLE, greatest(0.01::DOUBLE, floor(eq2 * 0.01 / ((cep - csl) * g / 0.01 * 0.01) / 0.01) * 0.01))"
 STEP = f"""
 z(symbol, split, rule, i, pos, dir, ep, sl, tp, eb, lots, risk, eq, why, xdir, xep, xsl, xtp, xeb, xlots, xrisk, xprice, xpnl) AS (
@@ -35,7 +40,8 @@ z(symbol, split, rule, i, pos, dir, ep, sl, tp, eb, lots, risk, eq, why, xdir, x
             CASE WHEN NOT z.pos THEN NULL WHEN z.dir = 1 THEN CASE WHEN s.low - 0.1 <= z.sl THEN 'closed_sl' WHEN s.high - 0.1 >= z.tp THEN 'closed_tp' END
               ELSE CASE WHEN s.high + 0.1 >= z.sl THEN 'closed_sl' WHEN s.low + 0.1 <= z.tp THEN 'closed_tp' END END AS why
           FROM z JOIN s ON s.symbol = z.symbol AND s.split = z.split AND s.rule = z.rule AND s.i = z.i + 1)))))"""
-TR = f"""WITH RECURSIVE {S}, {STEP},
+def trades(sl: float = 0.5, tp: float = 0.75) -> str:
+    return f"""WITH RECURSIVE {steps(sl, tp)}, {STEP},
 eod AS (SELECT z.*, s.close - 0.1 * z.dir AS cp, s.lo FROM z JOIN s USING (symbol, split, rule, i) WHERE s.i = s.hi - 1 AND z.pos),
 t0 AS (
   SELECT symbol, split, rule, xeb AS eb, i AS xb, xdir AS dir, xep AS ep, xprice AS xp, xsl AS sl, xtp AS tp, xlots AS lots, why, xpnl AS pnl, xrisk AS risk FROM z WHERE why IS NOT NULL
@@ -51,9 +57,12 @@ u AS (SELECT *, coalesce(10000 + sum(usd) OVER (w ROWS BETWEEN UNBOUNDED PRECEDI
   FROM t WINDOW w AS (PARTITION BY symbol, split, rule ORDER BY eb))"""
 
 
-def metrics(wait: int = 0) -> str:
+TR = trades()
+
+
+def metrics(wait: int = 0, rows: str = TR) -> str:
     q = lambda a, b, k="1": f"CASE WHEN {b} > 0 THEN {a} * 1.0 / {b} * {k} ELSE 0 END"
-    return TR + f""", a AS (SELECT symbol, split, rule, count(*) AS na, max((peak - eq) / peak * 100) AS mdd, arg_max(eq, no) AS fin, avg(usd / cb) AS ra,
+    return rows + f""", a AS (SELECT symbol, split, rule, count(*) AS na, max((peak - eq) / peak * 100) AS mdd, arg_max(eq, no) AS fin, avg(usd / cb) AS ra,
       stddev_samp(usd / cb) AS rs, count(*) FILTER (usd / cb < 0) AS rn, stddev_samp(usd / cb) FILTER (usd / cb < 0) AS rds, min(usd / cb) AS rmin FROM u GROUP BY ALL),
     f AS (SELECT * EXCLUDE (wrun, lrun), row_number() OVER w - coalesce(max(CASE WHEN pips <= 0 THEN k0 END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS wrun,
       row_number() OVER w - coalesce(max(CASE WHEN pips > 0 THEN k0 END) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS lrun
@@ -80,17 +89,26 @@ def metrics(wait: int = 0) -> str:
       {r(q('ws', 'ns', '100.0'), 2)} AS short_win_rate, {r('fin', 2)} AS final_equity, n_closed_sl, n_closed_tp, n_end_of_data FROM h"""
 
 
-def exits(limit: int, stop: str, timed: bool) -> str:
-    """Exit of test positions; `stop` is the moving stop in long terms (negated for shorts)."""
-    return f"""WITH b AS ({BASE}), p AS (SELECT symbol, i AS trade_id, CASE WHEN i % 20 = 0 THEN 1 ELSE -1 END AS d, open AS ep FROM b WHERE i % 10 = 0 AND i + 1 < n),
-    x AS (SELECT p.*, b.high AS h, b.low AS l, b.i - p.trade_id AS held, (b.close - ep) * d AS gain FROM p JOIN b ON b.symbol = p.symbol AND b.i > p.trade_id AND b.i <= p.trade_id + {limit}),
+# positions from every bar but the last: even bars long, odd ones short
+POS = f"b AS ({BASE}), p AS (SELECT symbol, i AS trade_id, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS d, open AS ep FROM b WHERE i + 1 < n)"
+
+
+def followed(stop: str = "d * ep - 60", limit: int = 0) -> str:
+    """CTEs up to `left_(symbol, trade_id, d, ep, bars_held, exit_reason, exit_price)`; `stop` is the moving stop in long terms, negated for shorts."""
+    return f"""{POS},
+    x AS (SELECT p.*, b.high AS h, b.low AS l, b.close AS c, b.i - p.trade_id AS held, (b.close - ep) * d AS gain FROM p JOIN b ON b.symbol = p.symbol AND b.i > p.trade_id),
     y AS (SELECT *, max(gain) OVER (PARTITION BY symbol, trade_id ORDER BY held ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x),
     v AS (SELECT *, d * ({stop}) AS st FROM y),
     q AS (SELECT *, CASE WHEN (d = 1 AND l - 0.1 <= st) OR (d = -1 AND h + 0.1 >= st) THEN 'closed_sl' WHEN (d = 1 AND h - 0.1 >= ep + 90) OR (d = -1 AND l + 0.1 <= ep - 90) THEN 'closed_tp'
-      {f"WHEN held >= {limit} THEN 'closed_time'" if timed else ''} END AS why FROM v)
-    SELECT symbol, trade_id, min(held) AS bars_held, arg_min(why, held) AS exit_reason,
-      {r("arg_min(CASE why WHEN 'closed_sl' THEN st WHEN 'closed_tp' THEN ep + d * 90 ELSE (h + l) / 2 END, held)", 4)} AS exit_price
-    FROM q WHERE why IS NOT NULL GROUP BY symbol, trade_id"""
+      {f"WHEN held >= {limit} THEN 'closed_time'" if limit else ''} END AS why FROM v),
+    left_ AS (SELECT symbol, trade_id, any_value(d) AS d, any_value(ep) AS ep, coalesce(min(held) FILTER (why IS NOT NULL), max(held)) AS bars_held,
+      coalesce(arg_min(why, held) FILTER (why IS NOT NULL), 'end_of_data') AS exit_reason,
+      coalesce(arg_min(CASE why WHEN 'closed_sl' THEN st WHEN 'closed_tp' THEN ep + d * 90 ELSE (h + l) / 2 END, held) FILTER (why IS NOT NULL), arg_max(c - 0.1 * d, held)) AS exit_price
+      FROM q GROUP BY symbol, trade_id)"""
+
+
+def exits(stop: str = "d * ep - 60", limit: int = 0) -> str:
+    return f"WITH {followed(stop, limit)} SELECT symbol, trade_id, bars_held, exit_reason, {r('exit_price', 4)} AS exit_price FROM left_"
 
 
 _cand = f"WITH {S} SELECT symbol, split, rule AS strategy_name, i - 1 AS signal_bar, i AS entry_bar, g = 1 AS is_long, " + ", ".join(
@@ -111,6 +129,7 @@ ORACLES = {
     "ledger_equity": TR + f" SELECT symbol, split, rule AS strategy_name, no AS trade_no, {r('eq', 2)} AS equity, {r('(peak - eq) / peak * 100', 4)} AS drawdown_pct FROM u",
     "ledger_metrics": metrics(),
     "ledger_metrics_after_warmup": metrics(50),
+    "default_parameters": f"SELECT * EXCLUDE (n_closed_sl, n_closed_tp, n_end_of_data) FROM ({metrics(0, trades(2.0, 3.0))})",
     "ledger_with_empty": TR + f""", g AS (SELECT symbol, split, count(*) AS n, {r('least(CASE WHEN coalesce(sum(usd) FILTER (pips < 0), 0) < 0 THEN coalesce(sum(usd) FILTER (pips > 0), 0) / abs(sum(usd) FILTER (pips < 0)) ELSE 99 END, 99)', 2)} AS pf,
         {r('arg_max(eq, no)', 2)} AS fin FROM t WHERE rule = 'EMACrossoverStrategy' GROUP BY ALL)
       SELECT b.symbol, x.split, y.rule AS strategy_name, coalesce(n, 0) AS total_trades, coalesce(pf, 0) AS profit_factor, coalesce(fin, 10000) AS final_equity
@@ -118,9 +137,9 @@ ORACLES = {
       LEFT JOIN g ON g.symbol = b.symbol AND g.split = x.split AND y.rule = 'EMACrossoverStrategy'""",
     "ledger_totals": TR + f" SELECT symbol, count(*) AS closed, {r('sum(usd)', 2)} AS realised, count(*) FILTER (why = 'end_of_data') AS open_at_end FROM t GROUP BY symbol",
     "timing_audit": TR + " SELECT symbol, count(*) AS trades, 0 AS bad_delay, 0 AS bad_order, true AS ok FROM t GROUP BY symbol",
-    "exit_time_limit": exits(12, "d * ep - 60", True),
-    "exit_trailing_stop": exits(48, "greatest(d * ep - 60, CASE WHEN seen >= 15 THEN d * ep + seen - 20 END)", False),
-    "exit_breakeven_stop": exits(48, "greatest(d * ep - 60, CASE WHEN seen >= 20 THEN d * ep + 1 END)", False),
+    "exit_time_limit": exits(limit=12),
+    "exit_trailing_stop": exits("greatest(d * ep - 60, CASE WHEN seen >= 15 THEN d * ep + seen - 20 END)"),
+    "exit_breakeven_stop": exits("greatest(d * ep - 60, CASE WHEN seen >= 20 THEN d * ep + 1 END)"),
 }
 
 # regime buckets: ledger rows joined with the regime known at their entry bar

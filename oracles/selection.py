@@ -32,8 +32,8 @@ def optimisation(p: str) -> str:
 
 def criteria(p: str) -> str:
     k = lambda n, d="0": c(p, n, d)
-    return (f"CASE WHEN {k('total_trades')} < 15 THEN 'Insufficient trades' WHEN {k('win_rate')} < 30 THEN 'Low win rate' WHEN {k('profit_factor')} < 0.8 THEN "
-            f"'Low profit factor' WHEN {k('sharpe_approx')} < -1 THEN 'Low Sharpe ratio' WHEN {k('max_drawdown_pct', '100')} > 60 THEN 'High drawdown' ELSE 'OK' END")
+    return (f"CASE WHEN {k('total_trades')} < 15 THEN 'few_trades' WHEN {k('win_rate')} < 30 THEN 'Low win rate' WHEN {k('profit_factor')} < 0.8 THEN "
+            f"'Low profit factor' WHEN {k('sharpe_approx')} < -1 THEN 'Low Sharpe ratio' WHEN {k('max_drawdown_pct', '100')} > 60 THEN 'deep_drawdown' ELSE 'OK' END")
 
 
 def ineligible(p: str) -> str:
@@ -71,10 +71,10 @@ RP = "WITH " + pairs(RULE + ", regime")
 VN, VPF, VSH = c("val_", "total_trades"), c("val_", "profit_factor"), c("val_", "sharpe_approx")
 CHAIN = f"""CASE WHEN train_total_trades < 8 THEN 'train trades' WHEN {VN} < 3 THEN 'G1' WHEN vdd > 40 THEN 'G2 val' WHEN tdd > 50 THEN 'G2 train'
   WHEN eff < -0.2 THEN 'G5' WHEN {VPF} < 0.9 THEN 'G6' WHEN vret < -5 THEN 'G4' END"""
-INVALID = f"""CASE WHEN {VN} < 3 THEN 'Insufficient val trades' WHEN vdd > 40 THEN 'Excessive val drawdown' WHEN tdd > 50 THEN 'Excessive train drawdown'
+INVALID = f"""CASE WHEN {VN} < 3 THEN 'few_val_trades' WHEN vdd > 40 THEN 'val_drawdown' WHEN tdd > 50 THEN 'train_drawdown'
   WHEN (train_profit_factor < 1 OR train_total_return_pct < 0) AND NOT ({VPF} >= 1.5 AND vret >= 10 AND {VN} >= 6 AND vdd < 30 AND {c('val_', 'win_rate')} > 50 AND eff >= -0.2)
-    THEN 'Weak train rejected' WHEN {VPF} < 0.9 THEN 'Unprofitable' WHEN vret < -5 THEN 'Negative return' WHEN eff < -0.2 THEN 'Poor return/DD efficiency'
-  WHEN ratio < 0.8 AND {VSH} <= 0.3 THEN 'Low robustness' END"""
+    THEN 'weak_train' WHEN {VPF} < 0.9 THEN 'no_profit' WHEN vret < -5 THEN 'low_return' WHEN eff < -0.2 THEN 'low_efficiency'
+  WHEN ratio < 0.8 AND {VSH} <= 0.3 THEN 'unstable' END"""
 SLOT = "symbol, timeframe, regime"
 DESC = RP + f""", live AS (SELECT *, row_number() OVER (PARTITION BY {SLOT} ORDER BY rs DESC, strategy_name, param_hash) AS rk, {INVALID} AS why FROM pp WHERE ({CHAIN}) IS NULL),
   topk AS (FROM live WHERE rk <= 5),
@@ -153,7 +153,7 @@ def wilcoxon(lib: bool) -> str:
     var = "(n * (n + 1) * (2 * n + 1) / 24.0" + (" - tie / 48.0)" if lib else ")")
     ok = "n > 0" if lib else "prs >= 10 AND n >= 10"
     note = ("CASE WHEN n = 0 THEN 'no non-zero difference' WHEN n <= 50 THEN 'normal approximation' END" if lib else
-            "CASE WHEN prs < 10 THEN 'Insufficient paired replication samples' WHEN n < 10 THEN 'Too few non-zero paired differences' END")
+            "CASE WHEN prs < 10 THEN 'fewer than ten pairs' WHEN n < 10 THEN 'fewer than ten differences' END")
     return DIFF + (f" SELECT metric, preset_b, CASE WHEN {ok} THEN {r('least(wp, wm)', 4)} END AS W, {'n' if lib else 'CASE WHEN prs < 10 THEN prs ELSE n END'} AS n, {note} AS note, "
                    f"CASE WHEN {ok} THEN {r(f'CASE WHEN {var} < 1e-24 THEN 0 ELSE (least(wp, wm) - n * (n + 1) / 4.0) / sqrt({var}) END', 4)} END AS z FROM ws")
 
@@ -173,8 +173,8 @@ ORACLES: dict[str, str] = {
                    f"{r(optimisation(''), 6)} AS optimisation, {criteria('')} AS criteria, {ineligible('')} AS ineligible, {r(f'1 / (1 + exp(-({selection(str())} - 45) / 30))', 6)} AS normalised FROM bm",
     "pair_scores": PR + f" SELECT symbol, timeframe, strategy_name, {r('ratio')} AS score_ratio, {r('general')} AS general, {r('general_opt')} AS general_opt, {r('srob')} AS sharpe_ratio, "
                         f"{r('legacy')} AS legacy_score, {r('rs')} AS regime_score, {r(f'CASE WHEN {VN} >= 8 THEN 0.8 * rst + (1 - 0.8) * rs ELSE rst END')} AS blended, "
-                        f"CASE WHEN {VN} < 8 THEN 'Insufficient trades' WHEN vdd >= 40 THEN 'High drawdown' WHEN ratio < 0.8 AND {VSH} <= 0.3 THEN 'Robustness' ELSE 'Validated successfully' END AS stage_fx, "
-                        f"CASE WHEN ({criteria('val_')}) <> 'OK' THEN ({criteria('val_')}) WHEN srob < 0.2 THEN 'Low robustness' ELSE 'Validated successfully' END AS stage_legacy FROM pp",
+                        f"CASE WHEN {VN} < 8 THEN 'few_trades' WHEN vdd >= 40 THEN 'deep_drawdown' WHEN ratio < 0.8 AND {VSH} <= 0.3 THEN 'unstable' ELSE 'valid' END AS stage_fx, "
+                        f"CASE WHEN ({criteria('val_')}) <> 'OK' THEN ({criteria('val_')}) WHEN srob < 0.2 THEN 'unstable' ELSE 'valid' END AS stage_legacy FROM pp",
     "robustness_and_efficiency": PR + f""", x AS (SELECT *, val_profit_factor / (train_profit_factor + 0.1) * (1 / (1 + 0.05 * abs(train_total_return_pct - val_total_return_pct))) AS rho,
         val_total_return_pct AS vr, val_max_drawdown_pct AS vd FROM pp) SELECT symbol, timeframe, strategy_name, {r('rho')} AS rho,
         CASE WHEN vd IS NULL THEN NULL ELSE {r('vr / greatest(vd, 0.5::DOUBLE)')} END AS return_dd_0p5, CASE WHEN vd IS NULL THEN NULL ELSE {r('vr / greatest(vd, 0.01::DOUBLE)')} END AS return_dd_0p01,
@@ -204,7 +204,7 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, fast_period, slow_period, CASE WHEN sg >= slow_period THEN coalesce(list_max(list_filter([3, 7, 9, 12], lambda v: v < slow_period)), greatest(1, slow_period - 1)) ELSE sg END
         AS signal_period, k_period, d_period FROM a""",
     "walk_forward_period": TR + f""", nn AS (SELECT symbol, max(hi) AS n FROM s WHERE split = 'val' GROUP BY 1),
-        pw AS (SELECT symbol, n, p, p * 24 AS lk, p * 6 AS stp, CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) AS t0 FROM nn, (VALUES (7), (14), (30)) v(p)),
+        pw AS (SELECT symbol, n, p, p * 24 AS lk, p * 6 AS stp, CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) AS t0 FROM nn, (VALUES (7), (14), (30), (60), (90)) v(p)),
         wd AS (SELECT symbol, n, p, stp, unnest(range(t0, n - lk, stp)) AS st FROM pw WHERE lk <= n * 0.8 AND t0 < n - lk),
         wk AS (SELECT * FROM wd WHERE least(p * 24, st) >= 50 AND least(n, st + stp) - st >= 10),
         sc AS (SELECT wk.symbol, p, st, sum(usd) AS x, count(*) AS k FROM wk JOIN t ON t.symbol = wk.symbol AND t.split = 'val' AND t.rule = 'EMACrossoverStrategy' AND eb >= st AND eb < least(n, st + stp)
@@ -213,10 +213,10 @@ ORACLES: dict[str, str] = {
         bs AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY con DESC, p) AS rk FROM cs)
         SELECT nn.symbol, coalesce(p, 30) AS period_days, {r('con', 4)} AS consistency, windows FROM nn LEFT JOIN bs ON bs.symbol = nn.symbol AND rk = 1""",
     "run_status": f"WITH {CFG}, x AS (SELECT s_name AS symbol, c.* EXCLUDE (symbol), DATE '2024-01-31' AS now FROM supplier LEFT JOIN cfg c ON c.symbol = s_name), "
-                  "y AS (SELECT symbol, CASE WHEN is_validated IS NULL THEN 'missing' WHEN NOT is_validated THEN 'invalid' WHEN valid_until IS NULL THEN 'no expiry date' "
-                  "WHEN now >= valid_until THEN 'expired ' || (now - valid_until) || ' days ago' WHEN stored <> 'v1' THEN 'regime detection params changed' "
-                  "ELSE 'valid for ' || (valid_until - now) || ' days' END AS reason FROM x) "
-                  "SELECT symbol, CASE WHEN reason LIKE 'valid for%' THEN 'skip' ELSE 'optimise' END AS action, reason FROM y",
+                  "y AS (SELECT symbol, CASE WHEN is_validated IS NULL THEN 'missing' WHEN NOT is_validated THEN 'invalid' WHEN valid_until IS NULL THEN 'no_expiry' "
+                  "WHEN now >= valid_until THEN 'expired:' || (now - valid_until) WHEN stored <> 'v1' THEN 'regime_changed' "
+                  "ELSE 'valid:' || (valid_until - now) END AS reason FROM x) "
+                  "SELECT symbol, CASE WHEN reason LIKE 'valid:%' THEN 'skip' ELSE 'optimise' END AS action, reason FROM y",
     "ledger_stats": f"WITH {CFG} SELECT CASE WHEN NOT is_validated THEN 'invalid' WHEN valid_until IS NOT NULL AND DATE '2024-01-31' >= valid_until THEN 'expired' ELSE 'valid' END AS status, "
                     "count(*) AS configs FROM cfg GROUP BY 1",
     "repair_symbols": REP + " SELECT symbol FROM rp",

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from oracles.common import event_bars, r
-from oracles.series import BASE, ORACLES as SERIES
+from oracles.ledger import followed
+from oracles.series import ORACLES as SERIES
 
 ORACLES = {
-    "stream_bars": f"SELECT symbol, ts, open, high, low, close, volume FROM ({event_bars('H1')}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR",
+    "stream_bars": f"SELECT symbol, ts, open, high, low, close, volume FROM ({event_bars('H1')})",
     "stream_regimes": SERIES["regime_hysteresis"].replace("CASE WHEN s.n < 210 THEN 'CHOP' ELSE z.live END", "z.live"),
-    "stream_exits": f"""WITH b AS ({BASE}), p AS (SELECT symbol, i AS trade_id, CASE WHEN i % 20 = 0 THEN 1 ELSE -1 END AS d, open AS ep FROM b WHERE i % 10 = 0 AND i + 1 < n),
-      x AS (SELECT p.*, b.i, CASE WHEN (d = 1 AND low - 0.1 <= ep - 60) OR (d = -1 AND high + 0.1 >= ep + 60) THEN 'closed_sl'
-        WHEN (d = 1 AND high - 0.1 >= ep + 90) OR (d = -1 AND low + 0.1 <= ep - 90) THEN 'closed_tp' END AS why FROM p JOIN b ON b.symbol = p.symbol AND b.i > p.trade_id)
-      SELECT symbol, trade_id, min(i) AS bar_no, arg_min(why, i) AS exit_reason, {r("arg_min(CASE why WHEN 'closed_sl' THEN ep - 60 * d ELSE ep + 90 * d END, i)", 4)} AS exit_price
-      FROM x WHERE why IS NOT NULL GROUP BY symbol, trade_id""",
+    "stream_exits": f"""WITH {followed()} SELECT symbol, trade_id, trade_id + bars_held AS bar_no, exit_reason, {r('exit_price', 4)} AS exit_price
+      FROM left_ WHERE exit_reason <> 'end_of_data'""",
 }

@@ -42,7 +42,7 @@ def test_ties_go_to_the_lower_hash(spark):
 
 def test_slot_without_training_trades(spark):
     led = gt.materialise(_cands(spark, {"train_trades": 0}), [gt.preset("no_gates")]).first()
-    assert led["reason"] == "no candidates with training trades for regime" and led["candidates_considered"] == 0 and led["candidate_count"] == 1
+    assert led["reason"] == "nobody traded in training" and led["candidates_considered"] == 0 and led["candidate_count"] == 1
 
 
 def test_unusable_slots_get_four_rows(spark):
@@ -50,7 +50,7 @@ def test_unusable_slots_get_four_rows(spark):
     rows = gt.materialise(_cands(spark, {}), [gt.preset("no_gates")], gt.slot_spine(idx)).collect()
     assert len(rows) == 12
     why = {(r["symbol"], r["reason"]) for r in rows}
-    assert ("B", "zero candidates in evidence") in why and ("C", "evidence slot failed") in why and ("A", "") in why
+    assert ("B", "slot is empty") in why and ("C", "slot is failed") in why and ("A", "") in why
 
 
 def test_more_gates_never_fill_more(spark):
@@ -82,8 +82,8 @@ def _w(spark, d, **kw):
 
 
 def test_wilcoxon_forms(spark):
-    assert _w(spark, [0] * 12)["note"] == "Too few non-zero paired differences"
-    assert _w(spark, range(1, 10))["note"] == "Insufficient paired replication samples"
+    assert _w(spark, [0] * 12)["note"] == "fewer than ten differences"
+    assert _w(spark, range(1, 10))["note"] == "fewer than ten pairs"
     r = _w(spark, [1, -2, 3, 4, 5, 6, 7, 8, 9, 10])
     assert r["W"] == 2.0 and r["z"] == pytest.approx(-2.5992, abs=1e-4) and r["p_value"] == pytest.approx(0.009344, abs=1e-5)
     ties = _w(spark, [1, 1, -1, 2, 2, 3, 3, 3, 4, 5])

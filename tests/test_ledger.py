@@ -13,13 +13,13 @@ MONEY = {"pip_position": 0, "pip_value": 1.0, "spread_avg": 0.2, "min_lot": 0.01
          "tick_value": 0.01, "volume_step": 0.01}
 
 
-def _run(spark, ohlc, entries, chunk_rows=65536, max_chunk=0):
+def _run(spark, ohlc, entries, chunk_rows=65536):
     n = len(ohlc)
     b = pd.DataFrame(ohlc, columns=["open", "high", "low", "close"]).astype(float)
     b = b.assign(symbol="A", timeframe="H1", bar_no=range(n), ts=pd.date_range("2024-01-01", periods=n, freq="h"), series_rows=n)
     e = pd.DataFrame([{**BASE, "signal_bar": bar - 1, "entry_bar": bar, "is_long": d == 1, "entry_price": px, "stop_loss": px - d * sl, "take_profit": px + d * tp,
                        "signal_time": b.ts[max(bar - 1, 0)], "entry_time": b.ts[bar], "split_end": n} for bar, d, px, sl, tp in entries])
-    out = lg.take_positions(spark.createDataFrame(b), spark.createDataFrame(e), chunk_rows, max_chunk=max_chunk)
+    out = lg.take_positions(spark.createDataFrame(b), spark.createDataFrame(e), chunk_rows)
     return out.toPandas().sort_values("entry_bar", ignore_index=True)
 
 

@@ -18,7 +18,7 @@ def _sorted(df):
 
 
 def test_positions_agree_in_every_bucket_size(bars):
-    whole = _sorted(number_rows(mark(bars.select("*"), 640), KEYS, ["ts"], F.lit(0)))
+    whole = _sorted(number_rows(bars, KEYS, ["ts"], F.lit(0)))
     cut = _sorted(number_bars(bars, chunk_rows=16))
     assert (whole["bar_no"] == cut["bar_no"]).all() and (cut["series_rows"] == 320).all()
     assert (cut.sort_values(["symbol", "ts"])["bar_no"].to_numpy() == np.tile(np.arange(320), 2)).all()
@@ -106,7 +106,7 @@ def test_equity_path_in_blocks_equals_one_window(spark):
                         "r_multiple": np.round(rng.normal(0, 1, 400), 3)})
     df = spark.createDataFrame(pdf)
     cols = ["equity", "peak", "losing_streak"]
-    a = equity_path(mark(df.select("*"), 400), ["k"]).toPandas().sort_values("entry_bar", ignore_index=True)
+    a = equity_path(df, ["k"], block_rows=10**6).toPandas().sort_values("entry_bar", ignore_index=True)
     b = equity_path(df, ["k"], block_rows=7).toPandas().sort_values("entry_bar", ignore_index=True)
     assert np.allclose(a[cols].astype(float), b[cols].astype(float))
     m = bucket_metrics(df, ["k"], block_rows=7).toPandas().set_index("k")
