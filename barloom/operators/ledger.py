@@ -256,7 +256,9 @@ def follow(bars: DataFrame, pos: DataFrame, ids: Sequence[str], rule: ExitRule =
     n = chunk_length(bars, chunk_rows)
     on = ["symbol", "timeframe", "_chunk"]
     extra = [c for c in ids if c not in (*on, *_PATH)]
-    b = cut_lineage(bars.select("symbol", "timeframe", "bar_no", "high", "low", "close", F.expr(f"bar_no div {n}").alias("_chunk")))
+    bon = [f"b_{k}" for k in on]  # positions may be made from the same bars
+    b = cut_lineage(bars.select(C("symbol").alias("b_symbol"), C("timeframe").alias("b_timeframe"), F.expr(f"bar_no div {n}").alias("b__chunk"),
+                                "bar_no", "high", "low", "close"))
     live = pos.select("symbol", "timeframe", *extra, *_PATH, F.lit(float("-inf")).alias("seen"), F.expr(f"entry_bar div {n}").alias("_chunk"))
     schema = T.StructType([*live.schema.fields, T.StructField("exit_bar", T.LongType()), T.StructField("exit_reason", T.StringType()),
                            T.StructField("exit_price", T.DoubleType())])
@@ -275,14 +277,14 @@ def follow(bars: DataFrame, pos: DataFrame, ids: Sequence[str], rule: ExitRule =
 
     left = []
     while True:
-        here = b.join(live.select(*on).distinct(), on, "left_semi")
-        out = cut_lineage(here.groupBy(*on).cogroup(live.groupBy(*on)).applyInPandas(run, schema))
+        here = b.join(live.select(*[C(k).alias(f"b_{k}") for k in on]).distinct(), bon, "left_semi")
+        out = cut_lineage(here.groupBy(*bon).cogroup(live.groupBy(*on)).applyInPandas(run, schema))
         left.append(out.filter("exit_bar IS NOT NULL"))
         live = out.filter("exit_bar IS NULL").drop("exit_bar", "exit_reason", "exit_price").withColumn("_chunk", C("_chunk") + 1)
         if live.isEmpty():
             break
     return reduce(DataFrame.unionByName, left).select(
-        "symbol", "timeframe", *extra, "entry_bar", "exit_bar", (C("exit_bar") - C("entry_bar")).alias("bars_held"), "exit_reason", "exit_price")
+        "symbol", "timeframe", *[c for c in ids if c not in ("symbol", "timeframe", "entry_bar")], "entry_bar", "exit_bar", (C("exit_bar") - C("entry_bar")).alias("bars_held"), "exit_reason", "exit_price")
 
 
 def barrier_labels(bars: DataFrame, cand: DataFrame, chunk_rows: int | None = None) -> DataFrame:

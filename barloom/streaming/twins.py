@@ -104,8 +104,8 @@ def replay(df: DataFrame, order: str | None = None, slices: int = 3) -> DataFram
     if order is None:
         df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
-    cuts = df.select(C(order).cast("double").alias("_o")).approxQuantile("_o", [k / slices for k in range(1, slices)], 0.01)
-    at = C(order).cast("double")
+    at = (C(order).cast("timestamp") if dict(df.dtypes)[order] == "timestamp_ntz" else C(order)).cast("double")
+    cuts = df.select(at.alias("_o")).approxQuantile("_o", [k / slices for k in range(1, slices)], 0.01)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):  # written one after the other, so that the stream reads them in this order
         part = df.filter(F.lit(True) if lo is None else at > lo).filter(F.lit(True) if hi is None else at <= hi)
         part.coalesce(1).write.mode("append").parquet(path)

@@ -14,8 +14,8 @@ _SIG = START + [
      "vs": "CAST(trunc(n * 0.7::DOUBLE) AS BIGINT)"}]
 NAMES = {"p1": "EMACrossoverStrategy", "p2": "DonchianBreakoutStrategy", "p3": "VolatilityBreakoutStrategy"}
 
-def steps(sl: float = 0.5, tp: float = 0.75) -> str:
-    """Bars of every rule and split with its candidate entry; ``sl`` and ``tp`` in multiples of ATR."""
+def steps(sl: float | str = 0.5, tp: float | str = 0.75) -> str:
+    """Bars of every rule and split with its candidate entry; ``sl`` and ``tp`` in multiples of ATR, figures or SQL over ``rule``."""
     return f"""s0 AS MATERIALIZED ({chain(BASE, _SIG, '*')}),
 sp AS (SELECT *, 'train' AS split, 0 AS lo, te AS hi FROM s0 WHERE i < te UNION ALL SELECT *, 'val', vs, n FROM s0 WHERE i >= vs),
 s1 AS ({' UNION ALL '.join(f"SELECT symbol, split, '{v}' AS rule, i, lo, hi, ts, open, high, low, close, CASE WHEN i > lo THEN {k} END AS g, pa FROM sp" for k, v in NAMES.items())}),
@@ -40,7 +40,7 @@ z(symbol, split, rule, i, pos, dir, ep, sl, tp, eb, lots, risk, eq, why, xdir, x
             CASE WHEN NOT z.pos THEN NULL WHEN z.dir = 1 THEN CASE WHEN s.low - 0.1 <= z.sl THEN 'closed_sl' WHEN s.high - 0.1 >= z.tp THEN 'closed_tp' END
               ELSE CASE WHEN s.high + 0.1 >= z.sl THEN 'closed_sl' WHEN s.low + 0.1 <= z.tp THEN 'closed_tp' END END AS why
           FROM z JOIN s ON s.symbol = z.symbol AND s.split = z.split AND s.rule = z.rule AND s.i = z.i + 1)))))"""
-def trades(sl: float = 0.5, tp: float = 0.75) -> str:
+def trades(sl: float | str = 0.5, tp: float | str = 0.75) -> str:
     return f"""WITH RECURSIVE {steps(sl, tp)}, {STEP},
 eod AS (SELECT z.*, s.close - 0.1 * z.dir AS cp, s.lo FROM z JOIN s USING (symbol, split, rule, i) WHERE s.i = s.hi - 1 AND z.pos),
 t0 AS (
@@ -113,6 +113,8 @@ def exits(stop: str = "d * ep - 60", limit: int = 0) -> str:
 
 _cand = f"WITH {S} SELECT symbol, split, rule AS strategy_name, i - 1 AS signal_bar, i AS entry_bar, g = 1 AS is_long, " + ", ".join(
     f"{r(a, 4)} AS {b}" for a, b in (("cep", "entry_price"), ("csl", "stop_loss"), ("ctp", "take_profit"))) + " FROM s WHERE fire"
+# the rules' own default stops
+DEFAULT_STOP = "CASE rule WHEN 'VolatilityBreakoutStrategy' THEN 1.5::DOUBLE ELSE 2.0::DOUBLE END"
 ORACLES = {
     "entry_candidates": _cand,
     "barrier_labels": f"""WITH {S}, j AS (SELECT e.*, f.i AS fi, f.close AS fc, CASE WHEN e.g = 1 THEN CASE WHEN f.low - 0.1 <= e.csl THEN 'closed_sl' WHEN f.high - 0.1 >= e.ctp THEN 'closed_tp' END
@@ -129,7 +131,7 @@ ORACLES = {
     "ledger_equity": TR + f" SELECT symbol, split, rule AS strategy_name, no AS trade_no, {r('eq', 2)} AS equity, {r('(peak - eq) / peak * 100', 4)} AS drawdown_pct FROM u",
     "ledger_metrics": metrics(),
     "ledger_metrics_after_warmup": metrics(50),
-    "default_parameters": f"SELECT * EXCLUDE (n_closed_sl, n_closed_tp, n_end_of_data) FROM ({metrics(0, trades(2.0, 3.0))})",
+    "default_parameters": f"SELECT * EXCLUDE (n_closed_sl, n_closed_tp, n_end_of_data) FROM ({metrics(0, trades(DEFAULT_STOP, 3.0))})",
     "ledger_with_empty": TR + f""", g AS (SELECT symbol, split, count(*) AS n, {r('least(CASE WHEN coalesce(sum(usd) FILTER (pips < 0), 0) < 0 THEN coalesce(sum(usd) FILTER (pips > 0), 0) / abs(sum(usd) FILTER (pips < 0)) ELSE 99 END, 99)', 2)} AS pf,
         {r('arg_max(eq, no)', 2)} AS fin FROM t WHERE rule = 'EMACrossoverStrategy' GROUP BY ALL)
       SELECT b.symbol, x.split, y.rule AS strategy_name, coalesce(n, 0) AS total_trades, coalesce(pf, 0) AS profit_factor, coalesce(fin, 10000) AS final_equity
