@@ -7,7 +7,8 @@ bytes agree, and each 5 of 8 positions hold one of ``FOUR_OF_EIGHT``, so no link
 as rare as 32 equal bits.
 
 Equal fingerprints are one node.  A list is searched breadth first in NumPy (linked rows leave the unvisited ones), and only a
-spanning forest of its links goes on, never its pairs.  Lists of more than ``WIDE`` rows are first cut by the bytes at the
+spanning forest of its links goes on, never its pairs.  For groups the forest of a list is drawn as stars, from the least row of each
+tree to its others: lists that hold the same rows then give the same pairs, of which one goes on.  Lists of more than ``WIDE`` rows are first cut by the bytes at the
 remaining positions, of which the count filter needs at least one; this again loses no pair.
 
 Defined cases: null text as empty; texts without a word have fingerprint zero and link like any other; fewer words than
@@ -147,7 +148,23 @@ def _links(rows: np.ndarray, index: Index, rest: tuple[int, ...]) -> list[tuple[
     return out
 
 
-def _list_links(index: Index):
+def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs (least, other) of each connected part of ``links``."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(find(x), x) for x in root if find(x) != x]
+
+
+def _list_links(index: Index, stars: bool):
     """Sorted (key, fp) rows in, links (a, b) out; the rows of a key may span batches."""
     def links_of(keys: list[bytes], prints: np.ndarray, out: list) -> None:
         cuts = np.flatnonzero(np.array([x != y for x, y in itertools.pairwise(keys)], bool)) + 1
@@ -156,7 +173,8 @@ def _list_links(index: Index):
             rows = prints[starts[i]:stops[i]]
             known = index.positions[keys[starts[i]][0]]
             rest = tuple(p for p in range(index.n_bytes) if p not in known)
-            out += [(rows[a].tobytes(), rows[b].tobytes()) for a, b in _links(rows, index, rest)]
+            found = _links(rows, index, rest)
+            out += [(rows[a].tobytes(), rows[b].tobytes()) for a, b in (_stars(found) if stars else found)]
 
     def run(batches: Batches) -> Batches:
         held_keys: list[bytes] = []
@@ -178,14 +196,17 @@ def _list_links(index: Index):
     return run
 
 
-def near_links(prints: DataFrame, index: Index = STRICT) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect whatever any pair within the limits connects."""
+def near_links(prints: DataFrame, index: Index = STRICT, stars: bool = False) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that connect whatever any pair within the limits connects.
+
+    With ``stars`` the pairs connect the same rows, but may be farther apart than a link.
+    """
     keys = F.array(*[
         F.concat(F.unhex(F.lit(f"{n:02x}")), *[F.substring("fp", p + 1, 1) for p in positions]) for n, positions in enumerate(index.positions)
     ])
     listed = prints.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
     parted = listed.repartition("key").sortWithinPartitions("key", "fp")
-    return parted.mapInArrow(_list_links(index), "a binary, b binary").distinct()
+    return parted.mapInArrow(_list_links(index, stars), "a binary, b binary").distinct()
 
 
 def near_groups(docs: DataFrame, index: Index = STRICT) -> DataFrame:
@@ -194,7 +215,7 @@ def near_groups(docs: DataFrame, index: Index = STRICT) -> DataFrame:
     Of a group the row with the smallest doc_id (then the smallest _rk_h) is marked kept; rows equal in both are all marked.
     """
     prints = checkpointed(fingerprints(docs, index))
-    roots = components(near_links(prints, index))
+    roots = components(near_links(prints, index, stars=True))
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h")).alias("least"))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = checkpointed(nodes)
