@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.indicators import ALL_FEATURES, Frame, features
 from barloom.functions.recursive import FAMILIES, family, memory
 from barloom.operators.buckets import bucket_metrics, equity_path
-from barloom.series import KEYS, cumulate, mark, number_bars, number_rows
+from barloom.series import KEYS, cumulate, number_bars, number_rows
 
 EXTRA = ["TRIX_12_9", "TRIXSIG_12_9", "KAMA_10_2_30", "FISHER_10", "BULL_13_3", "WADX_14", "SADX_14", "VIP_14", "AROONU_25", "VWAPZ_50_50",
          "STOCHRSIK_14_14_3_3", "SENKOUA_9_26_52", "PCTRANK_ROC_10_100", "PIVOTH_5", "PIVOTL_5"]
