@@ -42,7 +42,7 @@ def test_short_leaves_on_the_ask(spark):
 def test_position_crosses_chunks(spark):
     ohlc = [(10, 10.2, 9.8, 10)] * 40 + [(10, 30, 9.8, 10)] + [(10, 10.2, 9.8, 10)] * 9
     entries = [(2, 1, 10.0, 5, 5), (7, 1, 10.0, 5, 5), (38, -1, 10.0, 50, 50), (41, 1, 10.0, 5, 5), (44, 1, 10.0, 5, 5)]
-    a, b = _run(spark, ohlc, entries), _run(spark, ohlc, entries, 6, None)
+    a, b = _run(spark, ohlc, entries), _run(spark, ohlc, entries, 6)
     cols = ["entry_bar", "exit_bar", "exit_reason", "exit_price"]
     assert a[cols].equals(b[cols]) and a.entry_bar.tolist() == [2, 41]
 
