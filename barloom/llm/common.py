@@ -15,6 +15,8 @@ from barloom.session import checkpoint_folder, cut_lineage
 SALTS = 16
 #: Stands for a null document number where rows must be matched on it.
 NO_ID = -(2**63)
+#: A key is hot with more than 1 / HOT_KEYS of all rows, so fewer than HOT_KEYS keys are.
+HOT_KEYS = 4096
 
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
@@ -37,6 +39,21 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: C
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Column, total: int, n: str = "n", salts: int = SALTS) -> DataFrame:
+    """Inner equi-join of ``big`` with ``small`` (one row per key) that salts the hot keys alone.
+
+    ``n`` in ``small`` is at least the number of rows that ``big`` has of the key, and its sum at most ``total``: fewer than ``HOT_KEYS`` keys
+    exceed ``total // HOT_KEYS``, whatever the table, and only their list is broadcast.
+    """
+    is_hot = F.col(n) > F.lit(total // HOT_KEYS)
+    # the whole row, so that this branch reads the same exchange as the join below
+    hot = small.filter(is_hot).select(*keys, F.struct(*small.columns).alias("_hot"))
+    left = big.join(F.broadcast(hot), list(keys), "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

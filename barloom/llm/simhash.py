@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Batches, checkpointed, row_keys, salted_join, text_bytes, to_batch, words
+from barloom.llm.common import Batches, checkpointed, hot_join, row_keys, text_bytes, to_batch, words
 from barloom.llm.components import components
 
 #: Fourteen sets of four positions; every five of the eight positions contain one of them.
@@ -164,49 +164,53 @@ def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(find(x), x) for x in root if find(x) != x]
 
 
-def _list_links(index: Index, stars: bool):
-    """Sorted (key, fp) rows in, links (a, b) out; the rows of a key may span batches."""
-    def links_of(keys: list[bytes], prints: np.ndarray, out: list) -> None:
+def _list_links(index: Index, stars: bool, kind: pa.DataType):
+    """Sorted (key, name, fp) rows in, links (a, b) between names out; the rows of a key may span batches."""
+    def links_of(keys: list[bytes], names: list, prints: np.ndarray, out: list) -> None:
         cuts = np.flatnonzero(np.array([x != y for x, y in itertools.pairwise(keys)], bool)) + 1
         starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(keys)]))
         for i in np.flatnonzero(stops - starts > 1):
-            rows = prints[starts[i]:stops[i]]
             known = index.positions[keys[starts[i]][0]]
             rest = tuple(p for p in range(index.n_bytes) if p not in known)
-            found = _links(rows, index, rest)
-            out += [(rows[a].tobytes(), rows[b].tobytes()) for a, b in (_stars(found) if stars else found)]
+            found = _links(prints[starts[i]:stops[i]], index, rest)
+            here = names[starts[i]:stops[i]]
+            out += [(here[a], here[b]) for a, b in (_stars(found) if stars else found)]
 
     def run(batches: Batches) -> Batches:
-        held_keys: list[bytes] = []
-        held = np.empty((0, index.n_bytes), np.uint8)
+        keys: list[bytes] = []
+        names: list = []
+        prints = np.empty((0, index.n_bytes), np.uint8)
         for batch in itertools.chain(batches, [None]):
-            out: list[tuple[bytes, bytes]] = []
+            out: list[tuple] = []
             if batch is None:
-                keys, prints, last = held_keys, held, len(held_keys)
+                last = len(keys)
             else:
-                prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, index.n_bytes)
-                keys, prints = held_keys + batch.column(0).to_pylist(), np.concatenate((held, prints))
+                prints = np.concatenate((prints, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, index.n_bytes)))
+                keys, names = keys + batch.column(0).to_pylist(), names + batch.column(1).to_pylist()
                 last = len(keys)
                 while last and keys[last - 1] == keys[-1]:  # the last key may go on
                     last -= 1
             if last:
-                links_of(keys[:last], prints[:last], out)
-            held_keys, held = keys[last:], prints[last:]
-            yield to_batch({"a": ([a for a, _ in out], pa.binary()), "b": ([b for _, b in out], pa.binary())})
+                links_of(keys[:last], names[:last], prints[:last], out)
+            keys, names, prints = keys[last:], names[last:], prints[last:]
+            yield to_batch({"a": ([a for a, _ in out], kind), "b": ([b for _, b in out], kind)})
     return run
 
 
-def near_links(prints: DataFrame, index: Index = STRICT, stars: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, index: Index = STRICT, stars: bool = False, node: str = "fp") -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect whatever any pair within the limits connects.
 
+    ``node``: column that names a print in the links, the print itself or a number unique to it (then prints must be distinct).
     With ``stars`` the pairs connect the same rows, but may be farther apart than a link.
     """
     keys = F.array(*[
         F.concat(F.unhex(F.lit(f"{n:02x}")), *[F.substring("fp", p + 1, 1) for p in positions]) for n, positions in enumerate(index.positions)
     ])
-    listed = prints.select("fp").distinct().select(F.explode(keys).alias("key"), "fp")
-    parted = listed.repartition("key").sortWithinPartitions("key", "fp")
-    return parted.mapInArrow(_list_links(index, stars), "a binary, b binary").distinct()
+    named = prints.select("fp").distinct() if node == "fp" else prints
+    listed = named.select(F.explode(keys).alias("key"), F.col(node).alias("name"), "fp")
+    parted = listed.repartition("key").sortWithinPartitions("key", "name")
+    kind, arrow = ("binary", pa.binary()) if node == "fp" else ("long", pa.int64())
+    return parted.mapInArrow(_list_links(index, stars, arrow), f"a {kind}, b {kind}").distinct()
 
 
 def near_groups(docs: DataFrame, index: Index = STRICT) -> DataFrame:
@@ -215,12 +219,14 @@ def near_groups(docs: DataFrame, index: Index = STRICT) -> DataFrame:
     Of a group the row with the smallest doc_id (then the smallest _rk_h) is marked kept; rows equal in both are all marked.
     """
     prints = checkpointed(fingerprints(docs, index))
-    roots = components(near_links(prints, index, stars=True))
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h")).alias("least"))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = checkpointed(nodes)
-    least = nodes.groupBy("root").agg(F.min("least").alias("top"))
-    tops = salted_join(nodes.select("fp", "root"), least, ["root"], F.col("fp"), "inner").select("fp", "top")
-    out = salted_join(prints, tops, ["fp"], F.struct("doc_id", "_rk_h"), "inner")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h"))
+    nodes = prints.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("rows"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # a number per distinct print is what goes through the joins
+    n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    roots = components(near_links(nodes, index, stars=True, node="node"))
+    nodes = checkpointed(nodes.join(roots, "node", "left").select("fp", "least", "rows", F.coalesce("root", "node").alias("root")))
+    tops = nodes.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
+    tops = hot_join(nodes.select("fp", "root", "rows"), tops, ["root"], F.col("fp"), n_nodes).select("fp", "rows", "top")
+    out = hot_join(prints, tops, ["fp"], F.struct("doc_id", "_rk_h"), n_rows, "rows")
     same = F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & F.col("_rk_h").eqNullSafe(F.col("top._rk_h"))
     return out.select("doc_id", "_rk_h", "fp", F.col("top.doc_id").alias("component_id"), same.alias("kept"))
