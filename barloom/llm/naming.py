@@ -13,6 +13,7 @@ text form a group in which one row stays; null document numbers sort below all o
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Batches, checkpointed, row_keys, salted_join, signed, text_bytes, to_batch
+from barloom.llm.common import Batches, checkpointed, hot_join, row_keys, salted_join, signed, text_bytes, to_batch
 
 BLOCK = 4096
 
@@ -36,8 +37,8 @@ def _blocks(text: bytes, block: int) -> list[bytes]:
 def _distinct(block: int, hasher: Callable[[bytes], int]):
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = {b for t in batch.column(0).to_pylist() for b in _blocks(t.lower(), block)}
-            yield to_batch({"h": ([hasher(b) for b in found], pa.int64()), "block": (list(found), pa.binary())})
+            found = Counter(b for t in batch.column(0).to_pylist() for b in _blocks(t.lower(), block))
+            yield to_batch({"h": ([hasher(b) for b in found], pa.int64()), "block": (list(found), pa.binary()), "n": (list(found.values()), pa.int64())})
     return run
 
 
@@ -63,14 +64,15 @@ def _occurrences(block: int, hasher: Callable[[bytes], int], shared: frozenset[i
 
 def _name_blocks(docs: DataFrame, block: int, hasher) -> tuple[DataFrame, DataFrame | None, frozenset[int]]:
     """Names by hash; names by content for hashes of several blocks; those hashes (expected number: blocks^2 / 2^65)."""
-    found = docs.select(text_bytes().alias("t")).mapInArrow(_distinct(block, hasher), "h long, block binary").distinct()
-    names = found.sortWithinPartitions("h", "block").select("h", F.monotonically_increasing_id().alias("name"))
-    by_hash = checkpointed(names.groupBy("h").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")))
-    shared = frozenset(r.h for r in by_hash.filter("n > 1").select("h").collect())
+    found = docs.select(text_bytes().alias("t")).mapInArrow(_distinct(block, hasher), "h long, block binary, n long")
+    found = found.groupBy("h", "block").agg(F.sum("n").alias("n"))
+    names = found.sortWithinPartitions("h", "block").select("h", "n", F.monotonically_increasing_id().alias("name"))
+    by_hash = checkpointed(names.groupBy("h").agg(F.min("name").alias("name"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")))
+    shared = frozenset(r.h for r in by_hash.filter("kinds > 1").select("h").collect())
     if not shared:
-        return by_hash.select("h", "name"), None, shared
-    clash = found.join(by_hash.filter("n > 1").select("h"), "h", "left_semi").sortWithinPartitions("h", "block")
-    return by_hash.select("h", "name"), checkpointed(clash.select("h", "block", (-1 - F.monotonically_increasing_id()).alias("name"))), shared
+        return by_hash.select("h", "name", "n"), None, shared
+    clash = found.join(by_hash.filter("kinds > 1").select("h"), "h", "left_semi").sortWithinPartitions("h", "block")
+    return by_hash.select("h", "name", "n"), checkpointed(clash.select("h", "block", (-1 - F.monotonically_increasing_id()).alias("name"))), shared
 
 
 def identities(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], int] = hash64) -> DataFrame:
@@ -81,7 +83,8 @@ def identities(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], in
     seen = checkpointed(raw.mapInArrow(
         _occurrences(block, hasher, shared),
         "rid long, doc_id long, _rk_h long, text_sha256 string, blocks int, pos int, h long, block binary"))
-    cur = salted_join(seen.filter("block is null").select("rid", "blocks", "pos", "h"), by_hash, ["h"], F.col("rid"), "inner")
+    total = by_hash.agg(F.sum("n")).first()[0] or 0
+    cur = hot_join(seen.filter("block is null").select("rid", "blocks", "pos", "h"), by_hash, ["h"], F.col("rid"), total)
     cur = cur.select("rid", "blocks", "pos", "name")
     if by_block is not None:
         more = salted_join(seen.filter("block is not null").select("rid", "blocks", "pos", "h", "block"), by_block, ["h", "block"], F.col("rid"), "inner")
@@ -95,8 +98,9 @@ def identities(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes], in
         pairs = cur.groupBy("rid", "blocks", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.max(F.expr("CASE WHEN pos % 2 = 0 THEN name END")).alias("a"), F.max(F.expr("CASE WHEN pos % 2 = 1 THEN name END")).alias("b"))
         pairs = pairs.withColumn("none", F.col("b").isNull()).withColumn("b", F.coalesce("b", F.lit(0)))
-        names = pairs.select("a", "b", "none").distinct().sortWithinPartitions("a", "b", "none").withColumn("name", F.monotonically_increasing_id())
-        named = checkpointed(salted_join(pairs, checkpointed(names), ["a", "b", "none"], F.col("rid"), "inner").select("rid", "blocks", "pos", "name"))
+        names = pairs.groupBy("a", "b", "none").agg(F.count(F.lit(1)).alias("n"))
+        names = checkpointed(names.sortWithinPartitions("a", "b", "none").withColumn("name", F.monotonically_increasing_id()))
+        named = checkpointed(hot_join(pairs, names, ["a", "b", "none"], F.col("rid"), total).select("rid", "blocks", "pos", "name"))
         left = F.expr(f"ceil(blocks / pow(2, {level}))")
         done = done.unionByName(named.filter(left == 1).select("rid", F.lit(level).alias("level"), "name"))
         cur = named.filter(left > 1)
@@ -107,6 +111,6 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, hasher: Callable[[bytes],
     """Per row: doc_id, keep_id, group_size, kept, text_sha256, and ``_rk_h`` for finding the row again; the largest doc_id stays."""
     found = checkpointed(identities(docs, block, hasher))
     groups = found.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("_top"), F.count(F.lit(1)).alias("group_size"))
-    out = salted_join(found, groups, ["level", "name"], F.col("rid"), "inner")
+    out = hot_join(found, groups, ["level", "name"], F.col("rid"), found.count(), "group_size")
     return out.select("doc_id", F.col("_top.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
                       (F.col("rid") == F.col("_top.rid")).alias("kept"), "text_sha256", "_rk_h")
