@@ -5,7 +5,8 @@ length and the punctuation of its blocks are added up and divided by their numbe
 score (link text counts for nothing).  The scores, in page order, are smoothed with a Gaussian and compared with their
 deviation; blocks above it are content nodes.  The main text is every block of the container that holds the content nodes
 (an article if there is one), so that short paragraphs and headings of it stay.  Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are told by element, role, class or id, score zero and are left out anywhere.
+forms, scripts, styles and reader comments are told by element, role, class or id, score zero and are left out anywhere; an element told by
+class or id alone stays if it wraps the main text (``wrappers``).  A text split into several articles is that of their common container.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; an unfinished tag at the end of a page is dropped;
 repeated rows are extracted each; other columns are ignored.  Memory: one page and its blocks.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,8 @@ SKIP_WORDS = frozenset(
     "navigation navlinks newsletter notice notices notification notifications outbrain overlay pager pagination paywall popup promo promos promoted promotion recommendations "
     "recommended related replies reply respond responses search share sharing sidebar sidebars sidenav signin signup skip social sponsor sponsored sponsors subnav subscribe "
     "subscription taboola toolbar topbar topnav widget widgets".split())
+#: Words of reader comments: only nearly the whole of a page makes a wrapper of what they name.
+COMMENT_WORDS = frozenset("comment comments commentlist commenting disqus reply replies respond responses".split())
 NEGATED = frozenset("has with no without is".split())
 MAIN_WORDS = frozenset("article content entry main post story text body".split())
 CONTAINERS = frozenset("html body article main section div td center table tbody tr form fieldset".split())
@@ -54,9 +58,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"()]")
 
 
 class Element:
-    __slots__ = ("inline", "main", "parent", "path", "skip", "tag", "weight")
+    __slots__ = ("at", "bad", "inline", "main", "parent", "path", "skip", "tag", "weight")
 
-    def __init__(self, tag: str, attrs: str, parent: Element | None):
+    def __init__(self, tag: str, attrs: str, parent: Element | None, at: int = 0, spared: Container[int] = ()):
+        self.at, self.bad = at, frozenset()
         self.tag, self.parent, self.weight = tag, parent, 0.0
         self.inline = tag in INLINE
         self.skip = parent is not None and parent.skip
@@ -82,7 +87,8 @@ class Element:
         if tag in ("article", "main"):
             bad &= {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "related", "hidden"}
         style = known.get("style", "").replace(" ", "").lower()
-        self.skip |= bool(bad) or tag in SKIP_TAGS or (tag == "header" and not inside) or role in SKIP_ROLES or "hidden" in known or \
+        self.bad = frozenset(bad)
+        self.skip |= (bool(bad) and at not in spared) or tag in SKIP_TAGS or (tag == "header" and not inside) or role in SKIP_ROLES or "hidden" in known or \
             known.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
 
 
@@ -93,8 +99,9 @@ class Block:
         self.element, self.text, self.link = element, text, link
 
 
-def blocks(page: str) -> list[Block]:
-    """Text runs between block-level tags, in page order."""
+def blocks(page: str, spared: Container[int] = ()) -> list[Block]:
+    """Text runs between block-level tags, in page order; ``spared``: numbers of the elements whose class and id drop nothing."""
+    n_elements = 0
     top = Element("html", "", None)
     stack, out, runs, link = [top], [], [], 0
 
@@ -175,7 +182,8 @@ def blocks(page: str) -> list[Block]:
         if tag == "body":
             close({"head"}, frozenset())
         if tag not in VOID:
-            stack.append(Element(tag, m["attrs"], stack[-1]))
+            n_elements += 1
+            stack.append(Element(tag, m["attrs"], stack[-1], n_elements, spared))
     if at < len(page):
         say(page[at:])
     flush()
@@ -204,6 +212,61 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
+def above(e: Element | None) -> Iterator[Element]:
+    """An element and all that hold it."""
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+class Every:
+    def __contains__(self, _: int) -> bool:
+        return True
+
+
+def wrappers(page: str, found: list[Block]) -> set[int]:
+    """Numbers of elements that a word of their class or id would drop, but that wrap the main text.
+
+    With an article or main part in sight none is sought.  Otherwise, from the outside in, the heaviest that holds half of the page's tag-path
+    weight, or a quarter and an article or main part, until one is in sight.
+    """
+    if any(e.main >= 2 for b in found if not b.element.skip for e in above(b.element)):
+        return set()
+    known: dict[int, Element] = {}
+    weights: dict[int, float] = {}
+    holds: set[int] = set()
+    chains, total = [], 0.0
+    whole = blocks(page, Every())
+    for b, score in zip(whole, path_scores(whole), strict=True):
+        if not score:
+            continue
+        chain, weight = list(above(b.element)), float(len(b.text) - b.link)
+        total += weight
+        chains.append(chain)
+        main = False
+        for e in chain:
+            main |= e.main >= 2 and not e.bad
+            if e.bad:
+                known[e.at] = e
+                weights[e.at] = weights.get(e.at, 0.0) + weight
+                if main:
+                    holds.add(e.at)
+    spared: set[int] = set()
+    while True:
+        if any(e.main >= 2 for c in chains if not any(x.bad and x.at not in spared for x in c) for e in c):
+            return spared
+        best = None
+        for at, e in known.items():
+            if at in spared or any(x.bad and x.at not in spared for x in above(e.parent)):
+                continue
+            least = 0.9 if e.bad & COMMENT_WORDS else 0.25 if at in holds else 0.5
+            if weights[at] >= least * total > 0 and (best is None or weights[at] > weights[best]):
+                best = at
+        if best is None:
+            return spared
+        spared.add(best)
+
+
 def content_root(found: list[Block]) -> Element | None:
     """Container of the content nodes."""
     raw = path_scores(found)
@@ -239,11 +302,21 @@ def content_root(found: list[Block]) -> Element | None:
         own = {id(e): e for c in chains for e in c if e.main == 3}
         if own and (best is None or best.tag in ("html", "body")):
             best = max(own.values(), key=lambda e: e.weight)
+    if best is not None and best.main == 3:  # the text goes on in further articles: the container of all
+        tops = {id(t): t for c in chains for t in [next((e for e in reversed(c) if e.main == 3), None)] if t is not None}
+        if len(tops) > 1:
+            common = [e for e in above(best) if all(any(e is x for x in above(t)) for t in tops.values())]
+            best = next((e for e in common if e.tag in CONTAINERS), best)
     return best
 
 
 def extract(page: str) -> str:
     found = blocks(page)
+    spared = wrappers(page, found)
+    if spared:
+        found = blocks(page, spared)
+    if not any(not b.element.skip for b in found):
+        found = blocks(page, Every())  # all text is left out by words: the ratios alone
     if not any(not b.element.skip for b in found):
         if not re.search(r"<form", page, re.I):
             return ""

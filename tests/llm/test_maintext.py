@@ -23,6 +23,25 @@ def test_extract(page, text):
     assert maintext.extract(page or "") == text
 
 
+SIDE = '<div class="sidebar"><p>Side text, short.</p></div>'
+
+
+@pytest.mark.parametrize("wrap", ["class='content-sidebar-wrap'", "class='layout sidebar-right'", "id='page' class='widget-area-left'", "class='search-results'"])
+def test_wrappers_named_by_skip_words_keep_the_text(wrap):
+    for inner in (f"<article><p>{LONG}</p><p>tail</p></article>", f"<main><p>{LONG}</p><p>tail</p></main>", f"<div><p>{LONG}</p><p>tail</p></div>"):
+        assert maintext.extract(f"<body><div id='nav'>menu, one</div><div {wrap}>{inner}{SIDE}</div></body>") == f"{LONG} tail"
+        assert maintext.extract(f"<body><div class='widget'><div {wrap}>{inner}{SIDE}</div></div></body>") == f"{LONG} tail"
+    related = f"<div class='related'><article><p>Teaser, {LONG[:40]}</p></article></div>"
+    assert maintext.extract(f"<body><div {wrap}><article><p>{LONG} {LONG}</p></article>{related}</div></body>") == f"{LONG} {LONG}"
+
+
+def test_parts_in_several_articles_stay():
+    for n in (2, 3, 5):
+        parts = [f"Part {i}. {LONG}" * (3 if i == 0 else 1) for i in range(n)]
+        page = "<body><div id='nav'>menu</div><main>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</main><footer>f</footer></body>"
+        assert maintext.extract(page) == " ".join(parts)
+
+
 def test_table(spark):
     rows = [(i, f"u{i}", h) for i, (h, _) in enumerate(CASES)] + [(None, None, CASES[5][0]), (5, "u5", CASES[5][0])]
     got = maintext.main_texts(pages(spark, rows)).collect()
