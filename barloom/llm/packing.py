@@ -13,10 +13,12 @@ document number and piece; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import array
+import json
 import re
 import sys
 import zlib
 from bisect import insort
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,6 +38,7 @@ class Ids(dict):
     """Token ids (little-endian unsigned 32-bit) of strings between spaces, found once per string.
 
     The vocabulary's pattern breaks before every space that follows a non-space, so these strings are tokenised alone.
+    Texts are first cut at the added tokens of the tokenizer file beside the rank file, as that file's tokenizer does.
     """
 
     def __init__(self, vocabulary: str):
@@ -49,6 +52,9 @@ class Ids(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.piece = self.encoding._core_bpe.encode_single_piece
+        self.added = added_tokens(vocabulary)
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def __missing__(self, s: str) -> bytes:
         body = s[1:] if s[:1] == " " else s
@@ -66,6 +72,12 @@ class Ids(dict):
         return found
 
     def of_text(self, text: str) -> bytes:
+        if self.cuts and any(a in text for a in self.added):
+            parts = self.cuts.split(text)  # every second part is an added token
+            return b"".join([array.array("I", [self.added[p]]).tobytes() if i % 2 else self.of_part(p) for i, p in enumerate(parts)])
+        return self.of_part(text)
+
+    def of_part(self, text: str) -> bytes:
         if not text:
             return b""
         if SPACES.search(text):  # here white space joins across the cut
@@ -77,6 +89,15 @@ class Ids(dict):
 SPACES = re.compile(r"\s \s|  | $")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Added tokens of the tokenizer file beside a rank file, none if there is no such file."""
+    file = Path(vocabulary).with_suffix(".json")
+    found = json.loads(file.read_text("utf-8"))["added_tokens"] if file.exists() else []
+    if any(a[k] for a in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{file}: added tokens that do not match as plain strings")
+    return {a["content"]: a["id"] for a in found}
+
+
 def token_ids(text: str, vocabulary: str) -> bytes:
     stores = sys.__dict__.setdefault("_barloom_ids", {})  # kept by the process: what a task's function refers to is sent anew with every task
     if vocabulary not in stores:

@@ -27,6 +27,17 @@ def test_same_ids_as_the_tokenizer_file(tokenizer):
         assert got == tokenizer.encode(t, add_special_tokens=False).ids, json.dumps(t)
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer_file(tokenizer):
+    r = random.Random(3)
+    end = "<|endoftext|>"
+    parts = ["a", " ", "  ", "\n", ".", "don't", "12", "日本", "<|", "|>", "endoftext", end, end, end.upper(), end[:-1], "<" + end]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [end, f"end of doc{end}next one", f" {end} ", f"a  {end}\n\nb", end * 3]
+    assert sum(end in t for t in texts) > 1000
+    for t in texts:
+        got = np.frombuffer(packing.token_ids(t, VOCABULARY), "<u4").tolist()
+        assert got == tokenizer.encode(t, add_special_tokens=False).ids, json.dumps(t)
+
+
 def slow_best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):
