@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, warc
+from barloom.llm import cascade, fim, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, warc
 from barloom.llm.common import scratch, table
 
 
@@ -55,9 +55,16 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    found = fim.transformed(table(sf_dir, "documents", spark))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_chunks, op3_main_text, op4_minhash_fingerprints, op5_lm_scoring, op6_exact_dedup, op7_quality_ranking, op8_url_cascade,
-    op9_source_mixing, op10_simhash_near_dedup)}
+    op9_source_mixing, op10_simhash_near_dedup, op12_fill_in_middle)}
 
 UPPER, LOWER = cascade.UPPER, cascade.LOWER
 
@@ -83,4 +90,15 @@ ORACLES = {
                      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                WHEN regexp_matches(host, '{"|".join(cascade.LISTED_PARTS)}') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+             h AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3,
+                          ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+             f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                          CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                               WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+             o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM o""",
 }
