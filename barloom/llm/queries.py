@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, fim, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, warc
+from barloom.llm import cascade, fim, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, turns, warc
 from barloom.llm.common import scratch, table
 
 
@@ -55,6 +55,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return turns.Repair(table(sf_dir, "conversations", spark)).report()
+
+
 def op12_fill_in_middle(spark, sf_dir):
     found = fim.transformed(table(sf_dir, "documents", spark))
     back = fim.restored(F.col("output"), F.col("form"))
@@ -64,7 +68,7 @@ def op12_fill_in_middle(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_chunks, op3_main_text, op4_minhash_fingerprints, op5_lm_scoring, op6_exact_dedup, op7_quality_ranking, op8_url_cascade,
-    op9_source_mixing, op10_simhash_near_dedup, op12_fill_in_middle)}
+    op9_source_mixing, op10_simhash_near_dedup, op11_conversation_repair, op12_fill_in_middle)}
 
 UPPER, LOWER = cascade.UPPER, cascade.LOWER
 
@@ -90,6 +94,50 @@ ORACLES = {
                      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
                WHEN regexp_matches(host, '{"|".join(cascade.LISTED_PARTS)}') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op11_conversation_repair": """
+        WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+         n AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+         d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                      xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)),
+                          lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS draw FROM n, k),
+         e AS (SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+                      CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) AS copy
+               FROM d WHERE draw <> 0),
+         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS rn,
+                      NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank FROM e),
+         s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS seen, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS late,
+                      substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS bi FROM o),
+         r AS (SELECT conv_id, rn, i, role, text, blank OR seen AS dead, CASE WHEN late THEN 3 ELSE 0 END AS kc FROM s),
+         c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                      count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (late AND NOT seen AND NOT blank) AS truncated,
+                      count(*) FILTER (bi || i NOT IN ('su', 'ua', 'au')) AS illegal, max(rn) AS n FROM s GROUP BY conv_id),
+         f AS (SELECT conv_id, n + 1 AS rn, {'c': 0, 'a': '', 'r': ''} AS f0, {'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)} AS f1,
+                      {'c': 3, 'a': 'I', 'r': 'assistant:' || chr(10)} AS f2, {'c': 0, 'a': '', 'r': ''} AS f3 FROM c
+               UNION ALL
+               SELECT conv_id, rn,
+                      list_min([b0, {'c': b2.c + 3, 'a': 'I' || b2.a, 'r': 'user:' || chr(10) || b2.r}, {'c': b3.c + 6, 'a': 'II' || b3.a, 'r': 'user:' || chr(10) || 'assistant:' || chr(10) || b3.r}]),
+                      list_min([b1, {'c': b2.c + 3, 'a': 'I' || b2.a, 'r': 'user:' || chr(10) || b2.r}, {'c': b3.c + 6, 'a': 'II' || b3.a, 'r': 'user:' || chr(10) || 'assistant:' || chr(10) || b3.r}]),
+                      list_min([b2, {'c': b3.c + 3, 'a': 'I' || b3.a, 'r': 'assistant:' || chr(10) || b3.r}]),
+                      list_min([b3, {'c': b2.c + 3, 'a': 'I' || b2.a, 'r': 'user:' || chr(10) || b2.r}])
+               FROM (SELECT f.conv_id, r.rn,
+                            list_min([{'c': f0.c + 4, 'a': 'D' || f0.a, 'r': f0.r},
+                                      CASE WHEN NOT dead AND i = 's' THEN {'c': f1.c + kc, 'a': 'K' || f1.a, 'r': role || ':' || text || chr(10) || f1.r} END,
+                                      CASE WHEN NOT dead AND i = 'u' THEN {'c': f2.c + kc, 'a': 'K' || f2.a, 'r': role || ':' || text || chr(10) || f2.r} END,
+                                      CASE WHEN NOT dead THEN {'c': f2.c + kc + 3, 'a': 'R' || f2.a, 'r': 'user:' || text || chr(10) || f2.r} END]) AS b0,
+                            list_min([{'c': f1.c + 4, 'a': 'D' || f1.a, 'r': f1.r},
+                                      CASE WHEN NOT dead AND i = 'u' THEN {'c': f2.c + kc, 'a': 'K' || f2.a, 'r': role || ':' || text || chr(10) || f2.r} END,
+                                      CASE WHEN NOT dead THEN {'c': f2.c + kc + 3, 'a': 'R' || f2.a, 'r': 'user:' || text || chr(10) || f2.r} END]) AS b1,
+                            list_min([{'c': f2.c + 4, 'a': 'D' || f2.a, 'r': f2.r},
+                                      CASE WHEN NOT dead AND i = 'a' THEN {'c': f3.c + kc, 'a': 'K' || f3.a, 'r': role || ':' || text || chr(10) || f3.r} END,
+                                      CASE WHEN NOT dead THEN {'c': f3.c + kc + 3, 'a': 'R' || f3.a, 'r': 'assistant:' || text || chr(10) || f3.r} END]) AS b2,
+                            list_min([{'c': f3.c + 4, 'a': 'D' || f3.a, 'r': f3.r},
+                                      CASE WHEN NOT dead AND i = 'u' THEN {'c': f2.c + kc, 'a': 'K' || f2.a, 'r': role || ':' || text || chr(10) || f2.r} END,
+                                      CASE WHEN NOT dead THEN {'c': f2.c + kc + 3, 'a': 'R' || f2.a, 'r': 'user:' || text || chr(10) || f2.r} END]) AS b3
+                     FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.rn = f.rn - 1) x)
+        SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+               coalesce(c.illegal, 0) AS illegal, coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(left(f0.r, -1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND f.rn = 1""",
     "op12_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
              h AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2, ('0x' || substr(x, 17, 8))::BIGINT AS h3,
