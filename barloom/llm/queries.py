@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.llm import cascade, fim, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, turns, warc
+from barloom.llm import cascade, fim, licenses, lm, maintext, mixing, naming, packing, ranking, simhash, sketch, turns, warc
 from barloom.llm.common import scratch, table
 
 
@@ -66,11 +66,16 @@ def op12_fill_in_middle(spark, sf_dir):
                         F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
 
 
+def op13_license_scan(spark, sf_dir):
+    return licenses.scanned(table(sf_dir, "documents", spark))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_warc_chunks, op3_main_text, op4_minhash_fingerprints, op5_lm_scoring, op6_exact_dedup, op7_quality_ranking, op8_url_cascade,
-    op9_source_mixing, op10_simhash_near_dedup, op11_conversation_repair, op12_fill_in_middle)}
+    op9_source_mixing, op10_simhash_near_dedup, op11_conversation_repair, op12_fill_in_middle, op13_license_scan)}
 
 UPPER, LOWER = cascade.UPPER, cascade.LOWER
+TEMPLATE_ROWS = ", ".join(f"({i}, '{t.label}', {t.exact}, '{' '.join(t.words)}')" for i, t in enumerate(licenses.TEMPLATES))
 
 ORACLES = {
     "op2_warc_chunks": """
@@ -149,4 +154,23 @@ ORACLES = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
                sha256(t) AS restored_sha256 FROM o""",
+    "op13_license_scan": f"""
+        WITH t AS (SELECT n, label, exact, string_split(txt, ' ') AS tw, CASE WHEN exact THEN 2 ELSE 3 END AS k FROM (VALUES {TEMPLATE_ROWS}) v(n, label, exact, txt)),
+             g AS (SELECT n, label, exact, k, len(tw) AS size, len(tw) - k + 1 AS grams, i, tw[i + 1] AS a, tw[i + 2] AS b, CASE WHEN NOT exact THEN tw[i + 3] END AS c
+                   FROM (SELECT *, unnest(range(len(tw) - k + 1)) AS i FROM t)),
+             d AS (SELECT row_number() OVER () AS rid, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+             p AS (SELECT rid, pos, w[pos + 1] AS a, w[pos + 2] AS b, w[pos + 3] AS c FROM (SELECT rid, w, unnest(range(len(w))) AS pos FROM d)),
+             v AS (SELECT rid, n, label, exact, k, size, grams, pos - i AS diagonal, list(i) AS seen, min(pos) AS lo, max(pos) AS hi
+                   FROM p JOIN g ON p.a = g.a AND p.b = g.b AND (g.exact OR p.c = g.c) GROUP BY ALL),
+             b AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, n ORDER BY diagonal) > {licenses.SLACK}, true) THEN 1 ELSE 0 END AS fresh FROM v),
+             m AS (SELECT *, sum(fresh) OVER (PARTITION BY rid, n ORDER BY diagonal) AS span FROM b),
+             s AS (SELECT rid, n, label, exact, size, len(list_distinct(flatten(list(seen)))) / grams AS cover, min(lo) AS start, max(hi) + k AS stop
+                   FROM m GROUP BY rid, n, label, exact, size, grams, k, span),
+             f AS (SELECT *, CASE WHEN exact THEN cover = 1 ELSE cover >= {licenses.LEAST} AND stop - start <= {licenses.STRETCH} * size END AS found FROM s),
+             r AS (SELECT rid, count(*) FILTER (found AND exact) AS n_base, min(start) FILTER (found AND exact) AS first_word, max(start) FILTER (found AND exact) AS last_word,
+                          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found AND exact), '') AS base_labels,
+                          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found), '') AS labels, round(max(cover), 6) AS score FROM f GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0) AS score FROM d LEFT JOIN r USING (rid)""",
 }
