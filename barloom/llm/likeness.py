@@ -1,19 +1,25 @@
-"""Near duplicates by exact likeness of shingle sets: prefix filter, then verification of every candidate pair.
+"""Near duplicates by SimHash links and exact likeness of shingle sets: every pair that reaches the likeness counts, nothing is estimated.
 
-The distinct shingle hashes of a text are put in ascending order.  Of two sets with Jaccard similarity of at least t, the first
-``n - ceil(t * n) + 1`` hashes of both (n: size of each) have one in common, so the lists of texts by such a hash hold every pair sought;
-nothing is estimated and none is lost.  Most lists hold one text and go at once.  A candidate pair links if its whole sets, counted exactly, reach t.
+Shingles are put in order of (number of texts that hold them, hash), the rarest first.  Of two sets with Jaccard similarity of at least t, the first
+``n - ceil(t * n) + 1`` shingles of both (n: size of each) have one in common, so the lists of texts by such a shingle hold every pair sought.  A shingle of one text only
+is in no list: most texts begin with that many of them and leave at once, and a line that thousands of texts share comes last in each and makes no list.
+What is left of a set, its shingles that other texts hold too, is written once and serves all verification, since only such shingles can be shared.
 
-Texts of equal sets are one node.  Lists are worked off in rounds: a few leaders of each list meet all others of it, the links found are
-joined into components, the leaders leave and so does any list whose texts are all in one component.  Members of a list's
-small components lead first, so a list of n near copies of one text costs n pairs, not n^2; pairs inside a component are never needed.
+* Counting: a first pass takes the load of hash buckets per task and so finds the heavy ones, fewer than ``HEAVY`` in any table.  Shingles in them
+  need no counting and skip its exchange, which therefore has no hot key; the others are counted where they meet.
+* Linking: fingerprints of the same sets go through the byte-position index of ``simhash``; its links are verified by the sets and join most groups of near copies.
+* Completing: lists whose texts are not in one component yet are worked off in rounds.  A few leaders of each list meet all others of it, pairs that the places
+  of the shingle rule out are dropped, the links found are joined into components, leaders leave and so does any list that is in one component.
+  Members of a list's small components lead first, so n near copies of one text cost n pairs, not n^2; pairs inside a component are never needed.
+
+Texts of equal sets are one node.  ``docs`` is read twice and must give the same rows in the same order again, as a table does.  Files of a round are removed after the next.
 
 Defined cases: as in ``simhash`` for null texts, short texts and null document numbers; texts without a word have equal (empty) sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterable
 from fractions import Fraction
 
 import numpy as np
@@ -22,36 +28,74 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Batches, checkpointed, hot_join, row_keys, text_bytes
+from barloom.llm.common import Batches, checkpointed, forget, hot_join, row_keys, scratch, text_bytes
 from barloom.llm.components import components
-from barloom.llm.simhash import shingle_hashes
+from barloom.llm.simhash import Index, fingerprint, near_links, shingle_hashes
 
 #: Leaders of each list in the first round and the factor by which later rounds take more.
 LEADERS, GROWTH = 1, 8
+#: Buckets of shingle hashes; a bucket is heavy with more than 1 / HEAVY of all shingles, so fewer than HEAVY are.
+BUCKETS, HEAVY = 1 << 16, 1024
+#: Most shingles in one batch that a task sends on.
+SENT = 1 << 18
 
 
 def prefix_length(n: int, likeness: Fraction) -> int:
     return n + (-n * likeness.numerator // likeness.denominator) + 1 if n else 0
 
 
-def _described(shingle: int, likeness: Fraction):
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _described(shingle: int):
+    """A row for each text, and after the last one a row (fp null; rid: bucket, size: load) for each bucket that is heavy among the task's shingles."""
     def run(batches: Batches) -> Batches:
+        load = np.zeros(BUCKETS, np.int64)
+        names = ["rid", "doc_id", "_rk_h", "fp", "size", "sim"]
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column(2).to_pylist()]
-            heads = [s[:prefix_length(len(s), likeness)].view(np.int64) for s in sets]
-            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *heads])))
-            names = pa.array([xxhash.xxh3_128_digest(s.astype("<u8").tobytes()) for s in sets], pa.binary())
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, sizes, keys], ["doc_id", "_rk_h", "fp", "size", "keys"])
+            fps, sizes, sims = [], [], []
+            for t in b.column(3).to_pylist():
+                s = np.unique(shingle_hashes(t, shingle))
+                fps.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
+                sizes.append(len(s))
+                sims.append(fingerprint(s))
+                if len(s) > BUCKETS // 16:
+                    load += np.bincount(_bucket(s), minlength=BUCKETS)
+                else:
+                    np.add.at(load, _bucket(s), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sims, pa.binary())], names)
+        heavy = np.flatnonzero(load > load.sum() // (2 * HEAVY))
+        none = pa.nulls(len(heavy))
+        yield pa.RecordBatch.from_arrays([pa.array(heavy, pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
+                                          pa.array(load[heavy], pa.int64()), none.cast(pa.binary())], names)
     return run
 
 
-def _sets(shingle: int):
+def _members(shingle: int, heavy: dict[int, int]):
+    """(rid, h, df) for every shingle; df: the load of a heavy bucket, 0 if the shingle is to be counted."""
+    known = np.zeros(BUCKETS, np.int64)
+    known[list(heavy.keys())] = list(heavy.values())
+
+    def sent(rids: list[int], sets: list[np.ndarray]) -> Iterable[pa.RecordBatch]:
+        h = np.concatenate([np.empty(0, np.uint64), *sets])
+        rid = np.repeat(np.array(rids, np.int64), [len(s) for s in sets])
+        for i in range(0, len(h), SENT):
+            part = h[i:i + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[i:i + SENT]), pa.array(part.view(np.int64)), pa.array(known[_bucket(part)])], ["rid", "h", "df"])
+
     def run(batches: Batches) -> Batches:
+        rids, sets, n = [], [], 0
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
-            members = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column(0), members], ["node", "members"])
+            for rid, t in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                s = np.unique(shingle_hashes(t, shingle))
+                rids.append(rid)
+                sets.append(s)
+                n += len(s) + 1
+                if n >= SENT:
+                    yield from sent(rids, sets)
+                    rids, sets, n = [], [], 0
+        yield from sent(rids, sets)
     return run
 
 
@@ -61,58 +105,105 @@ def _reaches(shared: Column, a: Column, b: Column, likeness: Fraction) -> Column
 
 
 def verified(pairs: DataFrame, sets: DataFrame, likeness: Fraction) -> DataFrame:
-    """Of ``pairs`` (a, b and others), those whose sets (node, members) reach the likeness."""
-    total = pairs.count()
+    """Of ``pairs`` (a, b and others), those whose sets (node, size, members: the shingles that other texts hold too) reach the likeness."""
     counts = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    left = sets.join(counts, "node").select(F.col("node").alias("a"), F.col("members").alias("of_a"), "n")
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
+    total = pairs.count()
+    left = sets.join(counts, "node").select(F.col("node").alias("a"), F.col("members").alias("of_a"), F.col("size").alias("size_a"), "n")
+    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"), F.col("size").alias("size_b")), "b")
     met = hot_join(right, left, ["a"], F.col("b"), total)
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return met.filter(_reaches(shared, F.size("of_a"), F.size("of_b"), likeness)).select(*pairs.columns)
+    return met.filter(_reaches(shared, F.col("size_a"), F.col("size_b"), likeness)).select(*pairs.columns)
+
+
+def _several(lists: DataFrame, name: str) -> DataFrame:
+    """Lists in which ``name`` has more than one value."""
+    ends = lists.groupBy("key").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).filter("_lo < _hi").select("key")
+    return lists.join(ends, "key", "left_semi")
 
 
-def _roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Lists (key, node, size, pos) of more than one component, with the component of each row."""
-    at = lists.withColumn("root", F.col("node"))
-    if roots is not None:
-        at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return _several(at, "root").select("key", "node", "size", "pos", "root")
 
 
-def _several(lists: DataFrame, name: str) -> DataFrame:
-    """Lists in which ``name`` has more than one value; one exchange."""
-    key = Window.partitionBy("key")
-    return lists.withColumns({"_lo": F.min(name).over(key), "_hi": F.max(name).over(key)}).filter("_lo < _hi").drop("_lo", "_hi")
+class _Files:
+    """Tables of a round in the shared folder; those of the round before are removed when the next begins."""
+
+    def __init__(self, spark):
+        self.spark, self.now, self.old = spark, [], []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        at = scratch(self.spark, "near")
+        df.write.parquet(at)
+        self.now.append(at)
+        return self.spark.read.parquet(at)
+
+    def next_round(self) -> None:
+        for at in self.old:
+            forget(self.spark, at)
+        self.now, self.old = [], self.now
 
 
-def exact_roots(lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame], likeness: Fraction) -> DataFrame | None:
-    """(node, root) of the components of all pairs that share a list (key, node, size, pos) and reach the likeness.
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after links (a, b) between roots."""
+    merged = components(links).withColumnRenamed("root", "to").withColumnRenamed("node", "root")
+    return roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
-    ``pos``: place of the key in the node's set.  ``sets_of``: sets of the nodes asked for; most lists hold no pair that comes this far.
+
+def exact_roots(lists: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Fraction) -> DataFrame:
+    """``roots`` (node, root; every node of a list) after all pairs that share a list (key, node, size, pos) and reach the likeness.
+
+    ``pos``: place of the key in the node's set.
     """
-    every = lists.select("node").distinct()
-    roots, leaders = None, LEADERS
+    files, leaders = _Files(lists.sparkSession), LEADERS
     while True:
-        lists = checkpointed(_roots(lists, roots))
+        lists = files.put(_rooted(lists, roots))
         if lists.isEmpty():
             return roots
         same = Window.partitionBy("key", "root")
         order = Window.partitionBy("key").orderBy("n", "root", "node")
-        ranked = checkpointed(lists.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("rank", F.row_number().over(order)))
+        ranked = files.put(lists.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("rank", F.row_number().over(order)))
         first = ranked.filter(F.col("rank") <= leaders).select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "size", "pos", "root", "rank")])
         most = F.least(F.col("size") - F.col("pos"), F.col("size_a") - F.col("pos_a"))  # shared at most, if the key is the first that both hold
         met = ranked.join(first, "key").filter((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")))
         met = met.filter(_reaches(most, F.col("size"), F.col("size_a"), likeness))
-        pairs = checkpointed(met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct())
-        sets = checkpointed(sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
-        links = checkpointed(verified(pairs, sets, likeness).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        pairs = files.put(met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct())
+        links = files.put(verified(pairs, sets, likeness).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         if not links.isEmpty():  # components of components: few nodes are left after the first round
-            merged = components(links).withColumnRenamed("root", "to")
-            before = every.withColumn("root", F.col("node")) if roots is None else roots
-            after = before.join(merged.withColumnRenamed("node", "root"), "root", "left")
-            roots = checkpointed(after.select("node", F.coalesce("to", "root").alias("root")))
+            roots = files.put(_joined(roots, links))
+        else:
+            roots = files.put(roots)
         lists = ranked.filter(F.col("rank") > leaders).select("key", "node", "size", "pos")
         leaders *= GROWTH
+        files.next_round()
+
+
+class Candidates:
+    """``rows`` (one per text), ``nodes`` (one per distinct set), ``sets`` and ``lists`` of the nodes that may have a partner."""
+
+    def __init__(self, docs: DataFrame, shingle: int, likeness: Fraction):
+        raw = row_keys(docs.select("doc_id", "text")).select(
+            F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "_rk_h", text_bytes().alias("t"))
+        seen = checkpointed(raw.mapInArrow(_described(shingle), "rid long, doc_id long, _rk_h long, fp binary, size long, sim binary"))
+        self.rows = seen.filter("fp IS NOT NULL")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h", "rid"))
+        nodes = self.rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("sim").alias("sim"))
+        self.nodes = checkpointed(nodes.withColumn("node", F.col("least.rid")))  # one row stands for each set
+        loads = seen.filter("fp IS NULL").groupBy("rid").agg(F.sum("size").alias("load"))
+        total = self.rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        heavy = {r["rid"]: r["load"] for r in loads.filter(F.col("load") > total // (2 * HEAVY)).collect()}  # fewer than 2 * HEAVY
+
+        members = raw.mapInArrow(_members(shingle, heavy), "rid long, h long, df long")
+        counted = members.filter("df = 0").select("rid", "h", F.count(F.lit(1)).over(Window.partitionBy("h")).alias("df")).filter("df > 1")
+        shared = counted.unionByName(members.filter("df > 0")).groupBy(F.col("rid").alias("node")).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("m"))
+        met = shared.join(self.nodes.select("node", "size", "sim"), "node").withColumn("members", F.col("m.h"))
+        alone = F.col("size") - F.size("members")  # these come first
+        head = F.col("size") - F.expr(f"(size * {likeness.numerator} + {likeness.denominator - 1}) div {likeness.denominator}") + 1
+        met = met.withColumn("alone", alone).withColumn("heads", F.slice("members", 1, F.greatest(head - alone, F.lit(0)).cast("int")))
+        self.sets = checkpointed(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads"))
+        lists = self.sets.select("node", "size", "alone", F.posexplode("heads").alias("at", "key"))
+        self.lists = checkpointed(_several(lists.select("key", "node", "size", (F.col("alone") + F.col("at")).alias("pos")), "node"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -121,26 +212,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Of a group the row with the smallest doc_id (then the smallest _rk_h) is marked kept; rows equal in both are all marked.
     """
     likeness = Fraction(similarity).limit_denominator(1000)
-    raw = row_keys(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "_rk_h", text_bytes().alias("t"))
-    rows = checkpointed(raw.mapInArrow(_described(shingle, likeness), "doc_id long, _rk_h long, fp binary, size long, keys array<long>"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h"))
-    nodes = rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("rows"))
-    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = Candidates(docs, shingle, likeness)
+    rows, nodes = found.rows, found.nodes
     n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
 
-    # one row stands for each set; rows equal in both numbers have one text
-    stands = nodes.select("node", "fp", F.col("least.doc_id").alias("d"), F.col("least._rk_h").alias("h"))
-    one = rows.join(stands, (rows["doc_id"].eqNullSafe(stands["d"])) & (rows["_rk_h"] == stands["h"]) & (rows["fp"] == stands["fp"]))
-    lists = checkpointed(_several(one.select(F.posexplode("keys").alias("pos", "key"), "node", "size"), "node"))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        needed = nodes.join(stands, "node").select("node", "d", "h")
-        texts = raw.join(needed, raw["doc_id"].eqNullSafe(needed["d"]) & (raw["_rk_h"] == needed["h"])).select("node", "t").dropDuplicates(["node"])
-        return texts.mapInArrow(_sets(shingle), "node long, members array<long>")
-
-    roots = exact_roots(lists, sets_of, likeness)
+    roots = found.sets.select("node", F.col("node").alias("root"))
+    near = near_links(found.sets.select("node", F.col("sim").alias("fp")), Index(shingle=shingle), node="node")
+    links = checkpointed(verified(checkpointed(near), found.sets, likeness))
+    if not links.isEmpty():
+        roots = checkpointed(_joined(roots, links))
+    roots = exact_roots(found.lists, found.sets, roots, likeness)
 
-    nodes = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes = checkpointed(nodes.select("fp", "least", "rows", "root"))
     tops = nodes.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
     tops = hot_join(nodes.select("fp", "root", "rows"), tops, ["root"], F.col("fp"), n_nodes).select("fp", "rows", "top")

@@ -1,11 +1,13 @@
 """Corpus pipeline: quality, exact copies, near copies, source mix, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; what it returns is written as Parquet and read again.
-All but the last return the columns of documents.  Of repeated or equal rows one stays after the second stage.
+All but the last return the columns of documents, extra ones included.  Null texts count as empty, very long ones are taken whole, and empty tables give empty
+results in every stage; a null doc_id is a document like any other, whose label is unknown.  Of repeated or equal rows one stays after the second stage.
 
 * quality: the pairwise ranking is fitted on the labelled rows outside the held-out fold; rows below the threshold go.
 * exact: of texts equal but for the case of A-Z, the row with the largest doc_id stays.
-* near: texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, counted exactly, form groups; the row with the smallest doc_id stays.
+* near: SimHash fingerprints of the five-word shingle sets propose links through op10's byte-position index, and lists of rare shingles the pairs at 0.8 that 3 bits
+  do not reach; every link is verified by the Jaccard similarity of the sets, 0.8 or more, counted exactly.  Of a group the row with the smallest doc_id stays.
 * mix: the words taken for each source, a row for each run of neighbouring blocks of a document (in each round through its source).
 * pack: token pieces of the mix with their sequence and place.
 """

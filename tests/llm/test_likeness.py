@@ -85,6 +85,27 @@ def test_fixture_rows(spark):
     assert likeness.near_groups(docs(spark, [])).count() == 0
 
 
+def test_a_shared_line_makes_no_candidates(spark):
+    """Texts with one line in common and nothing else: no list, so no pair, while two true pairs are listed."""
+    r = random.Random(9)
+    line = " ".join(f"license{i}" for i in range(30))
+    rows = [(i, " ".join(f"v{r.randrange(10**9)}" for _ in range(60)) + " " + line) for i in range(1000)]
+    rows += [(2000, rows[0][1] + " more"), (2001, rows[1][1] + " more")]
+    found = likeness.Candidates(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5))
+    assert found.lists.groupBy("key").count().agg({"count": "max"}).first()[0] == 2
+    assert found.lists.select("node").distinct().count() == 4
+    got = {x.doc_id: x.component_id for x in likeness.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {2000: 0, 2001: 1}
+
+
+def test_heavy_buckets(spark, monkeypatch):
+    """Nearly every shingle in a heavy bucket: another order, the same groups."""
+    monkeypatch.setattr(likeness, "HEAVY", 1 << 40)
+    rows = near_the_limit()[:150]
+    got = {x.doc_id: x.component_id for x in likeness.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+
+
 def test_prefix_length():
     for n in range(1, 400):
         assert likeness.prefix_length(n, Fraction(4, 5)) == n - -(-4 * n // 5) + 1
