@@ -3,10 +3,11 @@
 A record's payload is cut into segments of at most ``SEGMENT`` code points; the first is a response record, the others are WARC
 continuation records that name the record and their segment number (WARC 1.1, record segmentation).  Every row of the written
 text files is one segment.  The read side splits the files at ``WARC/1.1`` lines, so the writer also cuts inside
-any such line of a payload; a payload therefore never splits a row.  Payloads of one segment are digested where they are parsed.
+any such line of a payload, and inside one that the end of a part would complete, and writes the mark's slash in a url as ``%2F``; what is in a page therefore
+never splits a row.  Payloads of one segment are digested where they are parsed.
 Segments of longer ones meet by (record, segment number) and pass one by one through a running SHA-1: memory holds a segment.
 
-Among records of one payload of at least ``LEAST`` bytes, the one with the largest page_id is the response and the others are revisit
+Payloads are equal if their SHA-256 and length are; SHA-1 is the digest that the archive carries.  Among records of one payload of at least ``LEAST`` bytes, the one with the largest page_id is the response and the others are revisit
 records that point to it and carry no payload.  Smaller payloads are always responses.
 
 Defined cases: a null html is an empty payload; repeated rows of the largest page_id are all responses; a null page_id is below all
@@ -28,13 +29,15 @@ LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MARK, NL = "WARC/1.1\r\n", "\r\n"
+#: Inside the mark of a payload, where it stands on a line's end or would get one from what follows the part.
+CUT = r"(?<=WARC/)(?=1\.1(?:\r\n|\z))"
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _payloads(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumns(
-        {"digest": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
+        {"digest": F.sha1(F.col("payload").cast("binary")), "name": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long")})
 
 
 def _field(name: str, value) -> F.Column:
@@ -50,15 +53,15 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, least: in
     """Write one WARC file per task below ``path``."""
     spark = pages.sparkSession
     found = _payloads(pages)
-    twins = found.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    twins = found.filter(F.col("bytes") >= least).groupBy("name", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
     at = scratch(spark, "warc-twins")
     # a written table has a known size: the planner copies it to all tasks only below its own limit
-    twins.filter("n > 1").select("digest", "bytes", "top").write.parquet(at)
-    met = salted_join(found, spark.read.parquet(at), ["digest", "bytes"], F.struct("page_id", "url"))
+    twins.filter("n > 1").select("name", "bytes", "top").write.parquet(at)
+    met = salted_join(found, spark.read.parquet(at), ["name", "bytes"], F.struct("page_id", "url"))
     revisit = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))
     met = met.select("page_id", "url", "payload", "digest", "bytes", F.when(revisit, F.col("top")).alias("top"), F.monotonically_increasing_id().alias("row"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("payload") - 1, F.lit(0)), F.lit(segment))
-    parts = F.flatten(F.transform(starts, lambda i: F.split(F.substring("payload", i + 1, F.lit(segment)), r"(?<=WARC/)(?=1\.1\r\n)")))
+    parts = F.flatten(F.transform(starts, lambda i: F.split(F.substring("payload", i + 1, F.lit(segment)), CUT)))
     rows = met.withColumn("parts", F.when(F.col("top").isNull(), parts).otherwise(F.array(F.lit(""))))
     rows = rows.select("page_id", "url", "digest", "bytes", "top", "row", F.size("parts").alias("of"), F.posexplode("parts").alias("pos", "part"))
     first, last = F.col("pos") == 0, F.col("pos") + 1 == F.col("of")
@@ -69,7 +72,7 @@ def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT, least: in
     head = F.concat(
         F.lit(MARK), _field("WARC-Type", kind), _field("WARC-Record-ID", F.when(first, _name(F.col("page_id"))).otherwise(
             F.concat(F.lit("<urn:x-row:"), F.col("row").cast("string"), F.lit(":"), F.col("pos").cast("string"), F.lit(">")))),
-        _field("X-Row", F.col("row").cast("string")), _field("WARC-Date", F.lit(DATE)), _field("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A")),
+        _field("X-Row", F.col("row").cast("string")), _field("WARC-Date", F.lit(DATE)), _field("WARC-Target-URI", F.replace(F.regexp_replace("url", r"[\r\n]", "%0A"), F.lit("WARC/"), F.lit("WARC%2F"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _field("WARC-Segment-Number", F.when(many, (F.col("pos") + 1).cast("string"))),
         _field("WARC-Segment-Origin-ID", F.when(~first, _name(F.col("page_id")))),

@@ -58,3 +58,12 @@ def test_files_are_warc(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     warc.write_archive(pages(spark, []), str(tmp_path / "w"))
     assert warc.read_records(spark, str(tmp_path / "w")).count() == 0
+
+
+def test_marks_completed_by_what_follows(spark, tmp_path):
+    """A mark at the end of a payload, of a segment or of a url gets its line end from the record."""
+    mark = "WARC/1.1"
+    rows = [(1, "http://a/", "text " + mark), (2, f"http://a/{mark}", "text"), (3, f"http://a/{mark}\r\n{mark}", mark), (4, mark, "x" * 692 + mark + "\r\n" + mark),
+            (5, "http://a/", ("y" * 692 + mark) * 4), (6, None, mark + "\r"), (7, "", mark + "\r\n" + mark + "\n"), (8, "u", f"\r\n\r\n{mark}\r\nWARC-Type: response\r\n\r\n"), (9, "u", "WARC/")]
+    check(spark, tmp_path / "whole", rows, warc.SEGMENT)
+    check(spark, tmp_path / "cut", rows, 700)
