@@ -25,7 +25,8 @@ RETIRED = {
 
 @dataclass(frozen=True)
 class Strategy:
-    """A named rule: ``rule(frame, params)`` gives (long, short) conditions, or ``kernel`` a stateful pass."""
+    """A named rule: ``rule(frame, params)`` gives (long, short) conditions, ``kernel`` a stateful pass,
+    or ``events(frame, params)`` the columns it needs and a function from bars to a table of signals (keys, bar_no, signal)."""
 
     name: str
     category: str
@@ -33,6 +34,7 @@ class Strategy:
     grid: dict
     rule: Callable | None = None
     kernel: Callable | None = None
+    events: Callable | None = None
     recursive: Callable[[dict], Sequence[str]] = lambda p: ()
     inputs: Callable[[dict], Sequence[str]] = lambda p: ()
     warmup: Callable[[dict], int] = lambda p: 0

@@ -1,4 +1,4 @@
-"""Rules that carry state from bar to bar: trailing bands, parabolic stop, retracement legs and price zones."""
+"""Rules that carry state from bar to bar: trailing bands, parabolic stop and swing levels."""
 
 from __future__ import annotations
 
@@ -9,11 +9,8 @@ from barloom.strategies.base import BREAKOUT, TREND, Strategy, register
 
 NAN = float("nan")
 
-# Retracement band of each entry set, and the zone limits.
-RETRACE = {"38_50": (0.382, 0.500), "50_618": (0.500, 0.618), "382_618": (0.382, 0.618), "50_only": (0.480, 0.520)}
-DEEP_RETRACE = 0.786
-ZONE_LIFE = 200
-SWING_ZONES, ORIGIN_ZONES = 25, 15
+# Bars that a level lives, and most levels at once.
+ZONE_LIFE, SWING_ZONES = 200, 25
 
 
 def _cols(p: pd.DataFrame, *names: str) -> list[np.ndarray]:
@@ -98,150 +95,54 @@ def parabolic(prm: dict):
     return step
 
 
-def retracement(prm: dict):
-    """Impulse leg between confirmed pivots; a pullback into the retracement band that closes back out fires."""
-    order, patience = prm["swing_order"], prm["max_pullback_bars"]
-    near, far = RETRACE.get(prm["fib_entry_set"], RETRACE["50_618"])
-    start = order * 4 + patience + 20
-
-    def leg(side: int, begin: float, end: float) -> list:
-        size = end - begin
-        stop = end - DEEP_RETRACE * size if prm["invalidation_mode"] == "below_786" else begin
-        return [side, end - near * size, end - far * size, stop, -1]
-
-    def step(p, first, last, state):
-        op, hi, lo, close, atr, ph, pl = _cols(p, "open", "high", "low", "close", "ATR_14", f"PIVOTH_{order}", f"PIVOTL_{order}")
-        bar = p["bar_no"].to_numpy()
-        sig = np.zeros(last - first, dtype=int)
-        last_high, last_low, cur = state or (None, None, None)
-        for i in range(first, last):
-            if bar[i] < start:
-                continue
-            a = atr[i] if atr[i] == atr[i] else 0.0
-            fresh = None
-            if ph[i] == ph[i]:
-                if last_low is not None and a > 0 and ph[i] - last_low > prm["min_impulse_atr"] * a:
-                    fresh = leg(1, last_low, ph[i])
-                last_high = float(ph[i])
-            if pl[i] == pl[i]:
-                if last_high is not None and a > 0 and last_high - pl[i] > prm["min_impulse_atr"] * a:
-                    fresh = leg(-1, last_high, pl[i])
-                last_low = float(pl[i])
-            if fresh:
-                cur = fresh
-                continue
-            if cur is None:
-                continue
-            d, upper, lower, stop, since = cur
-            if d * (close[i] - stop) < 0:
-                cur = None
-                continue
-            reach = lo[i] if d == 1 else hi[i]
-            if d * (reach - upper) <= 0 and d * (close[i] - lower) >= 0:
-                since = bar[i] if since < 0 else since
-                if bar[i] - since <= patience:
-                    if prm["confirmation_mode"] == "engulfing_like":
-                        ok = (close[i] > op[i] and close[i] > hi[i - 1]) if d == 1 else (close[i] < op[i] and close[i] < lo[i - 1])
-                    else:
-                        ok = d * (close[i] - upper) > 0
-                    if ok:
-                        sig[i - first] = d
-                        cur = None
-                        continue
-                else:
-                    since = -1
-            elif since >= 0 and d * (close[i] - upper) > 0:
-                since = -1
-            cur = [d, float(upper), float(lower), float(stop), int(since)]
-        return pd.DataFrame({"signal": sig}), [last_high, last_low, [float(x) if j in (1, 2, 3) else int(x) for j, x in enumerate(cur)] if cur else None]
-
-    return step
-
-
 def swing_zones(prm: dict):
-    """Pivots merge into zones; a zone touched often enough, broken and retested within the window fires."""
-    order, zw, win = prm["fractal_order"], prm["zone_width_atr"], prm["retest_window"]
-    start = order * 2 + win + 20
+    """Pivots near each other are one level; a level met often enough, broken and retested within the window fires.
 
-    def touch(zones: list, price: float, side: int, a: float, b: int) -> None:
-        for z in zones:
-            if z[3] == side and abs(price - z[0]) <= zw * a:
-                z[0] = (z[0] * z[2] + price) / (z[2] + 1)
-                z[2] += 1
-                return
-        zones.append([price, zw * a * 0.5, 1, side, b])
-        if len(zones) > SWING_ZONES:
-            zones.pop(0)
+    Levels are columns of an array in order of age: middle, half width, pivots met, side, birth.  Every question about them is one array expression.
+    """
+    order, width, window = prm["fractal_order"], prm["zone_width_atr"], prm["retest_window"]
+    start = order * 2 + window + 20
+    MID, HALF, MET, SIDE, BORN = range(5)
+
+    def met(levels: np.ndarray, price: float, side: int, atr: float, b: int) -> np.ndarray:
+        near = np.flatnonzero((levels[SIDE] == side) & (np.abs(price - levels[MID]) <= width * atr))
+        if not near.size:
+            return np.column_stack((levels, (price, width * atr * 0.5, 1, side, b)))[:, -SWING_ZONES:]
+        n = levels[MET, near[0]]
+        levels[MID, near[0]] = (levels[MID, near[0]] * n + price) / (n + 1)
+        levels[MET, near[0]] = n + 1
+        return levels
 
     def step(p, first, last, state):
         hi, lo, close, atr, ph, pl = _cols(p, "high", "low", "close", "ATR_14", f"PIVOTH_{order}", f"PIVOTL_{order}")
         bar = p["bar_no"].to_numpy()
+        atr = np.nan_to_num(atr)
         sig = np.zeros(last - first, dtype=int)
-        zones, pend = ([list(z) for z in state[0]], state[1]) if state else ([], None)
+        levels = np.array(state["levels"], float).reshape(5, -1) if state else np.empty((5, 0))
+        broken = state["broken"] if state else None
         for i in range(first, last):
-            b = int(bar[i])
+            b, a, c = int(bar[i]), atr[i], close[i]
             if b < start:
                 continue
-            a = atr[i] if atr[i] == atr[i] else 0.0
-            if a > 0:
-                for price, side in ((ph[i], 1), (pl[i], -1)):
-                    if price == price:
-                        touch(zones, float(price), side, float(a), b)
-            zones = [z for z in zones if b - z[4] <= ZONE_LIFE]
-            for n, z in enumerate(zones):
-                edge = z[0] + z[3] * z[1]
-                if z[2] >= prm["min_zone_touches"] and z[3] * (close[i] - edge) > prm["break_buffer_atr"] * a:
-                    pend = [b, float(edge), z[3], n]
-            if pend:
-                age, d = b - pend[0], pend[2]
-                reach = lo[i] if d == 1 else hi[i]
-                if 0 < age <= win and d * (reach - pend[1]) <= zw * a and d * (close[i] - pend[1]) > 0:
+            for price, side in ((ph[i], 1), (pl[i], -1)):
+                if a > 0 and not np.isnan(price):
+                    levels = met(levels, price, side, a, b)
+            levels = levels[:, b - levels[BORN] <= ZONE_LIFE]
+            edges = levels[MID] + levels[SIDE] * levels[HALF]
+            through = np.flatnonzero((levels[MET] >= prm["min_zone_touches"]) & (levels[SIDE] * (c - edges) > prm["break_buffer_atr"] * a))
+            if through.size:
+                at = int(through[-1])
+                broken = {"bar": b, "edge": float(edges[at]), "side": int(levels[SIDE, at]), "at": at}
+            elif broken:  # a break at this very bar has no retest yet
+                d, age = broken["side"], b - broken["bar"]
+                touch = d * ((lo[i] if d == 1 else hi[i]) - broken["edge"]) <= width * a
+                if age <= window and touch and d * (c - broken["edge"]) > 0:
                     sig[i - first] = d
-                    if pend[3] < len(zones):
-                        zones.pop(pend[3])
-                    pend = None
-                elif age > win:
-                    pend = None
-        return pd.DataFrame({"signal": sig}), [zones, pend]
-
-    return step
-
-
-def origin_zones(prm: dict):
-    """The tight base before an impulse bar becomes a zone; a return that closes strongly away from it fires."""
-    base, zw, cap = prm["base_lookback"], prm["zone_width_atr"], prm["max_zone_touches"]
-    start = base + 30
-
-    def step(p, first, last, state):
-        op, hi, lo, close, atr = _cols(p, "open", "high", "low", "close", "ATR_14")
-        bar = p["bar_no"].to_numpy()
-        sig = np.zeros(last - first, dtype=int)
-        zones = [list(z) for z in state] if state else []
-        for i in range(first, last):
-            b, a = int(bar[i]), atr[i]
-            if b < start or not a > 0:
-                continue
-            push = close[i] - op[i]
-            if abs(push) > prm["impulse_body_atr"] * a and push != 0:
-                low, high = lo[max(0, i - base):i].min(), hi[max(0, i - base):i].max()
-                if high - low <= zw * a * 3:
-                    zones.append([float(low), float(high), 1 if push > 0 else -1, 0, b])
-                    if len(zones) > ORIGIN_ZONES:
-                        zones.pop(0)
-            zones = [z for z in zones if b - z[4] <= ZONE_LIFE and z[3] < cap]
-            span = hi[i] - lo[i] + 1e-10
-            for z in zones:
-                low, high, d = z[0], z[1], z[2]
-                back = (lo[i] <= high and close[i] > low) if d == 1 else (hi[i] >= low and close[i] < high)
-                if back:
-                    z[3] += 1
-                    strength = (close[i] - lo[i]) / span if d == 1 else (hi[i] - close[i]) / span
-                    if strength >= prm["confirmation_close_pos"]:
-                        sig[i - first] = d
-                        z[3] = cap
-                if (close[i] < low - zw * a) if d == 1 else (close[i] > high + zw * a):
-                    z[3] = cap
-        return pd.DataFrame({"signal": sig}), zones
+                    levels = np.delete(levels, [broken["at"]] if broken["at"] < levels.shape[1] else [], axis=1)
+                    broken = None
+                elif age > window:
+                    broken = None
+        return pd.DataFrame({"signal": sig}), {"levels": levels.ravel().tolist(), "broken": broken}
 
     return step
 
@@ -256,20 +157,8 @@ _machine("SupertrendStrategy", TREND, {"atr_period": 10, "multiplier": 3.0},
 _machine("ParabolicSARTrendStrategy", TREND, {"af_start": 0.02, "af_max": 0.20, "adx_threshold": 20},
          {"af_start": [0.01, 0.02, 0.03], "af_max": [0.15, 0.20, 0.25], "adx_threshold": [15, 20, 25]}, parabolic,
          lambda p: ("ADX_14",))
-_machine("FibonacciRetracementPullbackStrategy", TREND,
-         {"swing_order": 5, "min_impulse_atr": 1.5, "fib_entry_set": "50_618", "confirmation_mode": "close_back",
-          "max_pullback_bars": 5, "invalidation_mode": "below_786"},
-         {"swing_order": [3, 5, 7], "min_impulse_atr": [1.0, 1.5, 2.0],
-          "fib_entry_set": ["38_50", "50_618", "382_618", "50_only"], "confirmation_mode": ["close_back", "engulfing_like"],
-          "max_pullback_bars": [3, 5, 8], "invalidation_mode": ["below_786", "below_swing_start"]}, retracement,
-         lambda p: ("ATR_14", f"PIVOTH_{p['swing_order']}", f"PIVOTL_{p['swing_order']}"))
 _machine("FractalSRZoneBreakRetestStrategy", BREAKOUT,
          {"fractal_order": 5, "zone_width_atr": 0.4, "min_zone_touches": 2, "break_buffer_atr": 0.1, "retest_window": 4},
          {"fractal_order": [3, 5, 7, 9], "zone_width_atr": [0.25, 0.4, 0.6, 0.9], "min_zone_touches": [2, 3, 4],
           "break_buffer_atr": [0.05, 0.1, 0.2], "retest_window": [2, 4, 6, 8]}, swing_zones,
          lambda p: ("ATR_14", f"PIVOTH_{p['fractal_order']}", f"PIVOTL_{p['fractal_order']}"))
-_machine("SupplyDemandImpulseRetestStrategy", BREAKOUT,
-         {"impulse_body_atr": 1.5, "base_lookback": 5, "zone_width_atr": 0.4, "max_zone_touches": 2,
-          "confirmation_close_pos": 0.65},
-         {"impulse_body_atr": [1.0, 1.2, 1.5, 1.8, 2.2], "base_lookback": [3, 5, 8, 12], "zone_width_atr": [0.25, 0.4, 0.6, 0.8],
-          "max_zone_touches": [1, 2, 3], "confirmation_close_pos": [0.55, 0.65, 0.75]}, origin_zones, lambda p: ("ATR_14",))

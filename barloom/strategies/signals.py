@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import barloom.strategies.machines  # noqa: F401  (registers the rules)
+import barloom.strategies.intervals  # noqa: F401  (registers the rules)
+import barloom.strategies.machines  # noqa: F401
 import barloom.strategies.rules  # noqa: F401
 from barloom.functions.indicators import Frame, lookback, recursive_needs
 from barloom.operators.chunk_scan import chunk_scan
 from barloom.series import KEYS, number_bars, own_rows
+from barloom.session import cut_lineage
 from barloom.strategies.base import Strategy, get, names, param_hash, to_signal
 
 Variant = tuple[str, dict]
@@ -45,7 +47,7 @@ def signal_columns(bars: DataFrame, variants: Sequence[Variant | str] | None = N
         f.need(e)
     base = [c for c in ("symbol", "timeframe", "ts", "bar_no", "series_rows", "open", "high", "low", "close", "volume")
             if f.has(c)]
-    meta, window_cols, machines = [], [], []
+    meta, window_cols, machines, tables = [], [], [], []
     for i, (s, p, h) in enumerate(plan):
         col = f"sig_{i}"
         meta.append((col, s.name, h))
@@ -57,13 +59,16 @@ def signal_columns(bars: DataFrame, variants: Sequence[Variant | str] | None = N
                 sig = F.when((F.col("bar_no") < warm) & (F.col("series_rows") > warm), 0).otherwise(sig).cast("int")
             f.put(**{col: sig})
             window_cols.append(col)
+        elif s.events is not None:
+            tables.append((col, *s.events(_Scoped(f, i), p)))
         else:
             for n in s.inputs(p):
                 f.need(n)
             machines.append((col, s.kernel(p), tuple(s.inputs(p))))
     keep = base + list(dict.fromkeys(extra)) + window_cols
+    events = _event_tables(f, tables)
     if not machines:
-        return own_rows(f.df).select(*[f"`{c}`" for c in keep]), meta
+        return _with_events(own_rows(f.df).select(*[f"`{c}`" for c in keep]), events), meta
     inputs = sorted({n for _, _, ins in machines for n in ins} - set(keep))
     slim = f.df.select(*[f"`{c}`" for c in keep], *[f"`{c}`" for c in inputs], "_chunk", "_own")
 
@@ -76,7 +81,23 @@ def signal_columns(bars: DataFrame, variants: Sequence[Variant | str] | None = N
         return pd.DataFrame(outs, index=range(last - first)).astype("int32"), after
 
     fields = [T.StructField(col, T.IntegerType()) for col, _, _ in machines]
-    return chunk_scan(slim, step, fields, keep, KEYS), meta
+    return _with_events(chunk_scan(slim, step, fields, keep, KEYS), events), meta
+
+
+def _event_tables(f: Frame, tables) -> list[tuple[str, DataFrame]]:
+    """Signals of the rules that are tables, over bars written once."""
+    if not tables:
+        return []
+    cols = dict.fromkeys([*KEYS, "bar_no", "open", "high", "low", "close", *(c for _, used, _ in tables for c in used)])
+    bars = cut_lineage(own_rows(f.df).select(*[f"`{c}`" for c in cols]))
+    return [(col, run(bars)) for col, _, run in tables]
+
+
+def _with_events(bars: DataFrame, events: list[tuple[str, DataFrame]]) -> DataFrame:
+    for col, found in events:
+        met = bars.join(found.select(*KEYS, "bar_no", F.col("signal").alias(col)), [*KEYS, "bar_no"], "left")
+        bars = met.withColumn(col, F.coalesce(F.col(col), F.lit(0)).cast("int"))
+    return bars
 
 
 class _Scoped:

@@ -207,6 +207,7 @@ def _fib_loop(g, p):
 
 @pytest.mark.parametrize("name,loop,over", [
     ("SupplyDemandImpulseRetestStrategy", _origin_loop, {"impulse_body_atr": 0.7, "zone_width_atr": 0.9, "base_lookback": 3}),
+    ("SupplyDemandImpulseRetestStrategy", _origin_loop, {"impulse_body_atr": 0.05, "zone_width_atr": 2.5, "max_zone_touches": 60, "confirmation_close_pos": 0.97}),
     ("FractalSRZoneBreakRetestStrategy", _zone_loop, {}), ("FibonacciRetracementPullbackStrategy", _fib_loop, {})])
 def test_stateful_rules_against_plain_loops(spark, name, loop, over):
     _compare(spark, make_bars(600, ("A", "B", "C"), 11), name, loop, over)
