@@ -35,8 +35,12 @@ SPEC = ("pip_position", "pip_value", "spread_avg", "min_lot", "max_lot", "commis
 
 
 def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int | None = None,
-            ) -> tuple[DataFrame, DataFrame]:
-    """(numbered bars, entry candidates per split).  A signal enters at the open of the next bar."""
+            ranges: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(numbered bars, entry candidates per split).  A signal enters at the open of the next bar.
+
+    ``ranges``: the splits (split, lo, hi) that may hold a signal, an array over symbol, timeframe, signal_bar and series_rows; train and validation
+    unless given.  An entry whose loss per lot isn't positive can't be sized and is left out, so that it takes no position.
+    """
     numbered = bars if "bar_no" in bars.columns else number_bars(bars, chunk_rows=chunk_rows)
     # sets that differ in stop and target only share a signal column
     sets: dict[tuple[str, str], list[tuple[str, float, float]]] = {}
@@ -70,8 +74,11 @@ def entries(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config =
         "entry_price", F.when(is_long, C("_open") + half).otherwise(C("_open") - half))
     sl, tp = ins.stop_prices(C("entry_price"), C("_slp"), C("_tpp"), is_long)
     x = x.withColumns({"stop_loss": sl, "take_profit": tp})
+    by_tick = (C("tick_size") > 0) & (C("tick_value") > 0)
+    worth = F.when(by_tick, C("tick_value") / C("tick_size")).otherwise(C("pip_value") / size)
+    x = x.filter(F.when(is_long, C("entry_price") - sl).otherwise(sl - C("entry_price")) * worth > 0)
     end, start = split_bounds(C("series_rows"))
-    ranges = F.array(F.struct(F.lit("train").alias("split"), F.lit(0).cast("long").alias("lo"), end.alias("hi")),
+    ranges = ranges if ranges is not None else F.array(F.struct(F.lit("train").alias("split"), F.lit(0).cast("long").alias("lo"), end.alias("hi")),
                      F.struct(F.lit("val").alias("split"), start.alias("lo"), C("series_rows").alias("hi")))
     x = x.withColumn("_s", F.explode(ranges)).filter((C("signal_bar") >= C("_s.lo")) & (C("entry_bar") < C("_s.hi")))
     return plain, x.select(
@@ -188,9 +195,10 @@ def take_positions(bars: DataFrame, cand: DataFrame, chunk_rows: int | None = No
     return result.filter(C("kind") == "trade").drop("kind", "_chunk", "_batch")
 
 
-def ledger(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int | None = None) -> DataFrame:
-    """Complete trade ledger of the rule variants on every series and split."""
-    plain, cand = entries(bars, variants, specs, cfg, chunk_rows)
+def ledger(bars: DataFrame, variants: Sequence, specs: DataFrame, cfg: Config = DEFAULT, chunk_rows: int | None = None,
+           ranges: Column | None = None) -> DataFrame:
+    """Complete trade ledger of the rule variants on every series and split (``ranges`` as in ``entries``)."""
+    plain, cand = entries(bars, variants, specs, cfg, chunk_rows, ranges)
     taken = take_positions(plain, cand, chunk_rows, batches=math.ceil(len(variants) / BATCH_RULES))
     return money(taken.join(specs.select("symbol", *SPEC), "symbol"), cfg)
 

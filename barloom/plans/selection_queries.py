@@ -165,19 +165,17 @@ def _constraints(s, d):
 WALK = sc.Config(min_trades=3)
 
 
+def _window_scores(s, d):
+    bars = event_bars(s, d)
+    return _r6(sel.walk_scores(bars, ("EMACrossoverStrategy", TIGHT), event_specs(bars)).drop("timeframe"), "score")
+
+
 def _walk(s, d):
-    """Retrain period per symbol: window scores from the ledger trades that start in each test window."""
+    """Retrain period per symbol from the scores of its test windows."""
     bars = event_bars(s, d)
-    n = number_bars(bars)
-    series = n.select("symbol", "timeframe", "series_rows").distinct()
-    wins = sel.walk_windows(series)
-    t = lg.ledger(bars, [("EMACrossoverStrategy", TIGHT)], event_specs(bars)).filter(C("split") == "val")
-    # bars lie in few windows, so a window meets only the trades that fall in it
-    bar = wins.select("symbol", "timeframe", "period_days", "start", F.explode(F.sequence(C("start"), C("stop") - 1)).alias("entry_bar"))
-    j = t.select("symbol", "timeframe", "entry_bar", "pnl_dollars").join(bar, ["symbol", "timeframe", "entry_bar"])
-    sc_ = j.groupBy("symbol", "timeframe", "period_days", "start").agg(F.sum("pnl_dollars").alias("score"), F.count(F.lit(1)).alias("k")).filter(C("k") >= WALK.min_trades)
-    best = sel.choose_period(sc_)
-    return series.select("symbol").join(best.drop("timeframe"), "symbol", "left").select(
+    scores = sel.walk_scores(bars, ("EMACrossoverStrategy", TIGHT), event_specs(bars)).filter(C("total_trades") >= WALK.min_trades)
+    best = sel.choose_period(scores)
+    return bars.select("symbol").distinct().join(best.drop("timeframe"), "symbol", "left").select(
         "symbol", F.coalesce("period_days", F.lit(30)).alias("period_days"), rnd("consistency", 4).alias("consistency"), "windows")
 
 
@@ -306,7 +304,7 @@ QUERIES = {
     "default_parameters": _default_params,
     "parameter_grid": _grid,
     "parameter_constraints": _constraints,
-    "walk_forward_period": _walk,
+    "walk_forward_period": _walk, "walk_window_scores": _window_scores,
     "run_status": _status,
     "ledger_stats": lambda s, d: sel.ledger_stats(_configs(s, d), _now()),
     "repair_symbols": _repair,

@@ -5,6 +5,23 @@ from __future__ import annotations
 from oracles.common import r
 from oracles.evidence import PRESETS, SALES, clip, failed, metrics, preset_cte, selection
 from oracles.ledger import TR
+from oracles.ledger import metrics as full_metrics
+
+def full_selection() -> str:
+    """The selection score over the columns of full metrics."""
+    k = lambda n: f"coalesce({n}, 0)::DOUBLE"
+    mean = f"({k('avg_win')} * {k('win_rate')} / 100 - {k('avg_loss')} * (1 - {k('win_rate')} / 100))"
+    return selection("").replace(mean, "expectancy_pips").replace("_approx", "_ratio")
+
+
+_SPLITS = "sp AS (SELECT *, 'train' AS split, 0 AS lo, te AS hi FROM s0 WHERE i < te UNION ALL SELECT *, 'val', vs, n FROM s0 WHERE i >= vs)"
+_WINDOWS = """wn AS (SELECT symbol, any_value(n) AS wn, any_value(vs) AS t0 FROM s0 GROUP BY symbol),
+wd AS (SELECT symbol, p, p * 6 AS stp, wn, unnest(range(t0, wn - p * 24, p * 6)) AS st FROM wn, (VALUES (7), (14), (30), (60), (90)) v(p) WHERE p * 24 <= wn * 0.8),
+wk AS (SELECT symbol, p || '@' || st AS split, st AS lo, least(wn, st + stp) AS hi FROM wd WHERE least(p * 24, st) >= 50 AND least(wn, st + stp) - st >= 10),
+sp AS (SELECT s0.*, wk.split, wk.lo, wk.hi FROM s0 JOIN wk ON wk.symbol = s0.symbol AND i >= wk.lo AND i < wk.hi)"""
+#: Every test window as a split with a ledger of its own, then its selection score.
+WALKED = f"""SELECT symbol, CAST(split_part(split, '@', 1) AS INTEGER) AS period_days, CAST(split_part(split, '@', 2) AS BIGINT) AS start, total_trades, {full_selection()} AS score
+FROM ({full_metrics(rows=TR.replace(_SPLITS, _WINDOWS))}) WHERE strategy_name = 'EMACrossoverStrategy'"""
 
 RULE = "symbol, timeframe, strategy_name, param_hash"
 _M = ("total_trades", "win_rate", "profit_factor", "total_pnl", "gross_profit", "gross_loss", "avg_win", "avg_loss", "sharpe_approx",
@@ -203,15 +220,12 @@ ORACLES: dict[str, str] = {
         CASE WHEN 26 <= p_size THEN coalesce(list_min(list_filter([20, 26, 30, 40, 50], lambda v: v > p_size)), p_size + 5) ELSE 26 END AS slow_period FROM part)
         SELECT p_partkey, fast_period, slow_period, CASE WHEN sg >= slow_period THEN coalesce(list_max(list_filter([3, 7, 9, 12], lambda v: v < slow_period)), greatest(1, slow_period - 1)) ELSE sg END
         AS signal_period, k_period, d_period FROM a""",
-    "walk_forward_period": TR + f""", nn AS (SELECT symbol, max(hi) AS n FROM s WHERE split = 'val' GROUP BY 1),
-        pw AS (SELECT symbol, n, p, p * 24 AS lk, p * 6 AS stp, CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) AS t0 FROM nn, (VALUES (7), (14), (30), (60), (90)) v(p)),
-        wd AS (SELECT symbol, n, p, stp, unnest(range(t0, n - lk, stp)) AS st FROM pw WHERE lk <= n * 0.8 AND t0 < n - lk),
-        wk AS (SELECT * FROM wd WHERE least(p * 24, st) >= 50 AND least(n, st + stp) - st >= 10),
-        sc AS (SELECT wk.symbol, p, st, sum(usd) AS x, count(*) AS k FROM wk JOIN t ON t.symbol = wk.symbol AND t.split = 'val' AND t.rule = 'EMACrossoverStrategy' AND eb >= st AND eb < least(n, st + stp)
-          GROUP BY ALL HAVING count(*) >= 3),
+    "walk_forward_period": f"""WITH wm AS ({WALKED}), sc AS (SELECT symbol, period_days AS p, score AS x FROM wm WHERE total_trades >= 3),
+        nn AS (SELECT DISTINCT event_type AS symbol FROM events),
         cs AS (SELECT symbol, p, count(*) AS windows, CASE WHEN coalesce(stddev_samp(x), 0) > 0 THEN avg(x) / (stddev_samp(x) + 1) ELSE avg(x) END AS con FROM sc GROUP BY ALL),
         bs AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY con DESC, p) AS rk FROM cs)
         SELECT nn.symbol, coalesce(p, 30) AS period_days, {r('con', 4)} AS consistency, windows FROM nn LEFT JOIN bs ON bs.symbol = nn.symbol AND rk = 1""",
+    "walk_window_scores": f"SELECT symbol, period_days, start, total_trades, {r('score', 6)} AS score FROM ({WALKED})",
     "run_status": f"WITH {CFG}, x AS (SELECT s_name AS symbol, c.* EXCLUDE (symbol), DATE '2024-01-31' AS now FROM supplier LEFT JOIN cfg c ON c.symbol = s_name), "
                   "y AS (SELECT symbol, CASE WHEN is_validated IS NULL THEN 'missing' WHEN NOT is_validated THEN 'invalid' WHEN valid_until IS NULL THEN 'no_expiry' "
                   "WHEN now >= valid_until THEN 'expired:' || (now - valid_until) WHEN stored <> 'v1' THEN 'regime_changed' "
