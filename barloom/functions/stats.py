@@ -144,3 +144,59 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str, group: Seque
     if p_values:
         out = out.withColumn("p_value", significant10(chi2_survival(C("_chi"), C("df"))))
     return out.withColumn("chi2", rnd("_chi", 4)).drop("_chi")
+
+
+# ---- tests over blocks -----------------------------------------------------------------------------------------------
+#: Most pairs for which the signed-rank test is exact.
+EXACT_PAIRS = 50
+
+
+def signed_rank_counts(n: Column) -> Column:
+    """How many of the 2^n sign choices give each rank sum 0, 1, ..., n(n+1)/2: each rank either stays out or shifts the sums by itself."""
+    def with_rank(counts: Column, k: Column) -> Column:
+        pad = F.array_repeat(F.lit(0.0), k)
+        return F.zip_with(F.concat(counts, pad), F.concat(pad, counts), lambda out, shifted: out + shifted)
+
+    return F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)).cast("array<double>"), with_rank)
+
+
+def wilcoxon_exact_p(w: Column, n: Column) -> Column:
+    """Two-sided p of a signed-rank statistic (the lesser rank sum) of n pairs without ties; null for n below 1 or above ``EXACT_PAIRS``."""
+    upto = F.slice(signed_rank_counts(n), 1, F.floor(w).cast("int") + 1)
+    p = F.aggregate(upto, F.lit(0.0), lambda a, x: a + x) * 2 / F.pow(F.lit(2.0), n)
+    return F.when(n.between(1, EXACT_PAIRS), F.least(F.lit(1.0), p))
+
+
+def dense_blocks(df: DataFrame, block: str, treatment: str, values: Sequence[str], treatments: Sequence[str]) -> DataFrame:
+    """(block, treatment, metric, v) for every block and each of the named treatments; one that is absent or null counts 0.0."""
+    full = df.select(block).distinct().select(block, F.explode(F.array(*[F.lit(t) for t in treatments])).alias(treatment))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("v")) for m in values])
+    return full.join(df.select(block, treatment, *values), [block, treatment], "left").select(block, treatment, F.explode(cells).alias("c")).select(
+        block, treatment, "c.*")
+
+
+def blocked_friedman(dense: DataFrame, block: str, treatment: str, p_values: bool = True) -> DataFrame:
+    """Tie-corrected Friedman test of each metric over complete blocks."""
+    return friedman(dense, block, treatment, "v", ["metric"], tie_corrected=True, p_values=p_values)
+
+
+def blocked_wilcoxon(dense: DataFrame, block: str, treatment: str, baseline: str, factor: int = 6, p_values: bool = True) -> DataFrame:
+    """Baseline less each other treatment, paired by block: W, n, median difference, exact p where there are neither zeros nor ties, and p times ``factor``.
+
+    Elsewhere p comes from ``z`` of the tie-corrected normal approximation, or is null without ``p_values``.
+    """
+    base = dense.filter(C(treatment) == baseline).select(block, "metric", C("v").alias("_a"))
+    x = dense.filter(C(treatment) != baseline).join(base, [block, "metric"]).withColumn("d", C("_a") - C("v"))
+    g = ["metric", treatment]
+    t = x.groupBy(*g).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("d", F.lit(0.5)).alias("_md"))
+    t = t.join(_ranked(x, g, 0.0), g, "left").fillna(0, ["n"])
+    n = C("n").cast("double")
+    w = F.least("w_plus", "w_minus")
+    var = n * (n + 1) * (2 * n + 1) / 24.0 - C("tie_term") / 48.0
+    p = F.when((C("n") == C("pairs")) & (C("tie_term") == 0), wilcoxon_exact_p(w, C("n")))
+    note = F.when(C("n") == 0, "no non-zero difference").when(p.isNull(), "normal approximation").otherwise("exact")
+    z = F.when(var > 1e-24, (w - n * (n + 1) / 4.0) / F.sqrt(var))
+    out = t.select("metric", C(treatment).alias("preset_b"), "n", rnd(w, 4).alias("W"), rnd("_md", 4).alias("median_delta"), p.alias("p_value"), z.alias("_z"), note.alias("note"))
+    if p_values:
+        out = out.withColumn("p_value", F.coalesce("p_value", significant10(erfc(F.abs("_z") / math.sqrt(2.0)))))
+    return out.withColumn("z", rnd("_z", 4)).drop("_z").withColumn("bonferroni_p", F.when(C("p_value").isNotNull(), F.least(F.lit(1.0), C("p_value") * factor)))

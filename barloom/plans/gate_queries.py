@@ -35,7 +35,21 @@ def _rejections(s, d):
                              C("winner.rank").alias("winner_rank"))
 
 
+BLOCKED = ("acceptance_pct", "median_rho", "far_pct")
+
+
+def _blocks(s, d):
+    return stats.dense_blocks(an.symbol_aggregates(_led(s, d)), "symbol", "preset", BLOCKED, list(gt.PRESETS))
+
+
+def _blocked_wilcoxon(s, d):
+    x = stats.blocked_wilcoxon(_blocks(s, d), "symbol", "preset", "all_gates", p_values=False)
+    return x.withColumns({c: rnd(C(c), 9) for c in ("p_value", "bonferroni_p")})
+
+
 QUERIES = {
+    "symbol_blocked_friedman": lambda s, d: stats.blocked_friedman(_blocks(s, d), "symbol", "preset", False).drop("note"),
+    "symbol_blocked_wilcoxon": _blocked_wilcoxon,
     "sales_ledger": lambda s, d: sales_ledger(s, d).drop("ts", "l_suppkey"),
     "bucket_metrics": lambda s, d: bk.bucket_metrics(bk.split_trades(sales_ledger(s, d)), [*bk.CAND, "regime", "split"]),
     "candidate_evidence": lambda s, d: _scores6(ev.sales_candidates(s, d)),

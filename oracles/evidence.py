@@ -161,6 +161,13 @@ MED = ("median_rho", "far_pct", "median_val_return", "median_val_dd", "median_pf
 _coal = ", ".join(f"coalesce({m}, 0) AS {m}" for m in MED)
 _gates = "array_to_string(list_filter(list_transform(range(1, 8), lambda g: CASE WHEN mask[g] = '1' THEN 'G' || g END), lambda x: x IS NOT NULL), ', ')"
 
+_SYMBOLS = (f"m AS (SELECT preset, symbol, {medians(6, 6, 6)} FROM wonr GROUP BY ALL), sy AS (SELECT preset, symbol, count(*) AS total_slots, "
+            f"{_f} AS filled_slots, {share(_f, 'count(*)', 4)} AS acceptance_pct FROM led GROUP BY ALL)")
+#: Every symbol under every preset; what is absent counts 0.0.
+_DENSE = L + f", {_SYMBOLS}, ag AS (SELECT sy.*, {_coal} FROM sy LEFT JOIN m USING (preset, symbol)), dn AS (SELECT symbol, preset, metric, " + (
+    "coalesce(CASE metric WHEN 'acceptance_pct' THEN acceptance_pct WHEN 'median_rho' THEN median_rho ELSE far_pct END, 0)::DOUBLE AS v FROM (SELECT DISTINCT symbol FROM ag) "
+    "CROSS JOIN (SELECT preset FROM presets) CROSS JOIN (VALUES ('acceptance_pct'), ('median_rho'), ('far_pct')) t(metric) LEFT JOIN ag USING (symbol, preset))")
+
 ORACLES: dict[str, str] = {
     "sales_ledger": f"WITH {SALES} SELECT symbol, timeframe, regime, strategy_name, param_hash, l_orderkey, l_linenumber, "
                     "pos AS entry_bar, pnl AS pnl_dollars, rm AS r_multiple, n_slot AS slot_trades FROM sales",
@@ -201,6 +208,24 @@ ORACLES: dict[str, str] = {
     "symbol_aggregates": L + f", m AS (SELECT preset, symbol, {medians(6, 6, 6)} FROM wonr GROUP BY ALL), s AS (SELECT preset, symbol, count(*) AS total_slots, "
                          f"{_f} AS filled_slots, {share(_f, 'count(*)', 4)} AS acceptance_pct FROM led GROUP BY ALL) "
                          f"SELECT s.*, {_coal} FROM s LEFT JOIN m USING (preset, symbol)",
+    "symbol_blocked_friedman": _DENSE + """, r AS (SELECT *, count(*) OVER (PARTITION BY metric, symbol, q) AS t,
+        rank() OVER (PARTITION BY metric, symbol ORDER BY q) + (count(*) OVER (PARTITION BY metric, symbol, q) - 1) / 2 AS rk FROM (SELECT *, round(v, 12) AS q FROM dn)),
+      s AS (SELECT metric, preset, sum(rk) AS rs, count(*) AS n, sum(t * t - 1) AS tie FROM r GROUP BY ALL),
+      f AS (SELECT metric, max(n) AS n, count(*) AS k, sum(tie) AS tie, sum(rs * rs) - sum(rs) * sum(rs) / count(*) AS spread FROM s GROUP BY metric)
+      SELECT metric, CAST(k - 1 AS INTEGER) AS df, n, k, """ + r("12.0 * spread / (n * k * (k + 1)) / (1 - tie / (n * k * (k * k - 1)))", 4) + " AS chi2 FROM f",
+    "symbol_blocked_wilcoxon": _DENSE + f""", d AS (SELECT x.metric, x.preset, b.v - x.v AS d FROM dn x JOIN dn b ON b.symbol = x.symbol AND b.metric = x.metric AND b.preset = 'all_gates'
+        WHERE x.preset <> 'all_gates'),
+      z AS (SELECT *, count(*) OVER (PARTITION BY metric, preset, q) AS t, rank() OVER (PARTITION BY metric, preset ORDER BY q)
+        + (count(*) OVER (PARTITION BY metric, preset, q) - 1) / 2 AS rk FROM (SELECT *, round(abs(d), 12) AS q FROM d WHERE d <> 0)),
+      w AS (SELECT metric, preset, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w, sum(t * t - 1) AS tie FROM z GROUP BY ALL),
+      a AS (SELECT metric, preset, count(*) AS pairs, median(d) AS md FROM d GROUP BY ALL),
+      j AS (SELECT metric, preset, pairs, md, coalesce(n, 0) AS n, w, tie FROM a LEFT JOIN w USING (metric, preset)),
+      p AS (SELECT *, CASE WHEN n = pairs AND tie = 0 AND n BETWEEN 1 AND 50 THEN least(1.0, list_sum(list_reduce(
+          list_prepend([1.0::DOUBLE], list_transform(range(1, n + 1), lambda k: [k::DOUBLE])),
+          lambda c, k: list_transform(range(1, len(c) + CAST(k[1] AS BIGINT) + 1), lambda i: coalesce(c[i], 0) + CASE WHEN i > k[1] THEN c[i - CAST(k[1] AS BIGINT)] ELSE 0 END)
+        )[1:CAST(floor(w) AS BIGINT) + 1]) * 2 / pow(2, n)) END AS p, n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0 AS var FROM j)
+      SELECT metric, preset AS preset_b, n, {r('w', 4)} AS W, {r('md', 4)} AS median_delta, {r('p', 9)} AS p_value, CASE WHEN var > 1e-24 THEN {r('(w - n * (n + 1) / 4.0) / sqrt(var)', 4)} END AS z,
+        CASE WHEN n = 0 THEN 'no non-zero difference' WHEN p IS NULL THEN 'normal approximation' ELSE 'exact' END AS note, CASE WHEN p IS NOT NULL THEN {r('least(1.0, p * 6)', 9)} END AS bonferroni_p FROM p""",
     "far_sensitivity": L + ", f AS (SELECT p.preset, " + ", ".join(
         f"coalesce({r(f'avg(CASE WHEN rho < {t} THEN 1.0 WHEN rho IS NOT NULL THEN 0.0 END) * 100', 2)}, 0) AS far_pct_rho_lt_{str(t).replace('.', '_')}" for t in (0.4, 0.5, 0.6))
         + " FROM presets p LEFT JOIN wonr USING (preset) GROUP BY p.preset), k AS (SELECT *, " + ", ".join(
