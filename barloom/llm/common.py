@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -65,6 +66,12 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle and checkpoint files that no table needs any more; it hears of them when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 

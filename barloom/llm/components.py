@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, hot_join
+from barloom.llm.common import checkpointed, hot_join, release
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
     n, open_ = _state(cur)
     while open_:
         cur = checkpointed(_star(_star(cur, True, 2 * n), False, 2 * n))  # the first of them adds no edge
+        release(cur.sparkSession)
         n, open_ = _state(cur)
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b"), F.col("b")).distinct().toDF("node", "root"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Batches, checkpointed, forget, hot_join, row_keys, scratch, text_bytes
+from barloom.llm.common import Batches, checkpointed, forget, hot_join, release, row_keys, scratch, text_bytes
 from barloom.llm.components import components
 from barloom.llm.simhash import Index, fingerprint, near_links, shingle_hashes
 
@@ -143,6 +143,7 @@ class _Files:
         for at in self.old:
             forget(self.spark, at)
         self.now, self.old = [], self.now
+        release(self.spark)
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,7 +219,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     roots = found.sets.select("node", F.col("node").alias("root"))
     near = near_links(found.sets.select("node", F.col("sim").alias("fp")), Index(shingle=shingle), node="node")
+    release(docs.sparkSession)
     links = checkpointed(verified(checkpointed(near), found.sets, likeness))
+    release(docs.sparkSession)
     if not links.isEmpty():
         roots = checkpointed(_joined(roots, links))
     roots = exact_roots(found.lists, found.sets, roots, likeness)
