@@ -18,6 +18,8 @@ SALTS = 16
 NO_ID = -(2**63)
 #: A key is hot with more than 1 / HOT_KEYS of all rows, so fewer than HOT_KEYS keys are.
 HOT_KEYS = 4096
+#: Rows of a few numbers that one task takes at least.
+TASK_ROWS = 1 << 16
 
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
@@ -55,6 +57,11 @@ def hot_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Colu
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def sized(df: DataFrame, most: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """``df``, which has at most ``most`` rows, in no more partitions than ``per_task`` rows each fill, so that small tables don't make many empty tasks."""
+    return df.coalesce(max(1, -(-most // per_task)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

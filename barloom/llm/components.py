@@ -5,39 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, hot_join, release
+from barloom.llm.common import checkpointed, hot_join, release, sized
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Hang the larger (``large``) or smaller neighbours of each node u on the least of u and its neighbours; ``total``: at least twice the edges."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    both = sized(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), total)
+    least = sized(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count(F.lit(1)).alias("n")), total)
     side = both.filter("b > a") if large else both.filter("b < a")
     hung = hot_join(side, least, ["a"], F.col("b"), total)
     out = hung.select(F.col("b").alias("x"), "m")
     if not large:
         out = out.unionByName(least.filter("m < a").select(F.col("a").alias("x"), "m"))
-    return out.filter("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
+    # at most one row for each of ``both``, and one for each of its nodes
+    ends = sized(out.filter("x <> m"), 2 * total).select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
+    return sized(ends.distinct(), 2 * total)
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """Number of edges, and of nodes at which they are not yet stars: with two lower neighbours, or with one below and one above."""
+def _open(edges: DataFrame, total: int) -> int:
+    """Number of nodes at which the edges (``total``) are not yet stars: with two lower neighbours, or with one below and one above."""
     ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("down"), F.lit(0).alias("up"))
-    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    nodes = ends.groupBy("v").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
-    n, open_ = nodes.agg(F.sum("down"), F.count_if(F.expr("down > 1 OR (down > 0 AND up > 0)"))).first()
-    return n or 0, open_
+    ends = sized(ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("down"), F.lit(1).alias("up"))), 2 * total)
+    nodes = sized(ends.groupBy("v").agg(F.sum("down").alias("down"), F.sum("up").alias("up")), 2 * total)
+    return nodes.agg(F.count_if(F.expr("down > 1 OR (down > 0 AND up > 0)"))).first()[0]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) reaches; nodes without an edge are absent.
 
+    ``most``: number of edges or more, where it is known.
+
     Ends when every edge points from a node to its root; the number of rounds grows with the logarithm of the size.
     """
-    cur = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    n, open_ = _state(cur)
+    once = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    cur = checkpointed(once if most is None else sized(once, most))
+    n = cur.count()
+    open_ = _open(cur, n)
     while open_:
-        cur = checkpointed(_star(_star(cur, True, 2 * n), False, 2 * n))  # the first of them adds no edge
+        cur = checkpointed(_star(_star(sized(cur, n), True, 2 * n), False, 2 * n))  # the first of them adds no edge
         release(cur.sparkSession)
-        n, open_ = _state(cur)
+        n = cur.count()
+        open_ = _open(cur, n)
+    cur = sized(cur, n)
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b"), F.col("b")).distinct().toDF("node", "root"))

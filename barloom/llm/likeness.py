@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import Batches, checkpointed, forget, hot_join, release, row_keys, scratch, text_bytes
+from barloom.llm.common import Batches, forget, hot_join, release, row_keys, scratch, sized, text_bytes
 from barloom.llm.components import components
 from barloom.llm.simhash import Index, fingerprint, near_links, shingle_hashes
 
@@ -36,6 +36,8 @@ from barloom.llm.simhash import Index, fingerprint, near_links, shingle_hashes
 LEADERS, GROWTH = 1, 8
 #: Buckets of shingle hashes; a bucket is heavy with more than 1 / HEAVY of all shingles, so fewer than HEAVY are.
 BUCKETS, HEAVY = 1 << 16, 1024
+#: Pairs of sets that one task compares at least.
+COMPARED = 1 << 12
 #: Most shingles in one batch that a task sends on.
 SENT = 1 << 18
 
@@ -110,21 +112,21 @@ def verified(pairs: DataFrame, sets: DataFrame, likeness: Fraction) -> DataFrame
     total = pairs.count()
     left = sets.join(counts, "node").select(F.col("node").alias("a"), F.col("members").alias("of_a"), F.col("size").alias("size_a"), "n")
     right = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"), F.col("size").alias("size_b")), "b")
-    met = hot_join(right, left, ["a"], F.col("b"), total)
+    met = sized(hot_join(right, left, ["a"], F.col("b"), total), total, COMPARED)
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return met.filter(_reaches(shared, F.col("size_a"), F.col("size_b"), likeness)).select(*pairs.columns)
 
 
-def _several(lists: DataFrame, name: str) -> DataFrame:
-    """Lists in which ``name`` has more than one value."""
-    ends = lists.groupBy("key").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).filter("_lo < _hi").select("key")
-    return lists.join(ends, "key", "left_semi")
+def _several(lists: DataFrame, name: str, most: int) -> DataFrame:
+    """Lists (``most`` rows or fewer) in which ``name`` has more than one value."""
+    ends = sized(lists.groupBy("key").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")), most).filter("_lo < _hi").select("key")
+    return sized(lists.join(ends, "key", "left_semi"), most)
 
 
-def _rooted(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists (key, node, size, pos) of more than one component, with the component of each row."""
-    at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return _several(at, "root").select("key", "node", "size", "pos", "root")
+def _rooted(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """Lists (key, node, size, pos; ``most`` rows or fewer) of more than one component, with the component of each row."""
+    at = sized(lists.join(roots, "node", "left"), most).withColumn("root", F.coalesce("root", "node"))
+    return _several(at, "root", most).select("key", "node", "size", "pos", "root")
 
 
 class _Files:
@@ -140,57 +142,71 @@ class _Files:
         return self.spark.read.parquet(at)
 
     def next_round(self) -> None:
-        for at in self.old:
-            forget(self.spark, at)
+        self._remove(self.old)
         self.now, self.old = [], self.now
+
+    def end(self) -> None:
+        self._remove(self.old + self.now)
+
+    def _remove(self, paths: list[str]) -> None:
+        for at in paths:
+            forget(self.spark, at)
         release(self.spark)
 
 
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (node, root) after links (a, b) between roots."""
-    merged = components(links).withColumnRenamed("root", "to").withColumnRenamed("node", "root")
-    return roots.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+def _joined(roots: DataFrame, links: DataFrame, n_roots: int) -> DataFrame:
+    """``roots`` (node, root; ``n_roots`` rows) after links (a, b) between roots."""
+    merged = components(links, links.count()).withColumnRenamed("root", "to").withColumnRenamed("node", "root")
+    return sized(roots.join(merged, "root", "left"), n_roots).select("node", F.coalesce("to", "root").alias("root"))
 
 
-def exact_roots(lists: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Fraction) -> DataFrame:
-    """``roots`` (node, root; every node of a list) after all pairs that share a list (key, node, size, pos) and reach the likeness.
+def exact_roots(lists: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Fraction, keep: _Files) -> DataFrame:
+    """``roots`` (node, root; every node of a list) after all pairs that share a list (key, node, size, pos) and reach the likeness, in ``keep``.
 
     ``pos``: place of the key in the node's set.
     """
     files, leaders = _Files(lists.sparkSession), LEADERS
+    n_roots, n = roots.count(), lists.count()
     while True:
-        lists = files.put(_rooted(lists, roots))
-        if lists.isEmpty():
+        lists = files.put(_rooted(lists, roots, n))
+        n = lists.count()
+        if not n:
+            roots = keep.put(roots)
+            files.end()
             return roots
         same = Window.partitionBy("key", "root")
         order = Window.partitionBy("key").orderBy("n", "root", "node")
-        ranked = files.put(lists.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("rank", F.row_number().over(order)))
+        counted = sized(lists.withColumn("n", F.count(F.lit(1)).over(same)), n)
+        ranked = files.put(sized(counted.withColumn("rank", F.row_number().over(order)), n))
         first = ranked.filter(F.col("rank") <= leaders).select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "size", "pos", "root", "rank")])
         most = F.least(F.col("size") - F.col("pos"), F.col("size_a") - F.col("pos_a"))  # shared at most, if the key is the first that both hold
         met = ranked.join(first, "key").filter((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")))
-        met = met.filter(_reaches(most, F.col("size"), F.col("size_a"), likeness))
-        pairs = files.put(met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct())
-        links = files.put(verified(pairs, sets, likeness).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-        if not links.isEmpty():  # components of components: few nodes are left after the first round
-            roots = files.put(_joined(roots, links))
-        else:
-            roots = files.put(roots)
+        met = sized(met.filter(_reaches(most, F.col("size"), F.col("size_a"), likeness)), n * leaders)
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
+        pairs = files.put(sized(pairs, n * leaders))
+        links = verified(pairs, sets, likeness).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        links = files.put(sized(links, pairs.count()))
+        roots = files.put(_joined(roots, links, n_roots) if not links.isEmpty() else roots)  # few components are left after the first round
         lists = ranked.filter(F.col("rank") > leaders).select("key", "node", "size", "pos")
         leaders *= GROWTH
         files.next_round()
 
 
 class Candidates:
-    """``rows`` (one per text), ``nodes`` (one per distinct set), ``sets`` and ``lists`` of the nodes that may have a partner."""
+    """``rows`` (one per text), ``nodes`` (one per distinct set), ``sets`` and ``lists`` of the nodes that may have a partner.
+
+    The first two are written to ``keep``, the others to ``files``.
+    """
 
-    def __init__(self, docs: DataFrame, shingle: int, likeness: Fraction):
+    def __init__(self, docs: DataFrame, shingle: int, likeness: Fraction, keep: _Files | None = None, files: _Files | None = None):
+        keep, files = keep or _Files(docs.sparkSession), files or _Files(docs.sparkSession)
         raw = row_keys(docs.select("doc_id", "text")).select(
             F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "_rk_h", text_bytes().alias("t"))
-        seen = checkpointed(raw.mapInArrow(_described(shingle), "rid long, doc_id long, _rk_h long, fp binary, size long, sim binary"))
+        seen = keep.put(raw.mapInArrow(_described(shingle), "rid long, doc_id long, _rk_h long, fp binary, size long, sim binary"))
         self.rows = seen.filter("fp IS NOT NULL")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_rk_h", "rid"))
         nodes = self.rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("sim").alias("sim"))
-        self.nodes = checkpointed(nodes.withColumn("node", F.col("least.rid")))  # one row stands for each set
+        self.nodes = keep.put(nodes.withColumn("node", F.col("least.rid")))  # one row stands for each set
         loads = seen.filter("fp IS NULL").groupBy("rid").agg(F.sum("size").alias("load"))
         total = self.rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         heavy = {r["rid"]: r["load"] for r in loads.filter(F.col("load") > total // (2 * HEAVY)).collect()}  # fewer than 2 * HEAVY
@@ -202,9 +218,10 @@ class Candidates:
         alone = F.col("size") - F.size("members")  # these come first
         head = F.col("size") - F.expr(f"(size * {likeness.numerator} + {likeness.denominator - 1}) div {likeness.denominator}") + 1
         met = met.withColumn("alone", alone).withColumn("heads", F.slice("members", 1, F.greatest(head - alone, F.lit(0)).cast("int")))
-        self.sets = checkpointed(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads"))
+        self.sets = files.put(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads"))
+        most = self.sets.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]
         lists = self.sets.select("node", "size", "alone", F.posexplode("heads").alias("at", "key"))
-        self.lists = checkpointed(_several(lists.select("key", "node", "size", (F.col("alone") + F.col("at")).alias("pos")), "node"))
+        self.lists = files.put(_several(lists.select("key", "node", "size", (F.col("alone") + F.col("at")).alias("pos")), "node", most))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -213,21 +230,22 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Of a group the row with the smallest doc_id (then the smallest _rk_h) is marked kept; rows equal in both are all marked.
     """
     likeness = Fraction(similarity).limit_denominator(1000)
-    found = Candidates(docs, shingle, likeness)
+    keep, files = _Files(docs.sparkSession), _Files(docs.sparkSession)
+    found = Candidates(docs, shingle, likeness, keep, files)
     rows, nodes = found.rows, found.nodes
     n_nodes, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
 
     roots = found.sets.select("node", F.col("node").alias("root"))
-    near = near_links(found.sets.select("node", F.col("sim").alias("fp")), Index(shingle=shingle), node="node")
+    near = files.put(near_links(found.sets.select("node", F.col("sim").alias("fp")), Index(shingle=shingle), node="node"))
     release(docs.sparkSession)
-    links = checkpointed(verified(checkpointed(near), found.sets, likeness))
+    links = files.put(verified(near, found.sets, likeness))
     release(docs.sparkSession)
     if not links.isEmpty():
-        roots = checkpointed(_joined(roots, links))
-    roots = exact_roots(found.lists, found.sets, roots, likeness)
+        roots = files.put(_joined(roots, links, roots.count()))
+    roots = exact_roots(found.lists, found.sets, roots, likeness, keep)
+    files.end()
 
-    nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = checkpointed(nodes.select("fp", "least", "rows", "root"))
+    nodes = keep.put(sized(nodes.join(roots, "node", "left"), n_nodes).select("fp", "least", "rows", F.coalesce("root", "node").alias("root")))
     tops = nodes.groupBy("root").agg(F.min("least").alias("top"), F.count(F.lit(1)).alias("n"))
     tops = hot_join(nodes.select("fp", "root", "rows"), tops, ["root"], F.col("fp"), n_nodes).select("fp", "rows", "top")
     out = hot_join(rows.select("doc_id", "_rk_h", "fp"), tops, ["fp"], F.struct("doc_id", "_rk_h"), n_rows, "rows")
