@@ -9,7 +9,7 @@ What is left of a set, its shingles that other texts hold too, is written once a
   need no counting and skip its exchange, which therefore has no hot key; the others are counted where they meet.
 * Linking: fingerprints of the same sets go through the byte-position index of ``simhash``; its links are verified by the sets and join most groups of near copies.
 * Completing: lists whose texts are not in one component yet are worked off in rounds.  A few leaders of each list meet all others of it, pairs that the places
-  of the shingle rule out and pairs that an earlier list holds are dropped, the links found are joined into components, leaders leave and so does any list that is in one component.
+  of the shingle or the parities of the sets rule out and pairs that an earlier list holds are dropped, the links found are joined into components, leaders leave and so does any list that is in one component.
   Members of a list's small components lead first, so n near copies of one text cost n pairs, not n^2; pairs inside a component are never needed.
 
 Texts of equal sets are one node.  ``docs`` is read twice and must give the same rows in the same order again, as a table does.  Files of a round are removed after the next.
@@ -38,10 +38,14 @@ LEADERS, GROWTH = 1, 8
 BUCKETS, HEAVY = 1 << 16, 1024
 #: A row of a list names so many of the lists before it that hold its set, the nearest ones.
 EARLIER = 8
+#: Words of 64 bits that hold the parities of a set.
+WORDS = 4
 #: Pairs of sets that one task compares at least.
 COMPARED = 1 << 12
 #: Most shingles in one batch that a task sends on.
 SENT = 1 << 18
+#: Columns of the lists.
+LISTED = ("key", "node", "size", "alone", "bits", "pos", "earlier")
 
 
 def prefix_length(n: int, likeness: Fraction) -> int:
@@ -108,6 +112,22 @@ def _reaches(shared: Column, a: Column, b: Column, likeness: Fraction) -> Column
     return shared * F.lit(likeness.numerator + likeness.denominator) >= F.lit(likeness.numerator) * (a + b)
 
 
+def _parities(members: str) -> Column:
+    """``WORDS`` words; a bit tells whether an odd number of the members fall on it."""
+    at = "shiftleft(IF(shiftright(h, 6) & {mask} = {w}, 1L, 0L), CAST(h & 63 AS INT))"
+    return F.array(*[F.expr(f"aggregate({members}, 0L, (acc, h) -> acc ^ {at.format(mask=WORDS - 1, w=w)})") for w in range(WORDS)])
+
+
+def _may_reach(a: str, b: str, likeness: Fraction) -> Column:
+    """False only where two sets (columns size, alone, bits with the suffixes ``a`` and ``b``) differ in too many shingles.
+
+    They differ in those that no other text holds, and in at least as many of the others as their parities differ in bits.
+    """
+    apart = sum((F.bit_count(F.col(f"bits{a}")[w].bitwiseXOR(F.col(f"bits{b}")[w])) for w in range(WORDS)), F.col(f"alone{a}") + F.col(f"alone{b}"))
+    p, q = likeness.numerator, likeness.denominator
+    return apart * F.lit(p + q) <= F.lit(q - p) * (F.col(f"size{a}") + F.col(f"size{b}"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, likeness: Fraction) -> DataFrame:
     """Of ``pairs`` (a, b and others), those whose sets (node, size, members: the shingles that other texts hold too) reach the likeness."""
     counts = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"))
@@ -126,9 +146,9 @@ def _several(lists: DataFrame, name: str, most: int) -> DataFrame:
 
 
 def _rooted(lists: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """Lists (key, node, size, pos, earlier; ``most`` rows or fewer) of more than one component, with the component of each row."""
+    """Lists (``LISTED``; ``most`` rows or fewer) of more than one component, with the component of each row."""
     at = sized(lists.join(roots, "node", "left"), most).withColumn("root", F.coalesce("root", "node"))
-    return _several(at, "root", most).select("key", "node", "size", "pos", "earlier", "root")
+    return _several(at, "root", most).select(*LISTED, "root")
 
 
 class _Files:
@@ -163,9 +183,9 @@ def _joined(roots: DataFrame, links: DataFrame, n_roots: int) -> DataFrame:
 
 
 def exact_roots(lists: DataFrame, sets: DataFrame, roots: DataFrame, likeness: Fraction, keep: _Files) -> DataFrame:
-    """``roots`` (node, root; every node of a list) after all pairs that share a list (key, node, size, pos, earlier) and reach the likeness, in ``keep``.
+    """``roots`` (node, root; every node of a list) after all pairs that share a list (``LISTED``) and reach the likeness, in ``keep``.
 
-    ``pos``: place of the key in the node's set; ``earlier``: keys shortly before it.  A pair is left to the first list that holds both,
+    ``pos``: place of the key in the node's set; ``earlier``: keys shortly before it; ``bits``: parities of the set.  A pair is left to the first list that holds both,
     where it is met in any case, so lists in which both have an earlier key in common drop it.
     """
     files, leaders = _Files(lists.sparkSession), LEADERS
@@ -181,17 +201,17 @@ def exact_roots(lists: DataFrame, sets: DataFrame, roots: DataFrame, likeness: F
         order = Window.partitionBy("key").orderBy("n", "root", "node")
         counted = sized(lists.withColumn("n", F.count(F.lit(1)).over(same)), n)
         ranked = files.put(sized(counted.withColumn("rank", F.row_number().over(order)), n))
-        first = ranked.filter(F.col("rank") <= leaders).select("key", *[F.col(x).alias(f"{x}_a") for x in ("node", "size", "pos", "earlier", "root", "rank")])
+        first = ranked.filter(F.col("rank") <= leaders).select("key", *[F.col(x).alias(f"{x}_a") for x in (*LISTED[1:], "root", "rank")])
         most = F.least(F.col("size") - F.col("pos"), F.col("size_a") - F.col("pos_a"))  # shared at most, if the key is the first that both hold
         met = ranked.join(first, "key").filter((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")))
-        met = met.filter(~F.arrays_overlap("earlier", "earlier_a"))
+        met = met.filter(_may_reach("", "_a", likeness) & ~F.arrays_overlap("earlier", "earlier_a"))
         met = sized(met.filter(_reaches(most, F.col("size"), F.col("size_a"), likeness)), n * leaders)
         pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
         pairs = files.put(sized(pairs, n * leaders))
         links = verified(pairs, sets, likeness).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         links = files.put(sized(links, pairs.count()))
         roots = files.put(_joined(roots, links, n_roots) if not links.isEmpty() else roots)  # few components are left after the first round
-        lists = ranked.filter(F.col("rank") > leaders).select("key", "node", "size", "pos", "earlier")
+        lists = ranked.filter(F.col("rank") > leaders).select(*LISTED)
         leaders *= GROWTH
         files.next_round()
 
@@ -224,9 +244,9 @@ class Candidates:
         met = met.withColumn("alone", alone).withColumn("heads", F.slice("members", 1, F.greatest(head - alone, F.lit(0)).cast("int")))
         self.sets = files.put(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads"))
         most = self.sets.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]
-        lists = self.sets.select("node", "size", "alone", "heads", F.posexplode("heads").alias("at", "key"))
+        lists = self.sets.select("node", "size", "alone", _parities("members").alias("bits"), "heads", F.posexplode("heads").alias("at", "key"))
         earlier = F.slice("heads", F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least(F.col("at"), F.lit(EARLIER)))
-        lists = lists.select("key", "node", "size", (F.col("alone") + F.col("at")).alias("pos"), earlier.alias("earlier"))
+        lists = lists.withColumn("pos", F.col("alone") + F.col("at")).withColumn("earlier", earlier).select(*LISTED)
         self.lists = files.put(_several(lists, "node", most))
 
 

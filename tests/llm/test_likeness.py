@@ -110,3 +110,26 @@ def test_prefix_length():
     for n in range(1, 400):
         assert likeness.prefix_length(n, Fraction(4, 5)) == n - -(-4 * n // 5) + 1
     assert likeness.prefix_length(0, Fraction(4, 5)) == 0
+
+
+def test_parities_drop_no_pair_that_reaches_the_likeness(spark):
+    """All pairs of sets of one list, held against the exact likeness; of those below 0.7 most are dropped."""
+    r = random.Random(11)
+    base = [r.getrandbits(63) for _ in range(120)]
+    sets = []
+    for i in range(60):
+        kept = r.sample(base, 120 - i)
+        sets.append((i, len(kept) + i % 7 * 2, i % 7 * 2, sorted(kept)))  # ``alone`` shingles beside the members
+    df = spark.createDataFrame(sets, "node long, size long, alone long, members array<long>").withColumn("bits", likeness._parities("members"))
+    a, b = df.drop("members"), df.drop("members").toDF("node_a", "size_a", "alone_a", "bits_a")
+    kept = {(x.node, x.node_a) for x in a.join(b, a.node < b.node_a).filter(likeness._may_reach("", "_a", Fraction(4, 5))).collect()}
+    far = dropped = 0
+    for i, n, _, x in sets:
+        for j, m, _, y in sets[i + 1:]:
+            s = len(set(x) & set(y))
+            if 5 * s >= 4 * (n + m - s):
+                assert (i, j) in kept
+            elif 10 * s < 7 * (n + m - s):
+                far += 1
+                dropped += (i, j) not in kept
+    assert kept and far > 100 and dropped > 0.9 * far
