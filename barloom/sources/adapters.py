@@ -48,9 +48,11 @@ def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade ledger stand-in: one closed trade per sales line.
 
     symbol = supplier nation, timeframe from line status, regime from tax and return flag,
-    strategy = brand, profit from price and discount.  ``entry_bar`` is the position within the slot.
+    strategy = brand, profit from price and discount.  ``entry_bar`` is the position within the slot; lines alike in day,
+    order and number keep their order in the file.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf_dir, "part").select(
@@ -67,10 +69,10 @@ def sales_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_brand").alias("strategy_name"),
             "param_hash",
             F.col("l_shipdate").alias("ts"),
-            "l_orderkey", "l_linenumber", "l_suppkey",
+            "l_orderkey", "l_linenumber", "l_suppkey", "_file", "_row",
             rnd(F.col("l_extendedprice") * (F.col("l_discount") - 0.05) / 10, 2).alias("pnl_dollars"),
             rnd((F.col("l_discount") - 0.05) * 100, 3).alias("r_multiple"),
         )
     )
-    return number_rows(rows, KEYS, ["ts", "l_orderkey", "l_linenumber"], F.col("ts"),  # one sort per slot and day
-                       name="entry_bar", total="slot_trades")
+    return number_rows(rows, KEYS, ["ts", "l_orderkey", "l_linenumber", "_file", "_row"], F.col("ts"),  # one sort per slot and day
+                       name="entry_bar", total="slot_trades").drop("_file", "_row")

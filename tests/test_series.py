@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from barloom.sources.adapters import sales_ledger
 from barloom.functions.indicators import ALL_FEATURES, Frame, features
 from barloom.functions.recursive import FAMILIES, family, memory
 from barloom.operators.buckets import bucket_metrics, equity_path
@@ -125,3 +126,17 @@ def test_daily_bars_do_not_overflow_the_bucket(spark, bars_pdf):
     daily = bars_pdf.assign(timeframe="D1", ts=pd.date_range("1990-01-01", periods=len(bars_pdf), freq="D"))
     out = number_bars(spark.createDataFrame(daily)).toPandas()
     assert out.groupby("symbol").bar_no.max().tolist() == [319, 319]
+
+
+def test_sales_lines_alike_in_day_order_and_number_keep_the_order_of_their_files(spark, tmp_path):
+    """The larger file comes second by name, though Spark reads it first."""
+    line = "SELECT 7L AS l_orderkey, CAST(id % 5 AS LONG) AS l_partkey, 0L AS l_suppkey, 1 AS l_linenumber, id + {0}D AS l_extendedprice, 0.06D AS l_discount, 0.0D AS l_tax, " \
+           "'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP_NTZ'2024-01-01' AS l_shipdate FROM range({1})"
+    for name, first, n in (("a", 1000, 10), ("b", 2000, 4000)):
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        spark.sql(line.format(first, n)).toPandas().to_parquet(tmp_path / "lineitem.parquet" / f"{name}.parquet", coerce_timestamps="us")
+    spark.sql("SELECT 0L AS s_suppkey, 0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'N' AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT id AS p_partkey, 'B' AS p_brand FROM range(5)").write.parquet(f"{tmp_path}/part.parquet")
+    got = [r["pnl_dollars"] for r in sales_ledger(spark, str(tmp_path)).orderBy("entry_bar").collect()]
+    assert len(got) == 4010 and got == sorted(got)
