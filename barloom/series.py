@@ -60,7 +60,8 @@ def number_rows(
         F.sum("_n").over(per_key).alias("_tot"),
     )
     w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
-    out = df.join(offsets, [*keys, "_bkt"]).withColumn(name, F.row_number().over(w) - 1 + F.col("_off"))
+    # ranked first: the join needs no sort of its own then
+    out = df.withColumn(name, F.row_number().over(w)).join(offsets, [*keys, "_bkt"]).withColumn(name, F.col(name) - 1 + F.col("_off"))
     if total:
         out = out.withColumn(total, F.col("_tot"))
     return out.drop("_bkt", "_off", "_tot", "_n")

@@ -140,3 +140,17 @@ def test_sales_lines_alike_in_day_order_and_number_keep_the_order_of_their_files
     spark.sql("SELECT id AS p_partkey, 'B' AS p_brand FROM range(5)").write.parquet(f"{tmp_path}/part.parquet")
     got = [r["pnl_dollars"] for r in sales_ledger(spark, str(tmp_path)).orderBy("entry_bar").collect()]
     assert len(got) == 4010 and got == sorted(got)
+
+
+def test_bucket_metrics_read_the_trades_once(spark):
+    df = spark.range(90).select(F.lit("a").alias("k"), F.col("id").alias("entry_bar"), (F.col("id") % 7 - 3.0).alias("pnl_dollars"), F.lit(1.0).alias("r_multiple"))
+    plan = bucket_metrics(df, ["k"], block_rows=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and "LogicalRDD" not in plan
+
+
+def test_equal_and_missing_profits_in_blocks(spark):
+    rows = [("same", i, 0.1, None) for i in range(40)] + [("gaps", i, None if i % 3 == 1 else -2.0 if i < 20 else 5.0, 0.5) for i in range(30)]
+    m = bucket_metrics(spark.createDataFrame(rows, "k string, entry_bar long, pnl_dollars double, r_multiple double"), ["k"], block_rows=7).toPandas().set_index("k")
+    assert m.loc["same", "sharpe_approx"] == 0.0 and m.loc["same", "max_drawdown_pct"] == 0.0 and np.isnan(m.loc["same", "mean_r"])
+    g = m.loc["gaps"]  # the last loss is the 19th row; rows without a profit break no streak
+    assert (g.total_trades, g.max_consecutive_losses, g.total_pnl, g.worst_5pct_r) == (30, 19, -26 + 35.0, 0.5)
