@@ -15,6 +15,7 @@ from barloom.operators import selection as sel
 from barloom.plans import evidence as ev
 from barloom.plans.ledger_queries import TIGHT, VARIANTS, event_specs
 from barloom.series import number_bars
+from barloom.session import cut_lineage
 from barloom.sources.adapters import event_bars, sales_ledger
 
 C = F.col
@@ -26,21 +27,21 @@ SMALL = sc.Config(regime_min_train_trades=8, regime_min_val_trades=3, min_trades
                   min_sharpe=-1.0, max_drawdown=60.0, train_min_profit_factor=0.9, train_min_return_pct=-5.0, train_max_drawdown=30.0)
 
 
-def rule_metrics(s, d):
-    return bk.bucket_metrics(bk.split_trades(sales_ledger(s, d)), [*RULE, "split"])
+def rule_metrics(s, d, ledger=None):
+    return bk.bucket_metrics(bk.split_trades(sales_ledger(s, d) if ledger is None else ledger), [*RULE, "split"])
 
 
-def regime_metrics(s, d):
-    return bk.bucket_metrics(bk.split_trades(sales_ledger(s, d)), [*RULE, "regime", "split"])
+def regime_metrics(s, d, ledger=None):
+    return bk.bucket_metrics(bk.split_trades(sales_ledger(s, d) if ledger is None else ledger), [*RULE, "regime", "split"])
 
 
-def rule_pairs(s, d):
-    x = sel.sides(rule_metrics(s, d), RULE)
+def rule_pairs(s, d, ledger=None):
+    x = sel.sides(rule_metrics(s, d, ledger), RULE)
     return sel.pair_scores(x.filter(C("train_total_trades") > 0), SMALL)
 
 
-def regime_pairs(s, d):
-    x = sel.sides(regime_metrics(s, d), [*RULE, "regime"])
+def regime_pairs(s, d, ledger=None):
+    x = sel.sides(regime_metrics(s, d, ledger), [*RULE, "regime"])
     return sel.pair_scores(x.filter(C("train_total_trades") > 0), SMALL)
 
 
@@ -104,9 +105,11 @@ def _legacy(s, d):
 
 def _collect(s, d):
     """Eligible screened rules together with tuned ones (here the sales rules of the tuning slots)."""
-    x = rule_pairs(s, d)
+    # both metric tables read the ledger: number it once
+    ledger = cut_lineage(sales_ledger(s, d).select(*RULE, "regime", "entry_bar", "slot_trades", "pnl_dollars", "r_multiple"))
+    x = rule_pairs(s, d, ledger)
     ok = x.filter(sc.training_eligibility(sc.bucket_to_full("train_"), SMALL).isNull())
-    tuned = sel.top_per_regime(regime_pairs(s, d), 1, SMALL).select("symbol", "timeframe", "strategy_name").distinct()
+    tuned = sel.top_per_regime(regime_pairs(s, d, ledger), 1, SMALL).select("symbol", "timeframe", "strategy_name").distinct()
     base = ok.select("symbol", "timeframe", "strategy_name", F.lit(False).alias("is_tuned"))
     return base.unionByName(tuned.withColumn("is_tuned", F.lit(True)))
 

@@ -154,3 +154,10 @@ def test_equal_and_missing_profits_in_blocks(spark):
     assert m.loc["same", "sharpe_approx"] == 0.0 and m.loc["same", "max_drawdown_pct"] == 0.0 and np.isnan(m.loc["same", "mean_r"])
     g = m.loc["gaps"]  # the last loss is the 19th row; rows without a profit break no streak
     assert (g.total_trades, g.max_consecutive_losses, g.total_pnl, g.worst_5pct_r) == (30, 19, -26 + 35.0, 0.5)
+
+
+def test_collected_candidates_number_the_ledger_once(spark, monkeypatch):
+    from barloom.plans import selection_queries as sq
+    calls = []
+    monkeypatch.setattr(sq, "sales_ledger", lambda s, d: calls.append(d) or sales_ledger(s, d))
+    assert sq.QUERIES["collect_candidates"](spark, "/root/testdata/sf0.001").columns == ["symbol", "timeframe", "strategy_name", "is_tuned"] and len(calls) == 1
