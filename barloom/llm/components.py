@@ -1,11 +1,53 @@
-"""Connected components of an edge table by alternating star contractions, in DataFrame joins."""
+"""Connected components of an edge table by alternating star contractions, in DataFrame joins.
+
+Before the first round each task draws the edges that it holds as stars, ``CONTRACTED`` at a time; this changes no component, and edges that fit one task need no round.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpointed, hot_join, release, sized
+from barloom.llm.common import TASK_ROWS, Batches, checkpointed, hot_join, release, sized, to_batch
+
+#: Edges that a task draws as stars at once, whatever it holds.
+CONTRACTED = 4 * TASK_ROWS
+
+
+def stars(links: list[tuple]) -> list[tuple]:
+    """Pairs (least, other) of each connected part of ``links``."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(find(x), x) for x in root if find(x) != x]
+
+
+def _contracted(batches: Batches) -> Batches:
+    """Edges (a, b) with the same components, (other, least) of each connected part of up to ``CONTRACTED`` of them."""
+    links: list[tuple] = []
+    kind = None
+
+    def drawn() -> pa.RecordBatch:
+        ends = stars(links)
+        return to_batch({"a": ([x for _, x in ends], kind), "b": ([x for x, _ in ends], kind)})
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        links += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        if len(links) >= CONTRACTED:
+            yield drawn()
+            links.clear()
+    if links:
+        yield drawn()
 
 
 def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
@@ -38,7 +80,8 @@ def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     Ends when every edge points from a node to its root; the number of rounds grows with the logarithm of the size.
     """
     once = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    cur = checkpointed(once if most is None else sized(once, most))
+    once = once if most is None else sized(once, most)
+    cur = checkpointed(once.mapInArrow(_contracted, once.schema))
     n = cur.count()
     open_ = _open(cur, n)
     while open_:

@@ -242,9 +242,10 @@ class Candidates:
         alone = F.col("size") - F.size("members")  # these come first
         head = F.col("size") - F.expr(f"(size * {likeness.numerator} + {likeness.denominator - 1}) div {likeness.denominator}") + 1
         met = met.withColumn("alone", alone).withColumn("heads", F.slice("members", 1, F.greatest(head - alone, F.lit(0)).cast("int")))
-        self.sets = files.put(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads"))
+        # parities here, once for each set: beside posexplode they would be taken for each row of a list
+        self.sets = files.put(met.filter(F.size("heads") > 0).select("node", "size", "sim", "alone", "members", "heads", _parities("members").alias("bits")))
         most = self.sets.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]
-        lists = self.sets.select("node", "size", "alone", _parities("members").alias("bits"), "heads", F.posexplode("heads").alias("at", "key"))
+        lists = self.sets.select("node", "size", "alone", "bits", "heads", F.posexplode("heads").alias("at", "key"))
         earlier = F.slice("heads", F.greatest(F.col("at") - EARLIER, F.lit(0)) + 1, F.least(F.col("at"), F.lit(EARLIER)))
         lists = lists.withColumn("pos", F.col("alone") + F.col("at")).withColumn("earlier", earlier).select(*LISTED)
         self.lists = files.put(_several(lists, "node", most))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import Batches, checkpointed, hot_join, row_keys, text_bytes, to_batch, words
 from barloom.llm.components import components
+from barloom.llm.components import stars as drawn_stars
 
 #: Fourteen sets of four positions; every five of the eight positions contain one of them.
 FOUR_OF_EIGHT = ((0, 1, 2, 3), (4, 5, 6, 7)) + tuple(
@@ -148,22 +149,6 @@ def _links(rows: np.ndarray, index: Index, rest: tuple[int, ...]) -> list[tuple[
     return out
 
 
-def _stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs (least, other) of each connected part of ``links``."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in links:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    return [(find(x), x) for x in root if find(x) != x]
-
-
 def _list_links(index: Index, stars: bool, kind: pa.DataType):
     """Sorted (key, name, fp) rows in, links (a, b) between names out; the rows of a key may span batches."""
     def links_of(keys: list[bytes], names: list, prints: np.ndarray, out: list) -> None:
@@ -174,7 +159,7 @@ def _list_links(index: Index, stars: bool, kind: pa.DataType):
             rest = tuple(p for p in range(index.n_bytes) if p not in known)
             found = _links(prints[starts[i]:stops[i]], index, rest)
             here = names[starts[i]:stops[i]]
-            out += [(here[a], here[b]) for a, b in (_stars(found) if stars else found)]
+            out += [(here[a], here[b]) for a, b in (drawn_stars(found) if stars else found)]
 
     def run(batches: Batches) -> Batches:
         keys: list[bytes] = []

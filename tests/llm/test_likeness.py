@@ -133,3 +133,28 @@ def test_parities_drop_no_pair_that_reaches_the_likeness(spark):
                 far += 1
                 dropped += (i, j) not in kept
     assert kept and far > 100 and dropped > 0.9 * far
+
+
+def test_parities_are_taken_once_for_each_set(spark):
+    rows = near_the_limit()
+    sets = likeness.Candidates(spark.createDataFrame(rows, "doc_id long, text string"), 5, Fraction(4, 5)).sets.select("members", "bits").collect()
+    assert sets
+    for s in sets:
+        want = [0] * likeness.WORDS
+        for h in s.members:
+            want[h >> 6 & likeness.WORDS - 1] ^= 1 << (h & 63)
+        assert [b % 2**64 for b in s.bits] == want
+
+
+def test_components_of_a_long_chain_need_no_round(spark, monkeypatch):
+    from barloom.llm import components as cc
+
+    rounds = []
+    monkeypatch.setattr(cc, "_star", lambda *a, star=cc._star: rounds.append(1) or star(*a))
+    ids = list(range(400))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(7, 7), (900, 901)], "a long, b long")
+    got = {r.node: r.root for r in cc.components(edges, 401).collect()}
+    assert got == dict.fromkeys(range(400), 0) | {900: 900, 901: 900} and not rounds
+    got = {r.node: r.root for r in cc.components(edges.repartition(4)).collect()}  # dealt to several tasks
+    assert got == dict.fromkeys(range(400), 0) | {900: 900, 901: 900}
