@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.buckets import CAND, to_wide
 from barloom.series import KEYS
+from barloom.sources.digests import BLOCK, digests
 
 C = F.col
 # Accepted names of each column and of the time column, in order of preference.
@@ -87,10 +88,9 @@ def discover(bars: DataFrame, excluded: DataFrame | None = None, min_rows: int =
     return x.join(excluded.select("symbol"), "symbol", "left_anti") if excluded is not None else x
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file; each file is read by one task and only its digest leaves it."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), C("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def inventory(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """Name, size and SHA-256 of every file; those above ``block`` bytes are digested in rounds, a block in each."""
+    return digests(spark, path, block)
 
 
 def coverage(bars: DataFrame) -> DataFrame:

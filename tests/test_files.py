@@ -1,6 +1,8 @@
 """Ingest, sinks, tags, specifications and streams."""
 
+import gzip
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -29,6 +31,21 @@ def test_bar_files(spark, tmp_path):
     assert {r["file"]: r["status"] for r in fl.verify(man, inv).collect()} == {"AU_200_H1.csv": "CHECKSUM_MISMATCH", "EURUSD_M5_x.csv": "OK", "no.csv": "MISSING"}
 
 
+def test_large_files_are_digested_in_blocks(spark, tmp_path):
+    r = random.Random(5)
+    texts = {"a b+c%41.bin": r.randbytes(70_000), "end.bin": r.randbytes(40_000) + b"\n", "mark.csv": b"\xef\xbb\xbf" + b"x,\r\n\n" * 9_000 + b"y", "small.bin": b"\n\n",
+             "lines.csv": b"\n" * 33_000, "packed.gz": gzip.compress(r.randbytes(30_000)), "even.bin": b"abcdefg\n" * 4096}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {x.file: (x.bytes, x.sha256) for x in fl.inventory(spark, f"{tmp_path}/*", 8192).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in texts.items()}
+
+
 def test_quality_counts(spark):
     rows = [("1", "2", "0", "1"), ("x", "2", "0", "1"), ("1", None, "0", "1"), ("1", "0.5", "2", "1")]
     df = spark.createDataFrame([("A", "H1", *r) for r in rows], "symbol string, timeframe string, open string, high string, low string, close string")
