@@ -1,8 +1,9 @@
 """SHA-256 of files of any size, block by block.
 
 Files of at most ``BLOCK`` bytes are digested whole where they are read.  A larger file is read in Spark's splits and laid down in blocks; in
-each round one block of every such file continues the digest's state that the round before left, so no task reads more than a block or a split and only
-a state of 112 bytes goes from round to round.  The digest is a chain, so the rounds grow with the largest file.
+each round one block of every such file continues the digest's state that the round before left, and each file has a task of its own.  So no task reads more
+than a block or a split, however large, many or split the files are, and only a state of 112 bytes goes from round to round.  The digest is a chain, so the
+rounds grow with the largest file.
 
 Spark has no source of byte ranges but lines: splits are read as lines by byte 10 and joined again, and the length of the file tells whether
 it ends with one and whether it began with the byte order mark that the line reader leaves out.  Two cases stay whole in a task, with a limit of 2 GB:
@@ -13,16 +14,17 @@ from __future__ import annotations
 
 import _hashlib
 import ctypes
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import Batches, forget, scratch
 
 C = F.col
-#: Bytes of a file that one round digests, and of a piece of them.
+#: Bytes of a file that one round digests, and of a piece of them (of smaller blocks, an eighth).
 BLOCK, PIECE = 128 << 20, 1 << 20
 #: Names that Hadoop's line reader takes for compressed files.
 PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst", "xz")
@@ -61,21 +63,22 @@ def ended(state: bytes) -> str:
     return out.raw.hex()
 
 
-def _pieces(batches: Batches) -> Batches:
-    """Lines (path, start, value) joined to pieces (path, start, seq, n, bytes)."""
-    key, seq, held, n = None, 0, [], 0
-    names = ["path", "start", "seq", "n", "bytes"]
+def _pieces(batches: Batches, size: int) -> Batches:
+    """Lines (path, start, value) joined to pieces of ``size`` bytes or more (path, start, seq, at, n, bytes); ``at`` are the bytes of the split before a piece."""
+    key, seq, held, at, n = None, 0, [], 0, 0
+    names = ["path", "start", "seq", "at", "n", "bytes"]
 
     def piece() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([seq], pa.int64()), pa.array([n], pa.int64()),
-                                           pa.array([b"".join(held)], pa.binary())], names)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([seq], pa.int64()), pa.array([at], pa.int64()),
+                                           pa.array([n], pa.int64()), pa.array([b"".join(held)], pa.binary())], names)
 
     for b in batches:
         for path, start, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != (path, start) or n >= PIECE:
+            if key != (path, start) or n >= size:
                 if held:
                     yield piece()
-                seq, held, n = (seq + 1 if key == (path, start) else 0), [], 0
+                seq, at = (seq + 1, at + n) if key == (path, start) else (0, 0)
+                held, n = [], 0
                 key = (path, start)
             held += (line, b"\n")
             n += len(line) + 1
@@ -102,8 +105,9 @@ def large_digests(spark: SparkSession, path: str, block: int) -> DataFrame:
     lines = lines.filter((C("_metadata.file_size") > block) & ~_packed(C("_metadata.file_name")))
     raw = lines.select(C("_metadata.file_path").alias("path"), C("_metadata.file_block_start").alias("start"), C("value").cast("binary").alias("value"))
     at = scratch(spark, "digest")
-    pieces = raw.mapInArrow(_pieces, "path string, start long, seq long, n long, bytes binary")
-    pieces.withColumn("part", F.expr(f"start div {block}")).write.option("compression", "none").partitionBy("part").parquet(f"{at}/pieces")
+    pieces = raw.mapInArrow(partial(_pieces, size=min(PIECE, block // 8)), "path string, start long, seq long, at long, n long, bytes binary")
+    # by the piece's place, not its split's: a split may be longer than a block, or begin near the end of one
+    pieces.withColumn("part", F.expr(f"(start + at) div {block}")).write.option("compression", "none").partitionBy("part").parquet(f"{at}/pieces")
     pieces = spark.read.parquet(f"{at}/pieces")
     files = lines.select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size").distinct().toDF("path", "file", "bytes")
     files = files.withColumn("file", F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))  # the metadata have names as in a URL
@@ -112,11 +116,14 @@ def large_digests(spark: SparkSession, path: str, block: int) -> DataFrame:
     found = found.withColumn("odd", F.when(C("odd").isin(0, -1), False).otherwise(F.raise_error(F.concat(F.lit("not read whole: "), C("path"))).cast("boolean")))
     state = F.when(C("mark"), F.lit(continued(begun(), [MARK]))).otherwise(F.lit(begun()))
     left = C("bytes") - F.when(C("mark"), len(MARK)).otherwise(0)
-    found.filter(~C("odd")).select("path", "file", "bytes", left.alias("left"), state.alias("state")).write.parquet(f"{at}/state-0")
+    number = (F.row_number().over(Window.orderBy("path")) - 1).alias("no")  # over one row a file
+    found.filter(~C("odd")).select("path", number, "file", "bytes", left.alias("left"), state.alias("state")).write.parquet(f"{at}/state-0")
     states = spark.read.parquet(f"{at}/state-0")
-    for k in range(-(-(states.agg(F.max("bytes")).first()[0] or 0) // block)):
-        here = pieces.filter(C("part") == k).select("path", "start", "seq", "bytes")
-        states = states.groupBy("path").cogroup(here.groupBy("path")).applyInPandas(_advance, states.schema)
+    numbers = F.broadcast(spark.read.parquet(f"{at}/state-0").select("path", "no"))
+    most, n = states.agg(F.max("bytes"), F.count(F.lit(1))).first()
+    for k in range(-(-(most or 0) // block)):
+        here = pieces.filter(C("part") == k).join(numbers, "path").select("no", "start", "seq", "bytes").repartitionById(n, "no")
+        states = states.repartitionById(n, "no").groupBy("no").cogroup(here.groupBy("no")).applyInPandas(_advance, states.schema)
         states.write.parquet(f"{at}/state-{k + 1}")
         states = spark.read.parquet(f"{at}/state-{k + 1}")
     forget(spark, f"{at}/pieces")

@@ -7,12 +7,14 @@ import zlib
 
 import pytest
 from conftest import make_bars
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from barloom.functions import tags
 from barloom.operators import gates as gt
 from barloom.operators import regime as rg
 from barloom.operators.resample import bars_for, resample, resample_all
+from barloom.sources import digests
 from barloom.sources import files as fl
 from barloom.streaming import twins
 from barloom.strategies.base import clean_signal
@@ -46,6 +48,29 @@ def test_large_files_are_digested_in_blocks(spark, tmp_path):
     assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in texts.items()}
 
 
+def test_a_task_is_dealt_one_block_of_one_file(spark, tmp_path, monkeypatch):
+    r, log, advance = random.Random(7), tmp_path / "log", digests._advance
+    log.mkdir()
+    (tmp_path / "in").mkdir()
+    texts = {f"{i}.bin": r.randbytes(30_000 + 3_000 * i) for i in range(6)}
+    for name, data in texts.items():
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def noted(states, pieces):
+        at = TaskContext.get()
+        with open(f"{log}/{at.stageId()}-{at.partitionId()}", "a") as f:
+            f.write(f"{pieces['bytes'].map(len).sum()}\n")
+        return advance(states, pieces)
+
+    monkeypatch.setattr(digests, "_advance", noted)
+    now = fl.inventory(spark, f"{tmp_path}/in/*", 8192)  # splits are longer than blocks, tasks fewer than files
+    assert {x.file: x.sha256 for x in now.collect()} == {name: hashlib.sha256(data).hexdigest() for name, data in texts.items()}
+    dealt = [sum(int(float(n)) for n in f.read_text().split()) for f in log.iterdir()]
+    assert sum(dealt) >= sum(map(len, texts.values())) and max(dealt) < 2 * 8192
+    man = now.withColumn("sha256", F.when(F.col("file") == "3.bin", "0").otherwise(F.col("sha256")))
+    assert {x.file: x.status for x in fl.verify(man, now).collect()} == {name: "CHECKSUM_MISMATCH" if name == "3.bin" else "OK" for name in texts}
+
+
 def test_quality_counts(spark):
     rows = [("1", "2", "0", "1"), ("x", "2", "0", "1"), ("1", None, "0", "1"), ("1", "0.5", "2", "1")]
     df = spark.createDataFrame([("A", "H1", *r) for r in rows], "symbol string, timeframe string, open string, high string, low string, close string")
