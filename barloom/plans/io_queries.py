@@ -49,7 +49,7 @@ def _discover(s, d):
 
 
 def _inventory(s, d):
-    return fl.inventory(s, f"{d}/*.parquet")
+    return fl.inventory(s, f"{d}/*.parquet").drop("folder")
 
 
 def _verify(s, d):

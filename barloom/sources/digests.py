@@ -15,6 +15,7 @@ from __future__ import annotations
 import _hashlib
 import ctypes
 from functools import partial
+from itertools import takewhile
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +37,25 @@ def _packed(name: Column) -> Column:
     return name.rlike(rf"\.({'|'.join(PACKED)})$")
 
 
+def _decoded(text: Column) -> Column:
+    """A name or path of the metadata, which have them as in a URL."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _folder(path: Column, depth: int) -> Column:
+    """The folders of a file below the first ``depth``, empty if it lies in the last of these."""
+    steps = F.split(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    return F.array_join(F.slice(steps, F.lit(depth + 2), F.greatest(F.size(steps) - depth - 2, F.lit(0))), "/")
+
+
+def _depth(spark: SparkSession, path: str) -> int:
+    """How many folders deep the part of a path before its first wildcard is."""
+    fixed = "/".join(takewhile(lambda step: not set(step) & set("*?[{\\"), path.split("/")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(fixed or ("/" if path.startswith("/") else "."))
+    at = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at)
+    return at.toUri().getPath().rstrip("/").count("/")
+
+
 def _crypto():
     """The C library behind hashlib, whose SHA256_CTX is plain memory."""
     lib = ctypes.CDLL(_hashlib.__file__)
@@ -100,7 +120,7 @@ def _advance(states: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
 
 
 def large_digests(spark: SparkSession, path: str, block: int) -> DataFrame:
-    """file, bytes, sha256 of the files above ``block`` bytes, in rounds."""
+    """path, file, bytes, sha256 of the files above ``block`` bytes, in rounds."""
     lines = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata")
     lines = lines.filter((C("_metadata.file_size") > block) & ~_packed(C("_metadata.file_name")))
     raw = lines.select(C("_metadata.file_path").alias("path"), C("_metadata.file_block_start").alias("start"), C("value").cast("binary").alias("value"))
@@ -110,7 +130,7 @@ def large_digests(spark: SparkSession, path: str, block: int) -> DataFrame:
     pieces.withColumn("part", F.expr(f"(start + at) div {block}")).write.option("compression", "none").partitionBy("part").parquet(f"{at}/pieces")
     pieces = spark.read.parquet(f"{at}/pieces")
     files = lines.select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size").distinct().toDF("path", "file", "bytes")
-    files = files.withColumn("file", F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))  # the metadata have names as in a URL
+    files = files.withColumn("file", _decoded(C("file")))
     found = files.join(pieces.groupBy("path").agg(F.sum("n").alias("n")), "path").withColumn("mark", C("n") < C("bytes"))
     found = found.withColumn("odd", C("bytes") - C("n") - F.when(C("mark"), len(MARK)).otherwise(0))
     found = found.withColumn("odd", F.when(C("odd").isin(0, -1), False).otherwise(F.raise_error(F.concat(F.lit("not read whole: "), C("path"))).cast("boolean")))
@@ -128,17 +148,17 @@ def large_digests(spark: SparkSession, path: str, block: int) -> DataFrame:
         states = spark.read.parquet(f"{at}/state-{k + 1}")
     forget(spark, f"{at}/pieces")
     final = F.udf(lambda s, n: ended(bytes(s)) if not n else None, "string")
-    return states.select("file", "bytes", F.coalesce(final("state", "left"), F.raise_error(F.concat(F.lit("not read whole: "), C("path")))).alias("sha256"))
+    return states.select(_decoded(C("path")).alias("path"), "file", "bytes", F.coalesce(final("state", "left"), F.raise_error(F.concat(F.lit("not read whole: "), C("path")))).alias("sha256"))
 
 
 def digests(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """file, bytes, sha256 of every file of a path or glob; Spark's listing leaves empty files out."""
+    """file, bytes, sha256 and folder (below the path, or below what comes before a glob's first wildcard) of every file; Spark's listing leaves empty files out."""
     files = spark.read.format("binaryFile").load(path)
     # by names in the listing: what only a filter on the path leaves out would be read first
     packed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(PACKED)}}}").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     whole = files.filter(C("length") <= block).unionByName(packed.filter(C("length") > block))
-    whole = whole.select(name.alias("file"), C("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    if files.select("path", "length").filter((C("length") > block) & ~_packed(name)).isEmpty():
-        return whole
-    return whole.unionByName(large_digests(spark, path, block))
+    found = whole.select("path", name.alias("file"), C("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if not files.select("path", "length").filter((C("length") > block) & ~_packed(name)).isEmpty():
+        found = found.unionByName(large_digests(spark, path, block))
+    return found.select("file", "bytes", "sha256", _folder(C("path"), _depth(spark, path)).alias("folder"))

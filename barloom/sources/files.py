@@ -89,7 +89,7 @@ def discover(bars: DataFrame, excluded: DataFrame | None = None, min_rows: int =
 
 
 def inventory(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Name, size and SHA-256 of every file; those above ``block`` bytes are digested in rounds, a block in each."""
+    """Name, size, SHA-256 and folder of every file; those above ``block`` bytes are digested in rounds, a block in each."""
     return digests(spark, path, block)
 
 
@@ -99,8 +99,9 @@ def coverage(bars: DataFrame) -> DataFrame:
 
 
 def verify(manifest: DataFrame, actual: DataFrame) -> DataFrame:
-    """OK, MISSING or CHECKSUM_MISMATCH for every file of the manifest."""
-    j = manifest.select("file", "sha256").join(actual.select("file", C("sha256").alias("_now")), "file", "left")
+    """OK, MISSING or CHECKSUM_MISMATCH for every file of the manifest; names alike are told apart by folder if both tables have it."""
+    keys = [k for k in ("folder", "file") if k in manifest.columns and k in actual.columns]
+    j = manifest.select(*keys, "sha256").join(actual.select(*keys, C("sha256").alias("_now")), keys, "left")
     return j.select("file", F.when(C("_now").isNull(), "MISSING").when(C("_now") == C("sha256"), "OK").otherwise("CHECKSUM_MISMATCH").alias("status"))
 
 

@@ -71,6 +71,18 @@ def test_a_task_is_dealt_one_block_of_one_file(spark, tmp_path, monkeypatch):
     assert {x.file: x.status for x in fl.verify(man, now).collect()} == {name: "CHECKSUM_MISMATCH" if name == "3.bin" else "OK" for name in texts}
 
 
+def test_files_of_one_name_are_verified_by_folder(spark, tmp_path):
+    r = random.Random(9)
+    for name, n in (("a b+c%41.parquet/part-0", 10), ("d.parquet/part-0", 30_000), ("g.parquet/part-0", 20_000), ("e.parquet/part-0", 500), ("f.parquet", 70)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(r.randbytes(n))
+    now = fl.inventory(spark, f"{tmp_path}/*.parquet", 8192)
+    assert sorted((x.folder, x.file) for x in now.collect()) == [("", "f.parquet"), ("a b+c%41.parquet", "part-0"), ("d.parquet", "part-0"), ("e.parquet", "part-0"), ("g.parquet", "part-0")]
+    man = now.withColumn("sha256", F.when(F.col("folder") == "e.parquet", "0").otherwise(F.col("sha256")))
+    got = sorted((x.file, x.status) for x in fl.verify(man, now).collect())
+    assert got == [("f.parquet", "OK"), ("part-0", "CHECKSUM_MISMATCH"), ("part-0", "OK"), ("part-0", "OK"), ("part-0", "OK")]
+
+
 def test_quality_counts(spark):
     rows = [("1", "2", "0", "1"), ("x", "2", "0", "1"), ("1", None, "0", "1"), ("1", "0.5", "2", "1")]
     df = spark.createDataFrame([("A", "H1", *r) for r in rows], "symbol string, timeframe string, open string, high string, low string, close string")
