@@ -94,12 +94,19 @@ class Mix:
         self.docs, self.sources, self.slots, self.block = docs, sources, slots, block
 
     def spans(self) -> DataFrame:
-        """Each document's overlap with its blocks and, per taken slot, the slot's epoch; documents without words stay with nulls."""
+        """Each document's overlap with its blocks and, per taken slot, the slot's epoch; documents without words stay, block and epoch null.
+
+        Both sides grow with the words, but Spark takes the slots to be as small as the shard counts they are made from, and the documents as before
+        they are cut: unless told to merge, it would broadcast a side whole through the driver.
+        """
         b = self.block
         first, last = F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}")
-        cut = self.docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+        none = F.array(-1 - F.col("rid"))  # a block of its own, that no slot takes: nulls would all meet in one task
+        cut = self.docs.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(none)))
         overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        return cut.withColumn("words", overlap).join(self.slots.select("source_no", "block", "epoch"), ["source_no", "block"], "left")
+        slots = self.slots.select("source_no", "block", "epoch").hint("merge")
+        met = cut.withColumn("words", F.when(F.col("block") >= 0, overlap).otherwise(0)).join(slots, ["source_no", "block"], "left")
+        return met.withColumn("block", F.when(F.col("block") >= 0, F.col("block")))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken."""
