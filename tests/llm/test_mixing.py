@@ -81,6 +81,14 @@ def test_slots_meet_blocks_without_a_broadcast(spark):
         assert len(joins) == 1 and "SortMergeJoin" in joins[0]
 
 
+def test_the_mix_itself_is_made_without_a_broadcast_of_slots(spark):
+    got = mixing.mixed(docs(spark), block=8)
+    got.collect()
+    done = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [x for x in done.splitlines() if "Join [" in x and "block" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
 def test_documents_without_words_are_dealt_to_all_tasks(spark):
     row = doc_rows()[4]
     was = spark.conf.get("spark.sql.adaptive.enabled")
